@@ -296,7 +296,7 @@ def ensemble_mean(spark, sf_dir):
     f"""WITH {GRIDS_SQL}, r AS (
       SELECT uid, i, GREATEST(v * 200, 0) AS a, GREATEST(v * 100, 0) AS b, CASE WHEN y < 4 THEN 10.0::DOUBLE ELSE 0.1::DOUBLE END AS c FROM cells),
     m AS (SELECT uid, i, LEAST(GREATEST(0.25::DOUBLE * a + 0.5::DOUBLE * b + 0.25::DOUBLE * c, 0), 60) AS v FROM r)
-    SELECT uid, CAST(i AS INTEGER) AS i, ROUND(CASE WHEN v < 0.15::DOUBLE THEN 0 ELSE v END, 4) AS rate FROM m""",
+    SELECT uid, CAST(i AS INTEGER) AS i, ROUND(CAST(CAST(CASE WHEN v < 0.15::DOUBLE THEN 0 ELSE v END AS FLOAT) AS DOUBLE), 4) AS rate FROM m""",
 )
 def ensemble_grids(spark, sf_dir):
     base = grids(spark, sf_dir)
