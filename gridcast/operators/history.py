@@ -125,7 +125,8 @@ def early_stops(history: DataFrame, keys: list[str], epoch: str, value: str, pat
     schema = T.StructType(
         [records.schema[k] for k in keys] + [T.StructField("_best", T.DoubleType()), T.StructField("_stop", T.LongType())]
     )
-    ordered = records.repartition(*keys).sortWithinPartitions(*keys, "_pos")
+    spread = records.repartition(*keys) if keys else records.repartition(1)
+    ordered = spread.sortWithinPartitions(*keys, "_pos")
     verdict = ordered.mapInPandas(walk, schema).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_best", "_stop")
     numbered = ordinal_rank(rows.select(*keys, epoch), keys, [epoch], "_pos")
     same = F.col("_pos") == F.col("_stop")

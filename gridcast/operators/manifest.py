@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from gridcast import dims
 from gridcast.functions import columns as fx
+from gridcast.functions.rows import unpack
 from gridcast.operators.ordered import first_per_group, ordinal_rank, previous_row
 
 RAW_SCHEMA = T.StructType(
@@ -42,7 +43,7 @@ def parse_manifest(raw: DataFrame) -> DataFrame:
 
 def explode_slots(manifest: DataFrame) -> DataFrame:
     """One row per (uid, t), with a NULL filename where the sample has no frame."""
-    return manifest.select("uid", "sensor", F.posexplode("slots").alias("t", "filename"))
+    return unpack(manifest, ["uid", "sensor"], "slots", "t", "filename")
 
 
 def duplicate_ids(manifest: DataFrame, uid: str = "uid") -> DataFrame:

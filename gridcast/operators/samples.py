@@ -11,7 +11,7 @@ def zero_pixels(sensor: Column, mode: str) -> Column:
     sizes = {
         s: len(dims.band_indices(s, mode)) * dims.NATIVE_SIZE[s][0] * dims.NATIVE_SIZE[s][1] for s in dims.SENSORS
     }
-    return F.repeat(F.decode(F.lit(bytearray(1)), F.lit("UTF-8")), dims.sensor_case(sensor, sizes)).cast("binary")
+    return F.repeat(F.unhex(F.lit("00")).cast("string"), dims.sensor_case(sensor, sizes)).cast("binary")
 
 
 def cut_bands(frames: DataFrame, mode: str) -> DataFrame:

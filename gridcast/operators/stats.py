@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast import dims
+from gridcast.functions.rows import unpack
 from gridcast.functions.columns import draw_order
 from gridcast.operators.ordered import first_per_group
 
@@ -57,7 +58,7 @@ def frame_stats(frames: DataFrame, stride: int = 1) -> DataFrame:
     """
     good = frames.where(F.col("error").isNull())
     sums = good.select("sensor", sums_column(stride)("pixels", "n_bands", "height", "width").alias("_sums"))
-    bands = sums.select("sensor", F.posexplode("_sums").alias("band", "_s"))
+    bands = unpack(sums, ["sensor"], "_sums", "band", "_s")
     wide = "decimal(38,0)"
     totals = bands.groupBy("sensor", "band").agg(
         F.sum("_s.n").alias("n_pixels"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast import dims
+from gridcast.functions.rows import unpack
 from gridcast.functions.columns import exceeds
 from gridcast.operators.ordered import ordinal_rank
 
@@ -32,7 +33,7 @@ def pair_pixels(pred: DataFrame, truth: DataFrame, uid: str = "uid") -> DataFram
         )
     )
     others = [c for c in joined.columns if c not in ("pred", "target")]
-    out = joined.select(*others, F.posexplode(pairs).alias("pixel", "_pair"))
+    out = unpack(joined, others, pairs, "pixel", "_pair")
     return out.select(*others, "pixel", F.col("_pair.pred").alias("pred"), F.col("_pair.target").alias("target"))
 
 
@@ -163,9 +164,21 @@ def rank_correlation(pairs: DataFrame, by: list[str], position: list[str], max_r
 
 
 def rank_report(pairs: DataFrame, position: list[str], max_rows: int | None = None) -> DataFrame:
-    """Spearman overall, per sensor and per site, in one pass over rows spread to their three scopes."""
-    spread = pairs.select(*position, "pred", "target", F.explode(_scopes()).alias("_s")).select(*position, "pred", "target", "_s.*")
-    return rank_correlation(spread, ["scope", "sensor_id", "site_id"], position, max_rows)
+    """Spearman overall, per sensor and per site: rows are spread to their three scopes, keyed by two
+    numbers to keep the sorted rows short."""
+    keys = F.array(
+        F.struct(F.lit(0).alias("_scope"), F.lit(None).cast("long").alias("_id")),
+        F.struct(F.lit(1).alias("_scope"), F.col("sensor_id").cast("long").alias("_id")),
+        F.struct(F.lit(2).alias("_scope"), F.col("site_id").cast("long").alias("_id")),
+    )
+    spread = pairs.select(*position, "pred", "target", F.explode(keys).alias("_s")).select(*position, "pred", "target", "_s.*")
+    ranked = rank_correlation(spread, ["_scope", "_id"], position, max_rows)
+    return ranked.select(
+        F.when(F.col("_scope") == 0, "all").when(F.col("_scope") == 1, "sensor").otherwise("site").alias("scope"),
+        F.when(F.col("_scope") == 1, F.col("_id")).cast("int").alias("sensor_id"),
+        F.when(F.col("_scope") == 2, F.col("_id")).alias("site_id"),
+        "spearman",
+    )
 
 
 def full_report(pairs: DataFrame, position: list[str], rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str = "double") -> DataFrame:

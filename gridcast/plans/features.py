@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast import dims
 from gridcast.functions import columns as fx
+from gridcast.functions.rows import unpack
 from gridcast.functions.kernels import resize_column
 from gridcast.operators import augment, profiles, scoring, stats
 from gridcast.plans.registry import query, rounded, rounds
@@ -19,7 +20,7 @@ stats AS (SELECT sensor_id, i AS band, AVG(v) AS mean, CASE WHEN STDDEV_POP(v) <
 
 def band_values(spark, sf_dir):
     rows = grids(spark, sf_dir)
-    return rows.select("uid", "sensor_id", F.posexplode("grid").alias("band", "value"))
+    return unpack(rows, ["uid", "sensor_id"], "grid", "band", "value")
 
 
 @query("band_stats", f"WITH {BAND_STATS_SQL} SELECT sensor_id, band, n_pixels, {rounds('mean', 'std')} FROM stats")
@@ -40,7 +41,7 @@ def zscore(spark, sf_dir):
     three = table_of.where(F.col("sensor_id").between(0, 2))
     rows = grids(spark, sf_dir).join(F.broadcast(three), "sensor_id")
     scaled = rows.select("uid", stats.standardise_array(F.col("grid"), F.col("means"), F.col("stds")).alias("z"))
-    return rounded(scaled.select("uid", F.posexplode("z").alias("band", "z")), "z")
+    return rounded(unpack(scaled, ["uid"], "z", "band", "z"), "z")
 
 
 @query(
@@ -94,7 +95,7 @@ def band_selection(spark, sf_dir):
     for s, ident in dims.SENSOR_ID.items():
         positions = dims.stored_positions(s, "all", "ir_only")
         planes = F.flatten(F.array(*[F.slice("grid", p * 4 + 1, 4) for p in positions]))
-        parts.append(rows.where(F.col("sensor_id") == ident).select("uid", F.posexplode(planes).alias("k", "v")))
+        parts.append(unpack(rows.where(F.col("sensor_id") == ident), ["uid"], planes, "k", "v"))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select(
         "uid", (F.col("k") / 4).cast("int").alias("position"), (F.col("k") % 4).cast("int").alias("p"),
@@ -118,7 +119,7 @@ def fill_frames(spark, sf_dir):
         F.col("valid").alias("valid"), fx.fill_slots(F.col("values"), F.col("valid")).alias("filled"),
         fx.fill_slots(F.col("values"), F.col("valid"), "zero").alias("zeroed"),
     )
-    out = rows.select("user_id", "day", fx.has_data(F.col("valid")).alias("has_data"), F.posexplode(zipped).alias("t", "_s"))
+    out = unpack(rows.withColumn("has_data", fx.has_data(F.col("valid"))), ["user_id", "day", "has_data"], zipped, "t", "_s")
     return out.select(
         "user_id", "day", "t", F.col("_s.valid").alias("valid"), "has_data",
         F.round(F.col("_s")["filled"], 6).alias("filled"), F.round(F.col("_s")["zeroed"], 6).alias("zeroed"),
@@ -137,7 +138,7 @@ def diff_stack(spark, sf_dir):
     wide = F.transform("grid", lambda v: v.cast("double"))
     frames = F.array(*[F.slice(wide, 16 * t + 1, 16) for t in range(3)])
     rows = grids(spark, sf_dir).select("uid", fx.flatten_stack(fx.slot_differences(frames), 100).alias("stack"))
-    return rounded(rows.select("uid", F.posexplode("stack").alias("channel", "value")), "value")
+    return rounded(unpack(rows, ["uid"], "stack", "channel", "value"), "value")
 
 
 # ---- resize ---------------------------------------------------------------------------------------
@@ -206,7 +207,7 @@ def flip_rotate(spark, sf_dir):
 def noise(spark, sf_dir):
     profile = augment.Augmentation(noise_enabled=True, noise_sigma=0.5)
     out = augment.augment(grids(spark, sf_dir), profile, 3, {}, noisy=("grid",))
-    return out.select("uid", F.posexplode("grid").alias("i", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
+    return unpack(out, ["uid"], "grid", "i", "v").withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 # ---- targets --------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridcast import dims
 from gridcast.functions import columns as fx
+from gridcast.functions.rows import unpack
 from gridcast.operators import manifest as mf, samples
 from gridcast.plans.registry import query, rounded
 from gridcast.plans.views import MANIFEST_SQL, raw_manifest, table
@@ -43,7 +44,7 @@ def frame_list(spark, sf_dir):
     as_tuple = F.concat(F.lit("("), F.substring(cell, 2, F.length(cell) - 2), F.lit(",)"))
     mixed = F.when((F.col("row_idx") % 2 == 1) & (cell != "[]"), as_tuple).otherwise(cell)
     rows = raw_manifest(spark, sf_dir).select(F.col("unique_id").alias("uid"), fx.frame_list(mixed).alias("frames"))
-    return rows.select("uid", F.size("frames").alias("n_frames"), F.posexplode("frames").alias("t", "filename"))
+    return unpack(rows.withColumn("n_frames", F.size("frames")), ["uid", "n_frames"], "frames", "t", "filename")
 
 
 @query("frame_slots", f"WITH {MANIFEST_SQL} SELECT uid, t, filename FROM slots")
@@ -303,7 +304,7 @@ def cyclic_time(spark, sf_dir):
 )
 def aux_vector(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", fx.aux_vector(F.col("user_id") % 3, F.col("ts")).alias("a"))
-    out = rows.select("event_id", F.posexplode("a").alias("i", "value"))
+    out = unpack(rows, ["event_id"], "a", "i", "value")
     return out.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from gridcast import dims
 from gridcast.functions import columns as fx
+from gridcast.functions.rows import unpack
 from gridcast.operators import ensemble, features as ft, sampling, stats
 from gridcast.plans.registry import query, rounded, rounds
 from gridcast.plans.verification import HEAVY, SCORE_SELECT, SCORE_SQL
@@ -318,7 +319,7 @@ def feature_records(spark, sf_dir):
     known = norm_stats_of(spark, sf_dir)
     config = ft.FeatureConfig(image_size=2, sizes=SIZES)
     rows = ft.image_features(store.read_store(spark, built_store(spark, sf_dir)), known, config, ["uid"])
-    out = rows.select("uid", "channels", F.posexplode("features").alias("pos", "value"))
+    out = unpack(rows, ["uid", "channels"], "features", "pos", "value")
     return out.withColumn("value", F.round(F.col("value").cast("double"), 3))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridcast.functions import columns as fx
+from gridcast.functions.rows import unpack
 from gridcast.operators import ensemble, losses, ordered, verify
 from gridcast.plans.registry import query, rounded, rounds
 from gridcast.plans.views import GRID, GRIDS_SQL, PAIRS_SQL, POSITION, cells, grids, neighbours, pixel_pairs, table
@@ -129,7 +130,7 @@ def error_map(spark, sf_dir):
     both = F.arrays_zip(
         fx.error_map(wide("pred"), wide("target")).alias("e"), fx.error_map(wide("pred"), wide("target"), True).alias("a")
     )
-    out = rows.select("uid", F.posexplode(both).alias("i", "_p"))
+    out = unpack(rows, ["uid"], both, "i", "_p")
     return out.select(
         "uid", (F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"),
         F.round(F.col("_p")["e"], 6).alias("error"), F.round(F.col("_p")["a"], 6).alias("abs_error"),
@@ -308,8 +309,8 @@ def ensemble_grids(spark, sf_dir):
     )
     rows = base.select(F.col("uid").alias("filename"), F.explode(runs).alias("_r")).select("filename", "_r.*")
     out = ensemble.combine_grids(rows, ensemble.run_weights(["a", "b", "c"], RUNS))
-    long = out.select(F.col("filename").alias("uid"), F.posexplode("rate").alias("i", "rate"))
-    return long.select("uid", "i", F.round(F.col("rate").cast("double"), 4).alias("rate"))
+    long = unpack(out, ["filename"], "rate", "i", "rate")
+    return long.select(F.col("filename").alias("uid"), "i", F.round(F.col("rate").cast("double"), 4).alias("rate"))
 
 
 COVER_SQL = """files AS (

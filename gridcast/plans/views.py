@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridcast.dims import SENSORS
+from gridcast.functions.rows import unpack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(grid_rows: DataFrame, column: str, keep: list[str], width: int) -> DataFrame:
     """Long form of row-major grids."""
-    out = grid_rows.select(*keep, F.posexplode(column).alias("i", "v"))
+    out = unpack(grid_rows, keep, column, "i", "v")
     return out.select(*keep, (F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
 
 

@@ -33,7 +33,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of what was written."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # short-lived and read back at once: speed before size
+    df.write.option("compression", "lz4").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,17 +33,25 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    import shutil
-    import tempfile
+    """Send this package to the Python workers, once per application, by way of the shared folder."""
+    import io
+    import zipfile
     from pathlib import Path
 
+    from gridcast.scratch import scratch_root
+
     context = spark.sparkContext
-    if any(f.endswith("gridcast_pkg.zip") for f in context.listFiles):
+    name = "gridcast_pkg.zip"
+    if any(f.endswith(name) for f in context.listFiles):
         return
     package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    archive = shutil.make_archive(
-        f"{folder}/gridcast_pkg", "zip", root_dir=package.parent, base_dir=package.name
-    )
-    context.addPyFile(archive)
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent).as_posix())
+    target = f"{scratch_root(spark)}/{name}"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(body.getvalue()))
+    stream.close()
+    context.addPyFile(target)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridcast import dims
+from gridcast.functions.rows import unpack
 from gridcast.functions.columns import frame_path, target_path
 from gridcast.operators.manifest import sensor_counts
 from gridcast.sources import tiff
@@ -40,7 +41,7 @@ def locate_in_archives(manifest: DataFrame, frame_index: DataFrame, target_index
     entry = F.struct(F.col("archive").alias("path"), "offset", "size", "method")
     frames = frame_index.select("filename", entry.alias("place"))
     targets = (target_index or frame_index).select(F.col("filename").alias("target_file"), entry.alias("target_place"))
-    slots = manifest.select("uid", F.posexplode("slots").alias("t", "filename"))
+    slots = unpack(manifest, ["uid"], "slots", "t", "filename")
     named = slots.where(F.col("filename").isNotNull()).join(frames, "filename", "left")
     per_sample = named.groupBy("uid").agg(
         F.array(*[
