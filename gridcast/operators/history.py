@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from gridcast.operators.ordered import first_per_group, moving_average, ordinal_rank, prefix_records, running_sums
+from gridcast.operators.ordered import first_per_group, moving_average, prefix_records, running_sums
 
 HISTORY_SCHEMA = "run string, epoch int, step int, tag string, metric string, value double"
 
@@ -91,7 +91,7 @@ def early_stops(history: DataFrame, keys: list[str], epoch: str, value: str, pat
     part only in the distributed prefix minimum.
     """
     rows = history.select(*keys, epoch, _signed(value, mode).cast("double").alias("_v"))
-    records = prefix_records(rows, keys, [epoch], "_v")
+    numbered, records = prefix_records(rows, keys, [epoch], "_v")
     lag = max(patience, 1)
 
     def walk(batches):
@@ -128,7 +128,7 @@ def early_stops(history: DataFrame, keys: list[str], epoch: str, value: str, pat
     spread = records.repartition(*keys) if keys else records.repartition(1)
     ordered = spread.sortWithinPartitions(*keys, "_pos")
     verdict = ordered.mapInPandas(walk, schema).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_best", "_stop")
-    numbered = ordinal_rank(rows.select(*keys, epoch), keys, [epoch], "_pos")
+    numbered = numbered.select(*keys, epoch, "_pos")
     same = F.col("_pos") == F.col("_stop")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

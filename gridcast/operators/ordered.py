@@ -182,8 +182,9 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[
     return rows.select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"_t_{v}")).alias(f"running_{v}") for v in values])
 
 
-def prefix_records(df: DataFrame, keys: list[str], order: list[str], value: str, n_blocks: int | None = None) -> DataFrame:
-    """Rows strictly below everything before them in their group, with their 0-based ``_pos``."""
+def prefix_records(df: DataFrame, keys: list[str], order: list[str], value: str, n_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All rows with their 0-based ``_pos``, and those of them strictly below everything before them in
+    their group. Both come from one sort."""
     blocks = ordered_blocks(df, keys, order, n_blocks)
     summary = block_summaries(blocks, keys, _low=F.min(value))
     carry = summary.select(
@@ -192,10 +193,10 @@ def prefix_records(df: DataFrame, keys: list[str], order: list[str], value: str,
         F.min("_low").over(before(keys)).alias("_low"),
     )
     inside = Window.partitionBy(*keys, BLOCK).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    rows = join_summary(blocks, carry, keys).withColumns(
-        {"_best": F.least(F.min(value).over(inside), F.col("_low")), "_pos": F.col(SLOT) + F.col("_start")}
-    )
-    return rows.where(F.col("_best").isNull() | (F.col(value) < F.col("_best"))).select(*df.columns, "_pos")
+    placed = join_summary(blocks, carry, keys).withColumn("_pos", F.col(SLOT) + F.col("_start"))
+    rows = placed.withColumn("_best", F.least(F.min(value).over(inside), F.col("_low")))
+    records = rows.where(F.col("_best").isNull() | (F.col(value) < F.col("_best")))
+    return placed.select(*df.columns, "_pos"), records.select(*df.columns, "_pos")
 
 
 def previous_row(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "previous") -> DataFrame:

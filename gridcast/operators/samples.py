@@ -23,44 +23,40 @@ def cut_bands(frames: DataFrame, mode: str) -> DataFrame:
     return frames.withColumn("pixels", cut)
 
 
+def _spread_key(name: Column, *ident: Column) -> Column:
+    """The join key: the name, or for rows without one a value of their own that matches nothing. NULL keys
+    would all meet in one task of a shuffled outer join."""
+    return F.coalesce(name, F.concat_ws(":", F.lit("\u0000"), *[i.cast("string") for i in ident]))
+
+
 def match_slots(slots: DataFrame, frames: DataFrame, payload: list[str]) -> DataFrame:
     """Slots (uid, sensor, t, filename) left-joined to frames (sensor, filename, error, payload...).
 
-    ``outcome``: ``ok``, ``missing`` (no name) or ``corrupt`` (named but absent or unreadable). Slots without
-    a name take no part in the join, so they cannot pile up on one key; names listed by very many
-    samples are split by AQE's skew join.
+    ``outcome``: ``ok``, ``missing`` (no name) or ``corrupt`` (named but absent or unreadable). Names listed by
+    very many samples are split by AQE's skew join.
     """
-    right = frames.select(
-        "sensor", "filename", F.lit(True).alias("_found"), "error", *payload
-    )
-    named = slots.where(F.col("filename").isNotNull()).join(right, ["sensor", "filename"], "left")
+    right = frames.select("sensor", F.col("filename").alias("_key"), F.lit(True).alias("_found"), "error", *payload)
+    left = slots.withColumn("_key", _spread_key(F.col("filename"), F.col("uid"), F.col("t")))
+    joined = left.join(right, ["sensor", "_key"], "left")
     ok = F.coalesce(F.col("_found") & F.col("error").isNull(), F.lit(False))
-    named = named.select(
-        "uid", "sensor", "t", "filename", F.when(ok, "ok").otherwise("corrupt").alias("outcome"),
+    return joined.select(
+        "uid", "sensor", "t", "filename",
+        F.when(ok, "ok").when(F.col("filename").isNull(), "missing").otherwise("corrupt").alias("outcome"),
         *[F.when(ok, F.col(c)).alias(c) for c in payload],
     )
-    kinds = {f.name: f.dataType for f in right.schema.fields}
-    unnamed = slots.where(F.col("filename").isNull()).select(
-        "uid", "sensor", "t", "filename", F.lit("missing").alias("outcome"),
-        *[F.lit(None).cast(kinds[c]).alias(c) for c in payload],
-    )
-    return named.unionByName(unnamed)
 
 
 def match_targets(samples: DataFrame, targets: DataFrame, size: int = dims.TARGET_SIZE[0] * dims.TARGET_SIZE[1]) -> DataFrame:
     """Samples (uid, target_file, ...) with ``target`` (zeros where unavailable) and ``target_missing``
     (named but absent or unreadable; a NULL name is not counted)."""
-    right = targets.select(F.col("filename").alias("target_file"), F.col("rate").alias("_rate"), F.col("error").alias("_error"), F.lit(True).alias("_found"))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), size)
-    named = samples.where(F.col("target_file").isNotNull()).join(right, "target_file", "left")
+    right = targets.select(F.col("filename").alias("_key"), F.col("rate").alias("_rate"), F.col("error").alias("_error"), F.lit(True).alias("_found"))
+    left = samples.withColumn("_key", _spread_key(F.col("target_file"), F.col("uid")))
     ok = F.coalesce(F.col("_found") & F.col("_error").isNull(), F.lit(False))
-    named = named.select(
-        *samples.columns, F.when(ok, F.col("_rate")).otherwise(zero).alias("target"), (~ok).alias("target_missing")
-    )
-    unnamed = samples.where(F.col("target_file").isNull()).select(
-        *samples.columns, zero.alias("target"), F.lit(False).alias("target_missing")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), size)
+    return left.join(right, "_key", "left").select(
+        *samples.columns, F.when(ok, F.col("_rate")).otherwise(zero).alias("target"),
+        (~ok & F.col("target_file").isNotNull()).alias("target_missing"),
     )
-    return named.unionByName(unnamed)
 
 
 def outcome_counts(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -19,8 +19,8 @@ def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid", n_bl
     """``n`` draws with replacement, probability proportional to ``weight``: (key, weight, draws), draws > 0.
 
     Two exact multinomial steps: the driver splits n over blocks from one total per block, then every block
-    splits its share over its rows batch by batch. Blocks are hash groups written once, so a retried task
-    repeats the same draws.
+    splits its share over its rows batch by batch. Blocks are hash groups of the key and their
+    rows are sorted, so a retried task, or another partitioning, repeats the same draws.
     """
     spark = weights.sparkSession
     blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -29,7 +29,7 @@ def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid", n_bl
     spread = weights.groupBy(key).agg(F.sum(F.col("weight").cast("double")).alias("weight")).where(F.col("weight") > 0)
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 16))
     spread = spread.withColumn("_b", F.floor(slot / F.lit(width)).cast("int"))
-    placed = materialise(spread.repartition(blocks, "_b").sortWithinPartitions("_b", key), "weights")
+    placed = materialise(spread, "weights")
     totals = {r["_b"]: r["w"] for r in placed.groupBy("_b").agg(F.sum("weight").alias("w")).collect()}  # <= blocks rows
     if not totals:
         raise ValueError("no positive weights")
@@ -55,8 +55,8 @@ def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid", n_bl
             yield pd.concat(out) if out else pd.DataFrame({key: [], "weight": [], "draws": []})
 
     schema = T.StructType([placed.schema[key], T.StructField("weight", T.DoubleType()), T.StructField("draws", T.LongType())])
-    # one task per block: the batches of a block must meet in one task, in order
-    return placed.repartition(blocks, "_b").sortWithinPartitions("_b", key).mapInPandas(draw, schema)
+    # ranges keep a block whole in one task, in order, and give every task its share of blocks
+    return placed.repartitionByRange(blocks, "_b").sortWithinPartitions("_b", key).mapInPandas(draw, schema)
 
 
 def expand_draws(draws: DataFrame) -> DataFrame:

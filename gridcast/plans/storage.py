@@ -183,6 +183,34 @@ def norm_stats_json(spark, sf_dir):
     return rounded(norm_stats.read_norm_stats(spark, path), "mean", "std")
 
 
+SAMPLED_STATS_SQL = f"""WITH {FILES_SQL},
+listed AS (
+  SELECT CAST(g.uid AS VARCHAR) AS uid, CASE g.uid % 3 WHEN 0 THEN 'himawari' WHEN 1 THEN 'goes' ELSE 'meteosat' END AS sensor, CAST(t AS INTEGER) AS t,
+         g.uid + 3 * t AS file_uid, 'f_' || CAST(g.uid + 3 * t AS VARCHAR) || '.tif' AS filename FROM grids g, (SELECT UNNEST(range(3)) AS t) WHERE t < g.uid % 4 {{present}}),
+drawn AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sensor ORDER BY MD5('2:' || sensor || ':' || filename || ':' || uid || ':' || CAST(t AS VARCHAR)), uid, t) AS rn FROM listed) WHERE rn <= 40),
+good AS (SELECT d.sensor, d.file_uid FROM drawn d JOIN frame_files f ON f.uid = d.file_uid WHERE f.error IS NULL)
+SELECT sensor, CAST(i // 4 AS INTEGER) AS band, COUNT(*) AS n_pixels, ROUND(AVG(q), 6) AS mean, ROUND(STDDEV_POP(q), 6) AS std FROM good JOIN q ON q.uid = file_uid GROUP BY 1, 2"""
+
+
+def _listed(spark, sf_dir):
+    rows = store_manifest(spark, sf_dir)
+    return unpack(rows, ["uid", "sensor"], "slots", "t", "filename")
+
+
+@query("norm_stats_sampled", SAMPLED_STATS_SQL.format(present=""))
+def norm_stats_sampled(spark, sf_dir):
+    """40 drawn listings per sensor; only those files are opened."""
+    found = norm_stats.from_folders(_listed(spark, sf_dir), raster_folder(spark, sf_dir), 40, 1, 2, SIZES)
+    return rounded(found, "mean", "std")
+
+
+@query("norm_stats_archives", SAMPLED_STATS_SQL.format(present="AND g.uid + 3 * t IN (SELECT uid FROM frame_files)"))
+def norm_stats_archives(spark, sf_dir):
+    """The same from archives, where names without a member are no candidates."""
+    index = materialise(archive.archive_index(spark, archive_folder(spark, sf_dir)), "index")
+    return rounded(norm_stats.from_archives(_listed(spark, sf_dir), index, 40, 1, 2, SIZES), "mean", "std")
+
+
 # ---- the sample store -----------------------------------------------------------------------------
 STORE_SQL = f"""{FRAME_STATS_SQL}, samples AS (
   SELECT uid, CASE uid % 3 WHEN 0 THEN 'himawari' WHEN 1 THEN 'goes' ELSE 'meteosat' END AS sensor, CASE uid % 3 WHEN 2 THEN 8 ELSE 6 END AS split,

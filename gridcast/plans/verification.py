@@ -187,7 +187,7 @@ def _sample_terms():
 
 @query("loss_table", f"WITH {LOSS_SQL}, r AS (SELECT sensor_id, {_mask(LOSS_NAMES[:-1])} FROM samples GROUP BY sensor_id) SELECT sensor_id, {rounds(*LOSS_NAMES[:-1])} FROM r")
 def loss_table(spark, sf_dir):
-    """Samples collapse first, then meet their validity on the same key: the join reuses the grouping."""
+    """Samples collapse on the map side and in the grouping; validity joins what is left of them."""
     pixels, valid = loss_pixels(spark, sf_dir)
     samples = losses.sample_means(pixels, _sample_terms(), "uid", ("sensor_id",)).join(valid, "uid")
     return rounded(losses.masked_mean(samples, list(LOSS_NAMES[:-1]), "has_data", ("sensor_id",)), *LOSS_NAMES[:-1])

@@ -51,8 +51,11 @@ def archive_index(spark: SparkSession, path: str, pattern: str = "*.zip") -> Dat
 
 
 def read_members(index: DataFrame) -> DataFrame:
-    """(path, filename, sensor, content) for the decoders. Members are spread by archive and offset, so a task
+    """(path, filename, sensor, content) for the decoders; the sensor is the index's column if it has one, else
+    the member's folder. Members are spread by archive and offset, so a task
     reads one stretch of one archive; the number of tasks follows the bytes to read."""
+    folder = F.element_at(F.split("member", "/"), -2)
+    index = index.withColumn("sensor", F.col("sensor") if "sensor" in index.columns else folder)
     total = index.agg(F.sum("size")).first()[0] or 0
     floor = index.sparkSession.sparkContext.defaultParallelism
     spread = index.repartitionByRange(max(floor, int(total // TASK_BYTES) + 1), "archive", "offset")
@@ -72,7 +75,7 @@ def read_members(index: DataFrame) -> DataFrame:
                     [
                         pa.array([f"{r['archive']}!{r['member']}" for r in part], pa.string()),
                         pa.array([r["filename"] for r in part], pa.string()),
-                        pa.array([r["member"].split("/")[-2] for r in part], pa.string()),
+                        pa.array([r["sensor"] for r in part], pa.string()),
                         pa.array(contents, pa.binary()),
                     ],
                     names=["path", "filename", "sensor", "content"],

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridcast import dims
 from gridcast.functions.columns import path_filename, path_subdir
 from gridcast.sources import tiff
-from gridcast.sources.files import write_atomic
+from gridcast.sources.files import read_bytes, write_atomic
 from gridcast.scratch import materialise
 
 Decoder = Callable[[bytes], tuple[np.ndarray, tiff.Header]]
@@ -32,6 +32,28 @@ def with_names(raw: DataFrame) -> DataFrame:
     return raw.select("path", path_filename(F.col("path")).alias("filename"), path_subdir(F.col("path")).alias("sensor"), "content")
 
 
+def open_files(named: DataFrame) -> DataFrame:
+    """(path, filename, sensor) -> (path, filename, sensor, content), opening only the named files. An absent
+    file gives empty content, which the decoders report."""
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                batch = big.slice(at, 64)
+                contents = []
+                for path in batch["path"].to_pylist():
+                    try:
+                        contents.append(read_bytes(path))
+                    except OSError:
+                        contents.append(b"")
+                yield pa.RecordBatch.from_arrays(
+                    [batch["path"], batch["filename"], batch["sensor"], pa.array(contents, pa.binary())],
+                    names=["path", "filename", "sensor", "content"],
+                )
+
+    return named.select("path", "filename", "sensor").mapInArrow(run, "path string, filename string, sensor string, content binary")
+
+
 def decode_frames(
     files: DataFrame, sizes: dict[str, tuple[int, int]] | None = None, n_bands: int = dims.BANDS_TOTAL,
     decoder: Decoder = tiff.read_raster, check_dtype: bool = True,
