@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridcast.scratch import broadcast_if_small, materialise
 
@@ -16,22 +17,25 @@ BLOCK = "_block"
 SLOT = "_slot"
 
 
-def _block_count(df: DataFrame, n_blocks: int | None) -> int:
-    return n_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_blocks(
     df: DataFrame, keys: list[str], order: list[str], n_blocks: int | None = None, fold=None, folded: str = ""
 ) -> DataFrame:
-    """``df`` plus ``_block`` (BIGINT) and ``_slot`` (order inside the block). ``keys + order`` should be
-    unique; equal rows are interchangeable. ``fold`` maps the sorted batches of one block to batches with
-    the extra columns declared in ``folded``, in the same pass."""
+    """``df`` plus ``_block`` (BIGINT) and ``_slot`` (order inside the block). ``fold`` maps the sorted batches
+    of one block to batches with the extra columns declared in ``folded``, in the same pass.
+
+    Rows equal in ``keys + order`` are interchangeable. They are split by input partition, so that copies of
+    one row do not end in one block; rows of one input partition stay together, which keeps the placement the
+    same when a task is repeated. Without ``n_blocks`` AQE sizes the blocks.
+    """
     sort_keys = [*keys, *order]
-    placed = df.repartitionByRange(_block_count(df, n_blocks), *sort_keys).sortWithinPartitions(*sort_keys)
+    tagged = df.withColumn("_pid", F.spark_partition_id())
+    ranges = [*sort_keys, "_pid"]
+    spread = tagged.repartitionByRange(n_blocks, *ranges) if n_blocks else tagged.repartitionByRange(*ranges)
+    placed = spread.drop("_pid").sortWithinPartitions(*sort_keys)
     columns = df.columns
     if fold is not None:
-        extra = T._parse_datatype_string(folded)
-        placed = placed.mapInPandas(fold, T.StructType(placed.schema.fields + extra.fields))
+        extra = StructType.fromDDL(folded)
+        placed = placed.mapInPandas(fold, StructType(placed.schema.fields + extra.fields))
         columns = placed.columns
     placed = placed.withColumn("_mid", F.monotonically_increasing_id())
     return materialise(placed, "blocks").select(
@@ -164,7 +168,7 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     # a block border cuts at most one series, so at most n_blocks series need chaining
     cut = summary.where(F.col("_blocks") > 1)
     whole = summary.where(F.col("_blocks") == 1).select(*keys, BLOCK, F.col("_seed").alias("_state"))
-    schema = T.StructType([summary.schema[c] for c in [*keys, BLOCK]] + [T.StructField("_state", T.DoubleType())])
+    schema = StructType([summary.schema[c] for c in [*keys, BLOCK]] + [StructField("_state", DoubleType())])
     carry = materialise(whole.unionByName(cut.groupBy(*keys).applyInPandas(chain, schema)), "carry")
     # the seed is also the first value: d*x0 + (1-d)*x0 = x0
     return join_summary(blocks, carry, keys).select(

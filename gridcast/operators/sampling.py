@@ -56,7 +56,7 @@ def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid", n_bl
 
     schema = T.StructType([placed.schema[key], T.StructField("weight", T.DoubleType()), T.StructField("draws", T.LongType())])
     # ranges keep a block whole in one task, in order, and give every task its share of blocks
-    return placed.repartitionByRange(blocks, "_b").sortWithinPartitions("_b", key).mapInPandas(draw, schema)
+    return placed.repartitionByRange("_b").sortWithinPartitions("_b", key).mapInPandas(draw, schema)
 
 
 def expand_draws(draws: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def expand_draws(draws: DataFrame) -> DataFrame:
 
 def shuffled(rows: DataFrame, seed: int, key: list[str]) -> DataFrame:
     """Rows in a seed-fixed random order."""
-    return rows.withColumn("_draw", draw_order(seed, *[F.col(k) for k in key])).orderBy("_draw", *key).drop("_draw")
+    drawn = rows.withColumns({"_draw": draw_order(seed, *[F.col(k) for k in key]), "_pid": F.spark_partition_id()})
+    return drawn.orderBy("_draw", *key, "_pid").drop("_draw", "_pid")  # copies of a row split by input partition
 
 
 def shuffled_positions(rows: DataFrame, seed: int, key: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def _spread(named: DataFrame) -> DataFrame:
 
 def write_norm_stats(stats: DataFrame, path: str) -> None:
     """One JSON document. The table has at most 3 x 16 rows, so it fits one task."""
-    kept = stats.where(F.col("sensor").isin(*dims.SENSORS))
+    kept = stats.where(F.col("sensor").isin(*dims.SENSORS) & (F.col("band") < dims.BANDS_TOTAL))
     rows = F.array_sort(F.collect_list(F.struct("band", "mean", "std")))
     per_sensor = kept.groupBy("sensor").agg(rows.alias("_r"), F.max("n_pixels").alias("n_pixels"))
     body = F.struct(F.col("_r.mean").alias("mean"), F.col("_r.std").alias("std"), "n_pixels")

@@ -133,7 +133,8 @@ def write_store(located: DataFrame, path: str, band_mode: str, **reading) -> boo
         return False
     n = located.select("uid").count()
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // SAMPLES_PER_TASK))
-    spread = located.repartitionByRange(tasks, "sensor", "uid").sortWithinPartitions("sensor", "uid")
+    tagged = located.withColumn("_pid", F.spark_partition_id())  # copies of one sample need not share a task
+    spread = tagged.repartitionByRange(tasks, "sensor", "uid", "_pid").drop("_pid").sortWithinPartitions("sensor", "uid")
     load_samples(spread, band_mode, **reading).write.mode("overwrite").partitionBy("sensor").parquet(path)
     return True
 
