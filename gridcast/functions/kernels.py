@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 
 # ---- resize ---------------------------------------------------------------------------------------
-def resize_weights(n_in: int, n_out: int, mode: str) -> np.ndarray:
-    """The (n_out, n_in) matrix of one axis; half-pixel centres, edge taps clamped."""
+def resize_taps(n_in: int, n_out: int, mode: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One axis as a list of (source index, weight) per output; half-pixel centres, edge taps clamped."""
     dst = np.arange(n_out)
-    weights = np.zeros((n_out, n_in))
     if mode == "nearest":
-        weights[dst, np.minimum(dst * n_in // n_out, n_in - 1)] = 1.0
-        return weights
+        return [(np.minimum(dst * n_in // n_out, n_in - 1), np.ones(n_out))]
     src = (dst + 0.5) * n_in / n_out - 0.5
     if mode == "bilinear":
         src = np.maximum(src, 0.0)
@@ -37,19 +35,23 @@ def resize_weights(n_in: int, n_out: int, mode: str) -> np.ndarray:
         taps = [(k, cubic(part - k)) for k in (-1, 0, 1, 2)]
     else:
         raise ValueError(f"unknown interpolation {mode!r}")
-    for step, w in taps:
-        np.add.at(weights, (dst, np.clip(base + step, 0, n_in - 1)), w)
-    return weights
+    return [(np.clip(base + step, 0, n_in - 1), w) for step, w in taps]
 
 
 def resize(grids: np.ndarray, size: tuple[int, int], mode: str = "bilinear") -> np.ndarray:
-    """Resize the last two axes; grids of that size already are returned as they are."""
-    h, w = grids.shape[-2:]
-    if (h, w) == tuple(size):
+    """Resize the last two axes in the grids' own precision; grids of that size are returned as they are."""
+    if grids.shape[-2:] == tuple(size):
         return grids
-    rows = resize_weights(h, size[0], mode)
-    cols = resize_weights(w, size[1], mode)
-    return np.matmul(np.matmul(rows, grids), cols.T)
+    for axis, n_out in ((-2, size[0]), (-1, size[1])):
+        out = None
+        for index, weight in resize_taps(grids.shape[axis], n_out, mode):
+            w = weight.astype(grids.dtype)
+            part = np.take(grids, index, axis=axis)
+            if mode != "nearest":
+                part *= w[:, None] if axis == -2 else w
+            out = part if out is None else np.add(out, part, out=out)
+        grids = out
+    return grids
 
 
 # ---- neighbourhoods -------------------------------------------------------------------------------
@@ -125,7 +127,7 @@ def to_lists(block: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:
 
 def resize_column(shape: tuple[int, int], size: tuple[int, int], mode: str):
     """Arrow function ARRAY -> ARRAY<DOUBLE> that resizes row-major grids."""
-    resize_weights(shape[0], size[0], mode)  # reject a bad mode on the driver
+    resize_taps(shape[0], size[0], mode)  # reject a bad mode on the driver
 
     @F.arrow_udf("array<double>")
     def run(grid: pa.Array) -> pa.Array:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridcast import dims
 from gridcast.functions import columns as fx
-from gridcast.functions.kernels import resize, resize_weights
+from gridcast.functions.kernels import resize, resize_taps
 
 ROWS_PER_OUTPUT = 16  # a 50x96x96 record is 1.8 MB
 
@@ -55,21 +55,31 @@ def fill_order(valid: list[bool]) -> list[int]:
 
 def feature_block(frames: np.ndarray, valid: list[bool], mean, std, config: FeatureConfig) -> np.ndarray:
     """(T, C, H, W) uint8 -> (channels, image_size, image_size) float32."""
-    order = fill_order(valid) if config.missing_frames == "repeat_last" else list(range(len(valid)))
-    z = (frames[order].astype(np.float32) - mean[:, None, None]) / std[:, None, None]
-    z = resize(z, (config.image_size, config.image_size), config.interpolation).astype(np.float32)
+    order = fill_order(valid) if config.missing_frames == "repeat_last" else range(len(valid))
+    size = (config.image_size, config.image_size)
+    n_bands, n_frames = frames.shape[1], len(valid)
+    n_out = n_bands * (2 * n_frames - 1 if config.include_differences else n_frames)
+    out = np.zeros((max(n_out, config.channels if config.pad_channels else 0), *size), np.float32)
+    stack = out[: n_bands * n_frames].reshape(n_frames, n_bands, *size)
+    for t, source in enumerate(order):
+        if source in order[:t]:  # the same frame again
+            stack[t] = stack[order.index(source)]
+            continue
+        z = frames[source].astype(np.float32)
+        z -= mean[:, None, None]
+        z /= std[:, None, None]
+        stack[t] = resize(z, size, config.interpolation)
     if config.include_differences:
-        z = np.concatenate([z, np.diff(z, axis=0)])
-    flat = z.reshape(-1, config.image_size, config.image_size)
-    gap = config.channels - len(flat) if config.pad_channels else 0
-    return np.pad(flat, ((0, max(gap, 0)), (0, 0), (0, 0)))
+        steps = out[n_bands * n_frames : n_out].reshape(n_frames - 1, n_bands, *size)
+        np.subtract(stack[1:], stack[:-1], out=steps)
+    return out
 
 
 def image_features(samples: DataFrame, stats: DataFrame, config: FeatureConfig, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``features`` ARRAY<FLOAT>, ``channels`` and ``image_size``."""
     if config.missing_frames not in ("repeat_last", "zero"):
         raise ValueError(f"unknown missing-frame strategy {config.missing_frames!r}")
-    resize_weights(4, 4, config.interpolation)
+    resize_taps(4, 4, config.interpolation)
     known = collect_stats(stats)
     plan = {}
     for s in dims.SENSORS:

@@ -23,7 +23,7 @@ def cut_bands(frames: DataFrame, mode: str) -> DataFrame:
     return frames.withColumn("pixels", cut)
 
 
-def _spread_key(name: Column, *ident: Column) -> Column:
+def spread_key(name: Column, *ident: Column) -> Column:
     """The join key: the name, or for rows without one a value of their own that matches nothing. NULL keys
     would all meet in one task of a shuffled outer join."""
     return F.coalesce(name, F.concat_ws(":", F.lit("\u0000"), *[i.cast("string") for i in ident]))
@@ -36,7 +36,7 @@ def match_slots(slots: DataFrame, frames: DataFrame, payload: list[str]) -> Data
     very many samples are split by AQE's skew join.
     """
     right = frames.select("sensor", F.col("filename").alias("_key"), F.lit(True).alias("_found"), "error", *payload)
-    left = slots.withColumn("_key", _spread_key(F.col("filename"), F.col("uid"), F.col("t")))
+    left = slots.withColumn("_key", spread_key(F.col("filename"), F.col("uid"), F.col("t")))
     joined = left.join(right, ["sensor", "_key"], "left")
     ok = F.coalesce(F.col("_found") & F.col("error").isNull(), F.lit(False))
     return joined.select(
@@ -50,7 +50,7 @@ def match_targets(samples: DataFrame, targets: DataFrame, size: int = dims.TARGE
     """Samples (uid, target_file, ...) with ``target`` (zeros where unavailable) and ``target_missing``
     (named but absent or unreadable; a NULL name is not counted)."""
     right = targets.select(F.col("filename").alias("_key"), F.col("rate").alias("_rate"), F.col("error").alias("_error"), F.lit(True).alias("_found"))
-    left = samples.withColumn("_key", _spread_key(F.col("target_file"), F.col("uid")))
+    left = samples.withColumn("_key", spread_key(F.col("target_file"), F.col("uid")))
     ok = F.coalesce(F.col("_found") & F.col("_error").isNull(), F.lit(False))
     zero = F.array_repeat(F.lit(0.0).cast("float"), size)
     return left.join(right, "_key", "left").select(

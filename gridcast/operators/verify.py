@@ -193,6 +193,17 @@ def full_report(pairs: DataFrame, position: list[str], rain: float = dims.RAIN_M
     return main.join(ranks, same).drop("_k_scope", "_k_sensor_id", "_k_site_id")
 
 
+def flat_metrics(scored: DataFrame) -> DataFrame:
+    """(metric, value) rows with flat names: ``rmse``, ``sat0/rmse``, ``loc3/rmse``."""
+    names = [c for c in scored.columns if c not in ("scope", "sensor_id", "site_id", "n")]
+    prefix = (
+        F.when(F.col("scope") == "sensor", F.concat(F.lit("sat"), F.col("sensor_id").cast("string"), F.lit("/")))
+        .when(F.col("scope") == "site", F.concat(F.lit("loc"), F.col("site_id").cast("string"), F.lit("/"))).otherwise("")
+    )
+    long = scored.select(prefix.alias("_p"), *names).unpivot("_p", names, "_m", "value")
+    return long.select(F.concat("_p", "_m").alias("metric"), "value")
+
+
 def batch_rmse(pairs: DataFrame, batch: str) -> DataFrame:
     d = F.col("pred") - F.col("target")
     return pairs.groupBy(batch).agg(F.sqrt(F.avg(d * d)).alias("rmse"))

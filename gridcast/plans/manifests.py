@@ -29,7 +29,7 @@ def manifest_csv(spark, sf_dir):
     """Written as a CSV manifest, then read, checked and parsed."""
     path = scratch_path(spark, "manifest")
     raw = raw_manifest(spark, sf_dir).drop("row_idx")
-    raw.withColumn("datetime", F.date_format("datetime", "yyyy-MM-dd HH:mm:ss")).write.option("header", True).csv(path)
+    raw.withColumn("datetime", F.col("datetime").cast("string")).write.option("header", True).csv(path)
     rows = mf.parse_manifest(mf.read_manifest(spark, path))
     return rows.select(
         "uid", "site", "sensor", "sensor_id", "ts", F.size("frames").alias("n_frames"),

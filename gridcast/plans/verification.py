@@ -57,6 +57,16 @@ def verify_report(spark, sf_dir):
     return rounded(verify.report(pixel_pairs(spark, sf_dir), heavy=HEAVY), *verify.SCORES)
 
 
+@query(
+    "verify_flat",
+    f"WITH {PAIRS_SQL}, {SCORE_SQL}, p AS (SELECT CASE scope WHEN 'sensor' THEN 'sat' || CAST(sensor_id AS VARCHAR) || '/' WHEN 'site' THEN 'loc' || CAST(site_id AS VARCHAR) || '/' ELSE '' END AS p, * FROM scored) "
+    + " UNION ALL ".join(f"SELECT p || '{m}' AS metric, ROUND({m}, 6) AS value FROM p" for m in verify.SCORES),
+)
+def verify_flat(spark, sf_dir):
+    """The report as flat metric names."""
+    return rounded(verify.flat_metrics(verify.report(pixel_pairs(spark, sf_dir), heavy=HEAVY)), "value")
+
+
 @query("verify_spearman", f"WITH {PAIRS_SQL}, {SPREAD_SQL} SELECT scope, sensor_id, site_id, {rounds('spearman')} FROM rho")
 def verify_spearman(spark, sf_dir):
     pairs = pixel_pairs(spark, sf_dir).withColumn("pos", F.col("site_id"))

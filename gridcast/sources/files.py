@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 
@@ -14,14 +15,28 @@ def _local(path: str) -> str | None:
     return None
 
 
+@lru_cache(maxsize=16)
+def _file_system(root: str):
+    """One client per scheme and host in a worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root)[0]
+
+
+def _remote(path: str):
+    parsed = urlparse(path)
+    system = _file_system(f"{parsed.scheme}://{parsed.netloc}/")
+    # object stores name the bucket first; file systems take the path alone
+    inner = parsed.path if parsed.scheme in ("hdfs", "viewfs") else f"{parsed.netloc}{parsed.path}"
+    return system, inner
+
+
 def open_input(path: str):
     """A seekable binary stream."""
     local = _local(path)
     if local is not None:
         return open(local, "rb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = _remote(path)
     return system.open_input_file(inner)
 
 
@@ -30,9 +45,17 @@ def read_bytes(path: str) -> bytes:
         return stream.read()
 
 
-def read_member(path: str, offset: int, size: int, method: int) -> bytes:
-    """One archive member by its local header's offset; stored (0) or deflated (8)."""
-    with open_input(path) as stream:
+class MemberReader:
+    """Reads archive members by the offset of their local header, keeping the last archive open."""
+
+    def __init__(self):
+        self._path, self._stream = None, None
+
+    def read(self, path: str, offset: int, size: int, method: int, crc: int) -> bytes:
+        if path != self._path:
+            self.close()
+            self._stream, self._path = open_input(path), path
+        stream = self._stream
         stream.seek(offset)
         head = stream.read(30)
         if head[:4] != b"PK\x03\x04":
@@ -40,11 +63,18 @@ def read_member(path: str, offset: int, size: int, method: int) -> bytes:
         name_len, extra_len = struct.unpack("<HH", head[26:30])
         stream.seek(offset + 30 + name_len + extra_len)
         data = stream.read(size)
-    if method == 0:
+        if method == 8:
+            data = zlib.decompressobj(-15).decompress(data)
+        elif method != 0:
+            raise ValueError(f"unsupported compression method {method}")
+        if zlib.crc32(data) != crc:
+            raise ValueError("checksum mismatch")
         return data
-    if method == 8:
-        return zlib.decompressobj(-15).decompress(data)
-    raise ValueError(f"unsupported compression method {method}")
+
+    def close(self) -> None:
+        if self._stream is not None:
+            self._stream.close()
+        self._path, self._stream = None, None
 
 
 def write_atomic(path: str, data: bytes) -> None:
@@ -57,9 +87,7 @@ def write_atomic(path: str, data: bytes) -> None:
             stream.write(data)
         os.replace(part, local)
         return
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = _remote(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     part = f"{inner}.{os.getpid()}.tmp"
     with system.open_output_stream(part) as stream:

@@ -155,7 +155,7 @@ def read_headers(files: DataFrame, sizes: dict[str, tuple[int, int]] | None = No
 
 
 # ---- writing --------------------------------------------------------------------------------------
-def encode_column(shape: tuple[int, int], dtype: str = "float32", n_bands: int = 1):
+def encode_column(shape: tuple[int, int], dtype: str = "float32", n_bands: int = 1, transform: tuple[float, ...] | None = None):
     """Arrow function: row-major ARRAY (bands, height, width) -> TIFF bytes."""
 
     @F.arrow_udf("binary")
@@ -163,7 +163,7 @@ def encode_column(shape: tuple[int, int], dtype: str = "float32", n_bands: int =
         from gridcast.functions.kernels import to_block
 
         block = to_block(values, (n_bands, *shape)).astype(dtype)
-        return pa.array([tiff.write_raster(b) for b in block], pa.binary())
+        return pa.array([tiff.write_raster(b, transform) for b in block], pa.binary())
 
     return run
 
@@ -205,13 +205,13 @@ def prediction_faults(preds: DataFrame, manifest: DataFrame, size: tuple[int, in
     return both.select("uid", fault.alias("fault")).where(F.col("fault").isNotNull())
 
 
-def write_predictions(preds: DataFrame, manifest: DataFrame, root: str, size: tuple[int, int] = dims.TARGET_SIZE) -> DataFrame:
+def write_predictions(preds: DataFrame, manifest: DataFrame, root: str, size: tuple[int, int] = dims.TARGET_SIZE, transform: tuple[float, ...] | None = None) -> DataFrame:
     """One float32 raster per manifest row, named by its target file; refuses to write on any fault."""
     faults = prediction_faults(preds, manifest, size).limit(5).collect()
     if faults:
         raise ValueError(f"predictions do not match the manifest: {[tuple(r) for r in faults]}")
     named = manifest.select("uid", "target_file").join(preds.select("uid", "rate"), "uid")
-    files = named.select(F.col("target_file").alias("filename"), encode_column(size)("rate").alias("content"))
+    files = named.select(F.col("target_file").alias("filename"), encode_column(size, transform=transform)("rate").alias("content"))
     return write_files(files, root)
 
 

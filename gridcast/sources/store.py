@@ -13,14 +13,17 @@ from gridcast import dims
 from gridcast.functions.rows import unpack
 from gridcast.functions.columns import frame_path, target_path
 from gridcast.operators.manifest import sensor_counts
+from gridcast.operators.samples import spread_key
 from gridcast.sources import tiff
-from gridcast.sources.files import read_bytes, read_member
+from gridcast.sources.files import MemberReader, read_bytes
 
 FRAME_TYPE = "struct<t:int,valid:boolean,outcome:string,pixels:binary>"
 STORE_SCHEMA = (
     "uid string, site string, sensor string, ts timestamp_ntz, target_file string, band_mode string, "
     f"frames array<{FRAME_TYPE}>, target array<float>, target_missing boolean"
 )
+MEMBER_FIELDS = {"offset": "bigint", "size": "bigint", "method": "int", "crc": "bigint"}
+PLACE_TYPE = "struct<path:string," + ",".join(f"{n}:{k}" for n, k in MEMBER_FIELDS.items()) + ">"
 SAMPLES_PER_TASK = 256
 ROWS_PER_OUTPUT = 16
 
@@ -29,7 +32,7 @@ def locate_in_folders(manifest: DataFrame, root: str, load_targets: bool = True)
     """Give every slot and target its place: ``struct<path, offset, size, method>``, NULL when not named."""
     place = lambda p: F.when(
         p.isNotNull(),
-        F.struct(p.alias("path"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("int").alias("method")),
+        F.struct(p.alias("path"), *[F.lit(None).cast(kind).alias(name) for name, kind in MEMBER_FIELDS.items()]),
     )
     target = target_path(root, F.col("target_file")) if load_targets else F.lit(None).cast("string")
     slots = F.transform("slots", lambda f: F.struct(f.isNotNull().alias("named"), place(frame_path(root, F.col("sensor"), f)).alias("place")))
@@ -38,7 +41,7 @@ def locate_in_folders(manifest: DataFrame, root: str, load_targets: bool = True)
 
 def locate_in_archives(manifest: DataFrame, frame_index: DataFrame, target_index: DataFrame | None = None, load_targets: bool = True) -> DataFrame:
     """The same from archive indexes (joins on names only)."""
-    entry = F.struct(F.col("archive").alias("path"), "offset", "size", "method")
+    entry = F.struct(F.col("archive").alias("path"), *MEMBER_FIELDS)
     frames = frame_index.select("filename", entry.alias("place"))
     targets = (target_index or frame_index).select(F.col("filename").alias("target_file"), entry.alias("target_place"))
     slots = unpack(manifest, ["uid"], "slots", "t", "filename")
@@ -50,19 +53,20 @@ def locate_in_archives(manifest: DataFrame, frame_index: DataFrame, target_index
         ]).alias("places")
     )
     out = manifest.select("uid", "site", "sensor", "ts", "target_file").join(per_sample, "uid", "left")
-    nothing = F.array_repeat(F.struct(F.lit(False).alias("named"), F.lit(None).cast("struct<path:string,offset:bigint,size:bigint,method:int>").alias("place")), dims.FRAMES_PER_SAMPLE)
+    nothing = F.array_repeat(F.struct(F.lit(False).alias("named"), F.lit(None).cast(PLACE_TYPE).alias("place")), dims.FRAMES_PER_SAMPLE)
     out = out.withColumn("places", F.coalesce("places", nothing))
     if load_targets:
-        out = out.join(targets, "target_file", "left")
+        key = spread_key(F.col("target_file"), F.col("uid"))
+        out = out.withColumn("_key", key).join(targets.withColumnRenamed("target_file", "_key"), "_key", "left").drop("_key")
     else:
-        out = out.withColumn("target_place", F.lit(None).cast("struct<path:string,offset:bigint,size:bigint,method:int>"))
+        out = out.withColumn("target_place", F.lit(None).cast(PLACE_TYPE))
     return out.withColumn("load_target", F.lit(load_targets))
 
 
-def _fetch(place: dict) -> bytes:
+def _fetch(reader: MemberReader, place: dict) -> bytes:
     if place["offset"] is None:
         return read_bytes(place["path"])
-    return read_member(place["path"], place["offset"], place["size"], place["method"])
+    return reader.read(*(place[k] for k in ("path", *MEMBER_FIELDS)))
 
 
 def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, sizes=None, target_size=dims.TARGET_SIZE) -> DataFrame:
@@ -73,38 +77,39 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
     kept = ["uid", "site", "sensor", "ts", "target_file"]
     frame_kind = pa.list_(pa.struct([("t", pa.int32()), ("valid", pa.bool_()), ("outcome", pa.string()), ("pixels", pa.binary())]))
 
-    def frame(t, slot, sensor):
+    def frame(reader, t, slot, sensor):
         bands, size = plan[sensor]
         outcome = "missing"
         if slot["named"]:
             outcome = "corrupt"
             if slot["place"] is not None:
                 try:
-                    block, head = decoder(_fetch(slot["place"]))
+                    block, head = decoder(_fetch(reader, slot["place"]))
                     block = tiff.check_frame(block, head, dims.BANDS_TOTAL, size)
                     return {"t": t, "valid": True, "outcome": "ok", "pixels": block[bands].tobytes()}
                 except Exception:
                     pass
         return {"t": t, "valid": False, "outcome": outcome, "pixels": bytes(len(bands) * size[0] * size[1])}
 
-    def target(place, named):
+    def target(reader, place, named):
         if place is not None:
             try:
-                block, head = decoder(_fetch(place))
+                block, head = decoder(_fetch(reader, place))
                 return tiff.check_target(block, head, target_size).reshape(-1), False
             except Exception:
                 pass
         return np.zeros(n_target, np.float32), bool(named)
 
     def run(batches):
+        reader = MemberReader()
         for big in batches:
             for at in range(0, big.num_rows, ROWS_PER_OUTPUT):
                 batch = big.slice(at, ROWS_PER_OUTPUT)
                 frames, rates, lost = [], [], []
                 columns = (batch[c].to_pylist() for c in ("sensor", "places", "target_place", "target_file", "load_target"))
                 for sensor, places, place, name, load in zip(*columns):
-                    frames.append([frame(t, slot, sensor) for t, slot in enumerate(places)])
-                    rate, missing = target(place, load and name is not None)
+                    frames.append([frame(reader, t, slot, sensor) for t, slot in enumerate(places)])
+                    rate, missing = target(reader, place, load and name is not None)
                     rates.append(rate)
                     lost.append(missing)
                 yield pa.RecordBatch.from_arrays(
