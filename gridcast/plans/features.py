@@ -10,7 +10,7 @@ from gridcast.functions.rows import unpack
 from gridcast.functions.kernels import resize_column
 from gridcast.operators import augment, profiles, scoring, stats
 from gridcast.plans.registry import query, rounded, rounds
-from gridcast.plans.views import GRID, GRIDS_SQL, PAIRS_SQL, SLOTS_SQL, cells, day_slots, grids, pixel_pairs, table
+from gridcast.plans.views import GRID, GRIDS_SQL, PAIRS_SQL, SCALE, SLOTS_SQL, cells, day_slots, grids, pixel_pairs, table
 
 
 # ---- statistics and scaling -----------------------------------------------------------------------
@@ -302,11 +302,11 @@ def tensor_profile(spark, sf_dir):
 
 @query(
     "day_night_profile",
-    "WITH c AS (SELECT CASE WHEN hour(ts) BETWEEN 14 AND 22 THEN 'night' WHEN hour(ts) BETWEEN 2 AND 7 THEN 'day' END AS hour_class, value FROM events) "
+    f"WITH c AS (SELECT CASE WHEN hour(ts) BETWEEN 14 AND 22 THEN 'night' WHEN hour(ts) BETWEEN 2 AND 7 THEN 'day' END AS hour_class, value * {SCALE}::DOUBLE AS value FROM events) "
     "SELECT hour_class, COUNT(*) AS n, ROUND(AVG(value), 6) AS mean, ROUND(STDDEV_SAMP(value), 6) AS std, BOOL_AND(NOT isnan(value) AND NOT isinf(value)) AS finite FROM c WHERE hour_class IS NOT NULL GROUP BY 1",
 )
 def day_night_profile(spark, sf_dir):
-    return rounded(profiles.day_night(table(spark, sf_dir, "events"), "ts", "value"), "mean", "std")
+    return rounded(profiles.day_night(table(spark, sf_dir, "events").select("ts", (F.col("value") * SCALE).alias("value")), "ts", "value"), "mean", "std")
 
 
 @query(

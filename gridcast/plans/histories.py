@@ -5,15 +5,13 @@ from pyspark.sql import functions as F
 
 from gridcast.operators import history
 from gridcast.plans.registry import query, rounded
-from gridcast.plans.views import table
+from gridcast.plans.views import SCALE, table
 from gridcast.scratch import scratch_path
 
 # one run per event type, one epoch per day; the morning counts as raw weights, the rest as averaged ones
-DAILY_SQL = """daily AS (
+DAILY_SQL = f"""daily AS (
   SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, CASE WHEN hour(ts) < 12 THEN 'raw' ELSE 'ema' END AS tag,
-         AVG(value) AS value, COUNT(*) AS n FROM events GROUP BY 1, 2, 3)"""
-# event values have two decimals, and their means tie when rounded; scaled values do not
-SCALE = 0.7310585786300049
+         AVG(value * {SCALE}::DOUBLE) AS value, COUNT(*) AS n FROM events GROUP BY 1, 2, 3)"""
 # one run per user, one epoch per event
 LONG_SQL = f"""long AS (
   SELECT user_id, value * {SCALE}::DOUBLE AS value, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)"""
@@ -22,7 +20,7 @@ LONG_SQL = f"""long AS (
 def daily(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch"), F.when(F.hour("ts") < 12, "raw").otherwise("ema").alias("tag")
-    ).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    ).agg(F.avg(F.col("value") * SCALE).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 @query("history_series", f"WITH {DAILY_SQL} SELECT epoch, run || '/' || tag AS tag, metric, ROUND(CASE metric WHEN 'rmse' THEN value ELSE n END, 6) AS value FROM daily, (SELECT UNNEST(['rmse', 'csi']) AS metric)")

@@ -15,7 +15,7 @@ from gridcast.functions.rows import unpack
 from gridcast.operators import ensemble, features as ft, sampling, stats
 from gridcast.plans.registry import query, rounded, rounds
 from gridcast.plans.verification import HEAVY, SCORE_SELECT, SCORE_SQL
-from gridcast.plans.views import GRIDS_SQL, PAIRS_SQL, grids, pixel_pairs, sensor_of, table
+from gridcast.plans.views import GRIDS_SQL, PAIRS_SQL, SCALE, grids, pixel_pairs, sensor_of, table
 from gridcast.operators import verify
 from gridcast.scratch import materialise, scratch_path
 from gridcast.sources import archive, norm_stats, rasters, store
@@ -448,7 +448,7 @@ def verify_stream(spark, sf_dir):
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     pairs = stream.select(
         F.col("l_suppkey").alias("site_id"), (F.col("l_linenumber") % 3).cast("int").alias("sensor_id"),
-        (F.col("l_quantity") * F.col("l_discount")).alias("target"), (F.col("l_quantity") * F.col("l_tax")).alias("pred"),
+        (F.col("l_quantity") * F.col("l_discount") * SCALE).alias("target"), (F.col("l_quantity") * F.col("l_tax") * SCALE).alias("pred"),
     )
     path = scratch_path(spark, "cells")
     live.start_cells(pairs, path, scratch_path(spark, "checkpoint"), heavy=HEAVY).awaitTermination()

@@ -11,12 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# The tables hold values of two decimals, whose means can fall exactly between two rounded results. Rates are
+# scaled by a factor without a short decimal form, so that rounding is never a matter of the last bit.
+SCALE = 1.3678794411714423
+
 # ---- pixel pairs: one row per line item -----------------------------------------------------------
 POSITION = ["uid", "line", "part", "site_id"]
-PAIRS_SQL = """pairs AS (
+PAIRS_SQL = f"""pairs AS (
   SELECT l_orderkey AS uid, l_linenumber AS line, l_partkey AS part, l_suppkey AS site_id,
          CAST(l_linenumber % 3 AS INTEGER) AS sensor_id,
-         l_quantity * l_discount AS target, l_quantity * l_tax AS pred
+         l_quantity * l_discount * {SCALE}::DOUBLE AS target, l_quantity * l_tax * {SCALE}::DOUBLE AS pred
   FROM lineitem)"""
 
 
@@ -24,7 +28,8 @@ def pixel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("uid"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
         F.col("l_suppkey").alias("site_id"), (F.col("l_linenumber") % 3).cast("int").alias("sensor_id"),
-        (F.col("l_quantity") * F.col("l_discount")).alias("target"), (F.col("l_quantity") * F.col("l_tax")).alias("pred"),
+        (F.col("l_quantity") * F.col("l_discount") * SCALE).alias("target"),
+        (F.col("l_quantity") * F.col("l_tax") * SCALE).alias("pred"),
     )
 
 
@@ -97,15 +102,15 @@ def raw_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- slots: event means in three 8-hour frames of a user's day ------------------------------------
-SLOTS_SQL = """slot_means AS (
-  SELECT user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) // 8 AS INTEGER) AS t, AVG(value) AS v
+SLOTS_SQL = f"""slot_means AS (
+  SELECT user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) // 8 AS INTEGER) AS t, AVG(value * {SCALE}::DOUBLE) AS v
   FROM events GROUP BY 1, 2, 3)"""
 
 
 def day_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, day, values ARRAY of 3, valid ARRAY of 3) in a single aggregation."""
     events = table(spark, sf_dir, "events").select(
-        "user_id", F.col("ts").cast("date").alias("day"), (F.hour("ts") / 8).cast("int").alias("t"), "value"
+        "user_id", F.col("ts").cast("date").alias("day"), (F.hour("ts") / 8).cast("int").alias("t"), (F.col("value") * SCALE).alias("value")
     )
     means = [F.avg(F.when(F.col("t") == t, F.col("value"))) for t in range(3)]
     rows = events.groupBy("user_id", "day").agg(F.array(*means).alias("values"))
