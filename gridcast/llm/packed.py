@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridcast.llm.common import U64
+from gridcast.llm.common import U64, mix
 
 ROWS = "bucket int, keys binary, checks binary, docs binary, counts binary, pos binary, hubs binary"
 NAMES = ["bucket", "keys", "checks", "docs", "counts", "pos", "hubs"]
@@ -108,12 +108,34 @@ def _unpacked(rows: list[dict]):
     return docs, get("pos", np.uint32)
 
 
-def _marks(docs: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+MARKS = "bucket int, docs binary, counts binary, pos binary"
+
+
+def _marks(docs: np.ndarray, pos: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """Positions by document, many documents to a row: a row per document and task would be more rows than entries."""
+    bucket = (mix(docs.view(U64)) % U64(n_buckets)).astype(np.int64)
+    o = np.lexsort((pos, docs, bucket))
+    docs, pos, bucket = docs[o], pos[o], bucket[o]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(docs) else np.zeros(0, int)
+    rows = [_rows(bucket[a], None, None, docs[a:b], pos[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(docs)] if len(docs) else cut)]
+    columns = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(columns[i], pa.binary()) for i in (3, 4, 5)]], names=["bucket", "docs", "counts", "pos"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, found) from the rows of some buckets: one row per document, its positions as uint32 numbers."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    docs, pos = _unpacked(rows)
+    rows.clear()
     o = np.lexsort((pos, docs))
     docs, pos = docs[o], pos[o]
-    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, int)
-    ends = np.r_[cut[1:], len(docs)] if len(docs) else cut
-    return pa.RecordBatch.from_arrays([pa.array(docs[cut]), pa.array([pos[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], names=["doc_id", "pos"])
+    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    ends = np.r_[cut[1:], len(docs)]
+    for i in range(0, len(cut), 5000):
+        found = [pos[a:b].tobytes() for a, b in zip(cut[i:i + 5000], ends[i:i + 5000])]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[cut[i:i + 5000]]), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
 
 def _edges(keys, docs, hubs) -> pa.RecordBatch:
@@ -128,7 +150,7 @@ def gathered(df: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterat
     sent = df.mapInArrow(lambda batches: packed(entries(batches), mode, n_buckets), ROWS).repartition(n, "bucket")
 
     def settle(batches):
-        rows = []
+        rows, marks = [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["hubs"] is None:
@@ -137,7 +159,7 @@ def gathered(df: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterat
                     docs, _ = _unpacked([r])
                     yield _edges(np.frombuffer(r["keys"], U64), docs, np.frombuffer(r["hubs"], np.int64))
                 else:
-                    yield _marks(*_unpacked([r]))
+                    marks.append(_unpacked([r]))
         if rows:
             docs, pos = _unpacked(rows)
             keys = np.concatenate([np.frombuffer(r["keys"], U64) for r in rows])
@@ -146,8 +168,15 @@ def gathered(df: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterat
             member, hub = repeats(keys, checks, docs, pos)
             if len(member):
                 k, d, p, h = _settled(mode, keys, docs, pos, member, hub)
-                for i in range(0, len(d), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield _edges(k[s], d[s], h[s]) if mode == "edges" else _marks(d[s], p[s])
+                if mode == "edges":
+                    for i in range(0, len(d), 1 << 16):
+                        s = slice(i, i + (1 << 16))
+                        yield _edges(k[s], d[s], h[s])
+                else:
+                    marks.append((d, p))
+        if marks:
+            yield _marks(*(np.concatenate(x) for x in zip(*marks)), n_buckets)
 
-    return sent.mapInArrow(settle, "key bigint, a bigint, b bigint" if mode == "edges" else "doc_id bigint, pos binary")
+    if mode == "edges":
+        return sent.mapInArrow(settle, "key bigint, a bigint, b bigint")
+    return sent.mapInArrow(settle, MARKS).repartition(n, "bucket").mapInArrow(_by_document, "doc_id bigint, found binary")

@@ -141,7 +141,7 @@ def verify(width: int):
                 if not len(p):
                     continue
                 d = np.searchsorted(begins, p, side="right") - 1
-                wanted = [np.concatenate([np.frombuffer(x, np.uint32) for x in found]).astype(np.int64) + 2 * begins[i] for i, found in enumerate(batch.column("found")[lo:hi].to_pylist()) if found]
+                wanted = [np.frombuffer(found, np.uint32).astype(np.int64) + 2 * begins[i] for i, found in enumerate(batch.column("found")[lo:hi].to_pylist()) if found]
                 p = p[np.isin(tag, np.concatenate(wanted))] if wanted else p[:0]
                 if len(p):
                     d = np.searchsorted(begins, p, side="right") - 1
@@ -152,15 +152,14 @@ def verify(width: int):
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, found): for each document that has any, the starts of windows whose word sequence also starts
-    earlier (smaller doc_id, or the same document), as a list of uint32 arrays. A null doc_id counts as the smallest
+    earlier (smaller doc_id, or the same document), as uint32 numbers. A null doc_id counts as the smallest
     and is returned as LEAST_ID. Rows that share a doc_id are one document: none of them is earlier than another."""
     if width < 4:
         raise ValueError("a window has 4 words at least")
     n = fan_out(docs)
-    found = lambda df: df.groupBy("doc_id").agg(F.collect_list("pos").alias("found"))
-    named = stored(found(gathered(docs, reveal(width), "both", n)), "names")
+    named = stored(gathered(docs, reveal(width), "both", n), "names")
     some = with_found(docs, named, "inner").where("text IS NOT NULL")
-    return stored(found(gathered(some, verify(width), "later", n)), "repeats")
+    return stored(gathered(some, verify(width), "later", n), "repeats")
 
 
 def with_found(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
@@ -168,14 +167,13 @@ def with_found(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFram
     return docs.join(found.withColumnRenamed("doc_id", "_found_id"), key == F.col("_found_id"), how).drop("_found_id")
 
 
-def covered(starts: list[bytes] | None, n_words: int, width: int) -> np.ndarray:
+def covered(starts: bytes, n_words: int, width: int) -> np.ndarray:
     """Which words lie in a window that starts at one of ``starts``."""
     change = np.zeros(n_words + width + 1, np.int32)
-    if starts:
-        at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in starts]).astype(np.int64))
-        at = at[at + width <= n_words]
-        change[at] += 1
-        change[at + width] -= 1
+    at = np.unique(np.frombuffer(starts, np.uint32)).astype(np.int64)
+    at = at[at + width <= n_words]
+    change[at] += 1
+    change[at + width] -= 1
     return np.cumsum(change)[:n_words] > 0
 
 
