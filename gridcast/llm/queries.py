@@ -3,14 +3,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import recompression
+from gridcast.llm import chunked_bpe, circulant, langmask, mixing, recompression, urlfilter, zstd_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
 
 def query(run: Query) -> Query:
     QUERIES[run.__name__] = run
@@ -21,7 +27,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from each document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~zstd_quality.held_out())
+    scored = zstd_quality.score(docs, zstd_quality.fit(docs, labels))
+    return scored.select("doc_id", zstd_quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their 2-word shingles."""
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 @query
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after repeats of 20 words are cut."""
     return recompression.remove_repeats(table(spark, sf_dir, "documents"), width=20, digest=True)
+
+
+@query
+def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of their decoding."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return chunked_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digest=True)
+
+
+@query
+def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a quarter of the documents is held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langmask.identify(docs, langmask.fit(docs.where(~langmask.held_out())))
+    return found.select("doc_id", langmask.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)

@@ -1,0 +1,134 @@
+"""URL filter: rules by host and path, and a logistic regression for what no rule fits.
+
+The regression sees hashed character n-grams of host and path. It is trained from a small table of labelled URLs
+(``LABELLED`` unless the caller gives one) on the driver; pages are judged in Arrow batches.
+"""
+from __future__ import annotations
+
+import string
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+FEATURES = 1 << 14
+SIZES = (3, 4, 5)
+MOST_RULES = 1000  # rules are part of the plan
+
+# labelled URLs: 1 is to be blocked
+LABELLED: list[tuple[str, int]] = [(f"https://{host}{path}", 1) for host, path in (
+    ("casino-royal.example.org", "/en/slots"), ("www.casino-win.example.net", "/de/bonus"), ("play-casino.example.com", "/"),
+    ("poker-win.example.org", "/en/table/7"), ("m.pokerstars-bonus.example.net", "/fr/"), ("bet-win.example.com", "/es/odds"),
+    ("sportsbetting.example.org", "/live/123"), ("best-slots.example.net", "/jackpot"), ("jackpot-lottery.example.com", "/win"),
+    ("free-porn.example.org", "/video/81"), ("xxx-tube.example.net", "/en/adult"), ("adult-cams.example.com", "/xxx/"),
+    ("sexchat.example.org", "/en/"), ("hot-dating.example.net", "/girls/55"), ("cheap-viagra.example.com", "/buy-now"),
+    ("pills-pharmacy.example.org", "/order/cialis"), ("free-crack.example.net", "/download/keygen"), ("warez-torrent.example.com", "/crack/9"),
+    ("clickbait-ads.example.org", "/track/click"), ("ads-tracker.example.net", "/banner/1"), ("spam-offer.example.com", "/free-money"),
+    ("winprize.example.org", "/claim-prize"), ("crypto-doubler.example.net", "/invest"), ("malware-host.example.com", "/payload.exe"),
+    ("phish-login.example.org", "/verify-account"), ("payday-loans.example.net", "/apply"), ("replica-watches.example.com", "/sale"),
+    ("news.example.org", "/casino-bonus/free-spins"), ("blog.example.net", "/buy-viagra-online"), ("forum.example.com", "/xxx-porn-free"),
+)] + [(f"https://{host}{path}", 0) for host, path in (
+    ("www.library.example.org", "/en/4812"), ("blog.garden.example.net", "/de/3301"), ("m.weather.example.com", "/fr/5155"),
+    ("news.city.example.org", "/en/7817.html"), ("university.example.net", "/research/paper/12"), ("docs.software.example.com", "/en/guide/"),
+    ("museum.example.org", "/es/collection"), ("recipes.example.net", "/en/bread"), ("history.example.com", "/de/1848"),
+    ("science.example.org", "/article/331"), ("www.school.example.net", "/fr/cours"), ("wiki.example.com", "/wiki/Language"),
+    ("travel.example.org", "/es/madrid"), ("health.example.net", "/en/advice/6120"), ("blog.music.example.com", "/en/3265"),
+    ("government.example.org", "/de/gesetz"), ("maps.example.net", "/en/9623"), ("www.books.example.com", "/fr/roman/88"),
+    ("theatre.example.org", "/en/4205"), ("m.nature.example.net", "/de/7913"), ("oneration.example.com", "/en/669"),
+    ("tiontheth.example.org", "/en/8085.html"), ("www.anderen.example.net", "/de/1294/"), ("blog.therning.example.com", "/fr/6380/"),
+    ("ththere.example.org", "/fr/3739"), ("m.statble.example.net", "/en/4013"), ("restion.example.com", "/en/6158/"),
+    ("ingthand.example.org", "/en/7788"), ("edonand.example.net", "/de/64"), ("heresth.example.com", "/es/8017"),
+)]
+
+
+def split(url: Column) -> tuple[Column, Column]:
+    """Host with A-Z lower-cased, and path; both empty for null or without ``://``."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    rest = F.coalesce(rest, F.lit(""))
+    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
+    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+
+
+def grams(host: str, path: str) -> np.ndarray:
+    """Feature numbers of all n-grams, those of the host apart from those of the path."""
+    out = []
+    for salt, part in ((1, host), (2, path)):
+        b = np.frombuffer(f"^{part}$".encode(), np.uint8).astype(np.uint64)
+        for n in SIZES:
+            if len(b) >= n:
+                g = np.zeros(len(b) - n + 1, np.uint64)
+                for i in range(n):
+                    g = (g * np.uint64(257) + b[i:len(b) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                g = (g + np.uint64(salt * 8 + n)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                out.append((g >> np.uint64(50)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def vector(host: str, path: str) -> tuple[np.ndarray, float]:
+    """Distinct features, and the weight of each: their squares sum to one."""
+    g = np.unique(grams(host, path))
+    return g, 1.0 / np.sqrt(max(1, len(g)))
+
+
+def _parts(url: str) -> tuple[str, str]:
+    rest = url.partition("://")[2]
+    ends = [i for i in (rest.find(c) for c in "/?#") if i >= 0]
+    host, tail = rest[:min(ends, default=len(rest))], rest[min(ends, default=len(rest)):]
+    return host.lower(), tail.split("?")[0].split("#")[0]
+
+
+def fit(labelled: Sequence[tuple[str, int]], steps: int = 1000, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and intercept by gradient descent; the table is small, a few thousand URLs at most."""
+    rows = [vector(*_parts(u)) for u, _ in labelled]
+    y = np.array([label for _, label in labelled], float)
+    used = np.unique(np.concatenate([g for g, _ in rows]))
+    x = np.zeros((len(rows), len(used)))
+    for i, (g, s) in enumerate(rows):
+        x[i, np.searchsorted(used, g)] = s
+    w, bias = np.zeros(len(used)), 0.0
+    for _ in range(steps):
+        miss = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
+        w -= rate * (x.T @ miss / len(rows) + decay * w)
+        bias -= rate / 10 * miss.mean()
+    out = np.zeros(FEATURES)
+    out[used] = w
+    return out, bias
+
+
+def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], field: int | None) -> Column:
+    """The longest fitting rule's text (``field`` None) or verdict, null if none fits."""
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules")
+    out = F.lit(None).cast("string")
+    for rule in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2])):
+        verdict, h, p = rule
+        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
+        out = F.when(fits, F.lit(h + p if field is None else verdict)).otherwise(out)
+    return out
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Sequence[tuple[str, int]] = LABELLED, least: float = 0.5) -> DataFrame:
+    """(page_id, host, path, rule, verdict, risk) per row of ``pages`` (page_id, url).
+
+    ``rules`` are (verdict, host, path); a rule fits its host and all subdomains where the path starts with its own,
+    and the longest decides. Where none fits (also for a null url) the regression blocks from a risk of ``least`` on.
+    """
+    w, bias = fit(labelled)
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), *[c.alias(n) for c, n in zip(split(F.col("url").cast("string")), ("host", "path"))])
+
+    def rows(batches):
+        for batch in batches:
+            risk, known = [], {}
+            for key in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
+                if key not in known:
+                    g, s = vector(*key)
+                    known[key] = float(1 / (1 + np.exp(-(bias + w[g].sum() * s))))
+                risk.append(known[key])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(risk)], names=[*batch.schema.names, "risk"])
+
+    scored = base.mapInArrow(rows, "page_id bigint, host string, path string, risk double")
+    host, path = F.col("host"), F.col("path")
+    verdict = F.coalesce(rule_for(host, path, rules, 0), F.when(F.col("risk") >= least, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", rule_for(host, path, rules, None).alias("rule"), verdict.alias("verdict"), "risk")
