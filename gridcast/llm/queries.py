@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import chunked_bpe, circulant, langmask, mixing, recompression, urlfilter, zstd_quality
+from gridcast.llm import bitsliced, chunked_bpe, circulant, edit_embed, langmask, mixing, recompression, urlfilter, wavelet, zstd_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,12 +48,43 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@query
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's ids in the token files."""
+    files = wavelet.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return wavelet.read_documents(files)
+
+
 @query
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left in every document after repeats of 20 words are cut."""
     return recompression.remove_repeats(table(spark, sf_dir, "documents"), width=20, digest=True)
 
 
+@query
+def op6_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+SQL["op6_bitsliced_topk"] = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, r.vec_id,
+        CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 @query
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoding."""
@@ -73,3 +104,9 @@ def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return edit_embed.with_edits(table(spark, sf_dir, "documents"))

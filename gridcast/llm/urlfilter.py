@@ -27,6 +27,8 @@ LABELLED: list[tuple[str, int]] = [(f"https://{host}{path}", 1) for host, path i
     ("clickbait-ads.example.org", "/track/click"), ("ads-tracker.example.net", "/banner/1"), ("spam-offer.example.com", "/free-money"),
     ("winprize.example.org", "/claim-prize"), ("crypto-doubler.example.net", "/invest"), ("malware-host.example.com", "/payload.exe"),
     ("phish-login.example.org", "/verify-account"), ("payday-loans.example.net", "/apply"), ("replica-watches.example.com", "/sale"),
+    ("adult-video.example.org", "/en/clip"), ("adult-movies.example.net", "/es/5519"), ("my-adult.example.com", "/fr/41"),
+    ("casino-online.example.org", "/en/2207"), ("x-rated.example.net", "/de/318"), ("x-adult-x.example.com", "/en/77"),
     ("news.example.org", "/casino-bonus/free-spins"), ("blog.example.net", "/buy-viagra-online"), ("forum.example.com", "/xxx-porn-free"),
 )] + [(f"https://{host}{path}", 0) for host, path in (
     ("www.library.example.org", "/en/4812"), ("blog.garden.example.net", "/de/3301"), ("m.weather.example.com", "/fr/5155"),
