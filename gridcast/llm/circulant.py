@@ -103,7 +103,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(t, size, cache).tobytes() for t in batch.column("text")[lo:hi].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(sets, pa.binary())], names=["doc_id", "found"])
 
-    return docs.join(wanted, docs["doc_id"] == wanted["v"], "left_semi").mapInArrow(rows, "doc_id bigint, found binary")
+    # the same kind of join at every size
+    return docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["v"], "left_semi").mapInArrow(rows, "doc_id bigint, found binary")
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
