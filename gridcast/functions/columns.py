@@ -14,11 +14,14 @@ def frame_list(cell: Column) -> Column:
     text = F.trim(cell)
     blank = cell.isNull() | text.isin("", "[]", "()", "nan", "NaN")
     # a tuple needs a comma, as "('a')" is a plain string
+    text = F.when(text.rlike(r"^[(\[]\s*[)\]]$"), "[]").otherwise(text)
+    blank = blank | (text == "[]")
     as_list = F.when(
         text.rlike(r"(?s)^\(.*,.*\)$"), F.concat(F.lit("["), F.substring(text, 2, F.length(text) - 2), F.lit("]"))
     ).otherwise(text)
     as_list = F.regexp_replace(as_list, r",\s*\]$", "]")
-    parsed = F.from_json(as_list, "array<string>", {"allowSingleQuotes": "true"})
+    # the parser stops at the closing bracket, whatever follows it
+    parsed = F.when(as_list.rlike(r"(?s)^\[.*\]$"), F.from_json(as_list, "array<string>", {"allowSingleQuotes": "true"}))
     failed = F.raise_error(F.concat(F.lit("could not parse frame list: "), F.coalesce(cell, F.lit("NULL"))))
     return F.when(blank, F.array().cast("array<string>")).otherwise(
         F.coalesce(parsed, failed.cast("array<string>"))

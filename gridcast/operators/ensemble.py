@@ -34,9 +34,18 @@ def coverage_gaps(files: DataFrame, n_runs: int, run: str = "run", name: str = "
 
 
 def combine_pixels(pixels: DataFrame, keys: list[str], weights: dict[str, float], run: str = "run", rate: str = "rate", cap: float = 60.0, floor: float = 0.15) -> DataFrame:
-    """Weighted mean of long-form pixels, clipped and cut."""
-    total = F.sum(weight_column(F.col(run), weights) * F.col(rate).cast("double"))
-    return pixels.groupBy(*keys).agg(total.alias("_m")).select(*keys, drizzle_cut(F.col("_m"), cap, floor).alias(rate))
+    """Weighted mean of long-form pixels, clipped and cut. A pixel that a run lacks or holds twice, a NULL rate and a
+    run without a weight fail."""
+    weight = F.coalesce(weight_column(F.col(run), weights), F.raise_error(F.concat(F.lit("unlisted run "), F.col(run))).cast("double"))
+    sums = pixels.groupBy(*keys).agg(
+        F.sum(weight * F.col(rate).cast("double")).alias("_m"), F.count(rate).alias("_n"), F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(run) == r).alias(f"_c{i}") for i, r in enumerate(weights)],
+    )
+    whole = (F.col("_n") == len(weights)) & (F.col("_rows") == len(weights))
+    for i in range(len(weights)):
+        whole = whole & (F.col(f"_c{i}") == 1)
+    mean = F.when(whole, F.col("_m")).otherwise(F.raise_error(F.lit("runs do not cover every pixel once")).cast("double"))
+    return sums.select(*keys, drizzle_cut(mean, cap, floor).alias(rate))
 
 
 def combine_grids(grids: DataFrame, weights: dict[str, float], run: str = "run", name: str = "filename", rate: str = "rate", cap: float = 60.0, floor: float = 0.15) -> DataFrame:
@@ -46,8 +55,8 @@ def combine_grids(grids: DataFrame, weights: dict[str, float], run: str = "run",
     the number of rows. A file that a run lacks, or lists twice, fails.
     """
     slots = [F.max(F.when(F.col(run) == r, F.col(rate))).alias(f"_r{i}") for i, r in enumerate(weights)]
-    per_run = grids.where(F.col(run).isin(*weights))
-    wide = per_run.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), *slots)
+    known = F.when(F.col(run).isin(*weights), F.col(run)).otherwise(F.raise_error(F.concat(F.lit("unlisted run "), F.col(run))).cast("string"))
+    wide = grids.withColumn(run, known).groupBy(name).agg(F.count(F.lit(1)).alias("_n"), *slots)
     lacks = F.col("_n") != len(weights)
     for i in range(len(weights)):
         lacks = lacks | F.col(f"_r{i}").isNull()

@@ -128,6 +128,9 @@ def image_features(samples: DataFrame, stats: DataFrame, config: FeatureConfig,
 def feature_records(samples: DataFrame, stats: DataFrame, config: FeatureConfig = FeatureConfig(), site_ids: DataFrame | None = None) -> DataFrame:
     """The full training record: image features, targets in three forms, ids, masks and time features."""
     keep = ["uid", "sensor", "site", "ts", "target"]
+    if site_ids is not None:  # joined while rows are small; a NULL site has no id
+        samples = samples.join(site_ids, "site", "left")
+        keep = [*keep, *[c for c in site_ids.columns if c != "site"]]
     base = samples.withColumn("valid", F.transform("frames", lambda f: f["valid"]))
     out = image_features(base, stats, config, keep + ["valid"])
     rate = F.col("target")
@@ -140,6 +143,4 @@ def feature_records(samples: DataFrame, stats: DataFrame, config: FeatureConfig
             "valid_mask": F.transform("valid", lambda v: v.cast("float")),
         }
     ).withColumn("aux", fx.aux_vector(F.col("sensor_id"), F.col("ts")))
-    if site_ids is not None:
-        out = out.join(site_ids, "site")
     return out

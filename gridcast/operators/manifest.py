@@ -14,7 +14,7 @@ RAW_SCHEMA = T.StructType(
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """CSV manifest with a header. Columns are matched by name; a missing one is reported before the scan.
+    """CSV manifest with a header. A missing column is reported before the scan; files must share one header.
     ``row_idx`` grows in file order (gaps allowed; see :func:`with_row_number`)."""
     header = spark.read.option("header", True).csv(path).columns
     missing = [c for c in dims.MANIFEST_COLUMNS if c not in header]
@@ -22,7 +22,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"manifest {path} misses columns {missing}")
     by_name = {f.name: f for f in RAW_SCHEMA.fields}
     schema = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in header])
-    rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    # every file's header is checked against these names; a cell that does not parse fails the read
+    strict = {"header": True, "escape": '"', "enforceSchema": False, "mode": "FAILFAST"}
+    rows = spark.read.schema(schema).options(**strict).csv(path)
     return rows.withColumn("row_idx", F.monotonically_increasing_id())
 
 
@@ -104,8 +106,9 @@ def site_ids(manifest: DataFrame, site: str = "site") -> DataFrame:
 
 
 def with_site_ids(manifest: DataFrame, site: str = "site") -> DataFrame:
-    """Join on the site; AQE broadcasts the id table when its written size allows."""
-    return manifest.join(site_ids(manifest, site), site)
+    """Join on the site; AQE broadcasts the id table when its written size allows. A NULL site has no id."""
+    ids = site_ids(manifest.where(F.col(site).isNotNull()), site)
+    return manifest.join(ids, site, "left")
 
 
 def profile(manifest: DataFrame, site: str = "site", ts: str = "ts", sensor: str = "sensor") -> DataFrame:

@@ -217,6 +217,17 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], value: str, n
     )
 
 
+def last_known(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``df`` with each NULL ``value`` replaced by the largest one before it. For values that grow in ``order`` this
+    is the last one before it."""
+    blocks = ordered_blocks(df, [], order)
+    summary = block_summaries(blocks, [], _high=F.max(value))
+    carry = summary.select(BLOCK, F.max("_high").over(before([])).alias("_carry"))
+    inside = Window.partitionBy(BLOCK).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_summary(blocks, carry, [])
+    return rows.select(*[c for c in df.columns if c != value], F.greatest(F.max(value).over(inside), "_carry").alias(value))
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list, k: int, n_salts: int = 64) -> DataFrame:
     """The first ``k`` rows of each group in ``order``. A first pass keeps k rows per (group, salt), so the
     last pass sees at most k * n_salts rows of a group however large it is. The salt is the input

@@ -1,62 +1,43 @@
 """Sampling: intensity weights, weighted draws, shuffles, batches, audits."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from gridcast.functions.columns import draw_order, scene_weight
-from gridcast.operators.ordered import ordinal_rank
+from gridcast.operators.ordered import last_known, ordinal_rank, running_sums
 from gridcast.scratch import materialise
 
+WHOLE = 1 << 30  # the largest weight as a whole number
+
 
 def scene_weights(samples: DataFrame, scale: float = 3.0, target: str = "target", keep: tuple[str, ...] = ("uid",)) -> DataFrame:
     """``1 + scale*log1p(max(0, scene max))`` per sample; the scan reads the target column only."""
     return samples.select(*keep, scene_weight(F.array_max(target), scale).alias("weight"))
 
 
-def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid", n_blocks: int | None = None) -> DataFrame:
+def weighted_draws(weights: DataFrame, n: int, seed: int, key: str = "uid") -> DataFrame:
     """``n`` draws with replacement, probability proportional to ``weight``: (key, weight, draws), draws > 0.
 
-    Two exact multinomial steps: the driver splits n over blocks from one total per block, then every block
-    splits its share over its rows batch by batch. Blocks are hash groups of the key and their
-    rows are sorted, so a retried task, or another partitioning, repeats the same draws.
+    Weights become whole numbers, so their running sums are exact. The sums cut a line into one stretch per key; n
+    points drawn by hash fall on it, and one ordered pass over stretches and points counts them. The result depends
+    on the rows, ``n`` and ``seed`` alone. Copies of a key add up; NULL, NaN and weights up to 0 are never drawn.
     """
     spark = weights.sparkSession
-    blocks = n_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = -(-(1 << 16) // blocks)
-    # copies of a key become one row first: they could not be spread by its hash
-    spread = weights.groupBy(key).agg(F.sum(F.col("weight").cast("double")).alias("weight")).where(F.col("weight") > 0)
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 16))
-    spread = spread.withColumn("_b", F.floor(slot / F.lit(width)).cast("int"))
-    placed = materialise(spread, "weights")
-    totals = {r["_b"]: r["w"] for r in placed.groupBy("_b").agg(F.sum("weight").alias("w")).collect()}  # <= blocks rows
-    if not totals:
+    rows = weights.select(key, F.col("weight").cast("double").alias("weight")).where(~F.isnan("weight") & (F.col("weight") > 0))
+    rows = materialise(rows, "weights")
+    most = rows.agg(F.max("weight")).first()[0]
+    if most is None:
         raise ValueError("no positive weights")
-    names = sorted(totals)
-    mass = np.array([totals[b] for b in names])
-    share = dict(zip(names, np.random.default_rng(seed).multinomial(n, mass / mass.sum()).tolist()))
-
-    def draw(batches):
-        state: dict[int, list] = {}
-        for pdf in batches:
-            out = []
-            for b, part in pdf.groupby("_b", sort=True):
-                b = int(b)
-                if b not in state:
-                    state[b] = [np.random.default_rng([seed, b]), share[b], totals[b]]
-                rng, left, rest = state[b]
-                w = part["weight"].to_numpy()
-                here = w.sum()
-                k = rng.binomial(left, min(1.0, here / rest)) if left and rest > 0 else 0
-                part = part.assign(draws=rng.multinomial(k, w / here))
-                state[b][1:] = [left - k, rest - here]
-                out.append(part[part["draws"] > 0][[key, "weight", "draws"]])
-            yield pd.concat(out) if out else pd.DataFrame({key: [], "weight": [], "draws": []})
-
-    schema = T.StructType([placed.schema[key], T.StructField("weight", T.DoubleType()), T.StructField("draws", T.LongType())])
-    # ranges keep a block whole in one task, in order, and give every task its share of blocks
-    return placed.repartitionByRange("_b").sortWithinPartitions("_b", key).mapInPandas(draw, schema)
+    whole = F.greatest(F.floor(F.col("weight") / F.lit(most) * F.lit(WHOLE)), F.lit(1))
+    keyed = rows.groupBy(key).agg(F.sum("weight").alias("weight"), F.sum(whole).alias("_q"))
+    placed = materialise(running_sums(keyed, [], [key], ["_q"]).withColumn("_at", F.col("running__q") - F.col("_q")), "stretches")
+    total = placed.agg(F.max("running__q")).first()[0]
+    text = F.concat(F.lit(f"{seed}:draw:"), F.col("id").cast("string"))
+    point = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % F.lit(total)
+    points = spark.range(n).select(point.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_lo"))
+    line = placed.select("_at", F.lit(0).alias("_kind"), F.col("_at").alias("_lo")).unionByName(points)
+    drawn = last_known(line, ["_at", "_kind"], "_lo").where("_kind = 1").groupBy("_lo").agg(F.count(F.lit(1)).alias("draws"))
+    return placed.join(drawn, placed["_at"] == drawn["_lo"]).select(key, "weight", "draws")
 
 
 def expand_draws(draws: DataFrame) -> DataFrame:

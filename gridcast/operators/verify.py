@@ -24,8 +24,12 @@ def _scopes() -> Column:
 
 def pair_pixels(pred: DataFrame, truth: DataFrame, uid: str = "uid") -> DataFrame:
     """Join forecasts (uid, pred) and truth (uid, target, ...) on the sample, then zip the grids. The
-    shuffle moves one row per sample; pixels appear only after it."""
-    joined = pred.join(truth, uid)
+    shuffle moves one row per sample; pixels appear only after it. A sample on one side only fails; see
+    :func:`pair_faults` for a list, with repeated samples."""
+    joined = pred.join(truth, uid, "full")
+    lone = F.raise_error(F.concat(F.lit("no partner for "), F.coalesce(F.col(uid).cast("string"), F.lit("NULL"))))
+    both = F.col("pred").isNotNull() & F.col("target").isNotNull()
+    joined = joined.withColumn("pred", F.when(both, F.col("pred")).otherwise(lone.cast(joined.schema["pred"].dataType)))
     size_ok = F.size("pred") == F.size("target")
     pairs = F.when(size_ok, F.arrays_zip("pred", "target")).otherwise(
         F.raise_error(F.concat(F.lit("shape mismatch for "), F.col(uid).cast("string"))).cast(
@@ -37,10 +41,27 @@ def pair_pixels(pred: DataFrame, truth: DataFrame, uid: str = "uid") -> DataFram
     return out.select(*others, "pixel", F.col("_pair.pred").alias("pred"), F.col("_pair.target").alias("target"))
 
 
-def pair_sums(p: Column, t: Column, rain: float, heavy: float, kind: str = "double") -> dict[str, Column]:
+def pair_faults(pred: DataFrame, truth: DataFrame, uid: str = "uid") -> DataFrame:
+    """(uid, fault): samples on one side only, repeated ones, and ones without a grid."""
+    side = lambda df, c, n: df.groupBy(F.col(uid).alias(f"_{n}")).agg(F.count(F.lit(1)).alias(n), F.count(c).alias(f"{n}_full"))
+    both = side(pred, "pred", "p").join(side(truth, "target", "t"), F.col("_p").eqNullSafe(F.col("_t")), "full")
+    fault = (
+        F.when(F.col("p").isNull(), "no forecast").when(F.col("t").isNull(), "no truth").when((F.col("p") > 1) | (F.col("t") > 1), "repeated")
+        .when((F.col("p_full") == 0) | (F.col("t_full") == 0), "no grid")
+    )
+    return both.select(F.coalesce("_p", "_t").alias(uid), fault.alias("fault")).where(F.col("fault").isNotNull())
+
+
+def value_kinds(pairs: DataFrame, kind: str | None = None) -> tuple[str, str]:
+    """How forecast and truth are stored: thresholds are compared in that precision. ``kind`` overrides."""
+    of = lambda c: "float" if pairs.schema[c].dataType.typeName() == "float" else "double"
+    return (kind, kind) if kind else (of("pred"), of("target"))
+
+
+def pair_sums(p: Column, t: Column, rain: float, heavy: float, kinds: tuple[str, str] = ("double", "double")) -> dict[str, Column]:
     """Mergeable sums behind the 14 sum-based scores. Moments are central, so nothing cancels."""
-    wet_p, wet_t = exceeds(p, rain, kind), exceeds(t, rain, kind)
-    big_p, big_t = exceeds(p, heavy, kind), exceeds(t, heavy, kind)
+    wet_p, wet_t = exceeds(p, rain, kinds[0]), exceeds(t, rain, kinds[1])
+    big_p, big_t = exceeds(p, heavy, kinds[0]), exceeds(t, heavy, kinds[1])
     p, t = p.cast("double"), t.cast("double")
     d = p - t
     n = F.count(F.lit(1))
@@ -66,11 +87,12 @@ def pair_sums(p: Column, t: Column, rain: float, heavy: float, kind: str = "doub
 
 def cell_sums(
     pairs: DataFrame, by: tuple[str, ...] = ("sensor_id", "site_id"), rain: float = dims.RAIN_MM_H,
-    heavy: float = dims.HEAVY_MM_H, kind: str = "double",
+    heavy: float = dims.HEAVY_MM_H, kind: str | None = None,
 ) -> DataFrame:
-    """One pass over the pixels: sums per (sensor, site), combined on the map side. Works on streams too."""
-    sums = pair_sums(F.col("pred"), F.col("target"), rain, heavy, kind)
-    return pairs.groupBy(*by).agg(*[c.alias(name) for name, c in sums.items()])
+    """One pass over the pixels: sums per (sensor, site), combined on the map side. Works on streams too. A pair with
+    a NULL counts nowhere."""
+    sums = pair_sums(F.col("pred"), F.col("target"), rain, heavy, value_kinds(pairs, kind))
+    return pairs.where(F.col("pred").isNotNull() & F.col("target").isNotNull()).groupBy(*by).agg(*[c.alias(name) for name, c in sums.items()])
 
 
 def roll_up(cells: DataFrame) -> DataFrame:
@@ -137,24 +159,18 @@ def scores(rolled: DataFrame) -> DataFrame:
     return rolled.select("scope", "sensor_id", "site_id", *[v.alias(k) for k, v in columns.items()])
 
 
-def report(pairs: DataFrame, rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str = "double") -> DataFrame:
+def report(pairs: DataFrame, rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str | None = None) -> DataFrame:
     """Sum-based scores overall, per sensor and per site; no rows in, no rows out."""
     return scores(roll_up(cell_sums(pairs, rain=rain, heavy=heavy, kind=kind)))
 
 
-def rank_correlation(pairs: DataFrame, by: list[str], position: list[str], max_rows: int | None = None, seed: int = 0) -> DataFrame:
-    """Spearman correlation on ordinal ranks (ties by ``position``), exact over all rows by default.
+def rank_correlation(pairs: DataFrame, by: list[str], position: list[str]) -> DataFrame:
+    """Spearman correlation on ordinal ranks (ties by ``position``), exact over all rows without a NULL.
 
     Ordinal ranks of n rows are a permutation of 0..n-1, so both variances are (n*n-1)/12 and only the
-    covariance needs the data. ``max_rows`` first draws that many rows per group, without replacement.
+    covariance needs the data.
     """
-    from gridcast.functions.columns import draw_order
-    from gridcast.operators.ordered import first_per_group
-
-    rows = pairs.select(*by, *position, "pred", "target")
-    if max_rows is not None:
-        draw = draw_order(seed, *[F.col(c) for c in position])
-        rows = first_per_group(rows, by, [draw, *position], max_rows)
+    rows = pairs.select(*by, *position, "pred", "target").where(F.col("pred").isNotNull() & F.col("target").isNotNull())
     by_pred = ordinal_rank(rows, by, ["pred", *position], "_rp").drop("pred")
     by_both = ordinal_rank(by_pred, by, ["target", *position], "_rt")
     n = F.count(F.lit(1)).cast("double")
@@ -163,7 +179,7 @@ def rank_correlation(pairs: DataFrame, by: list[str], position: list[str], max_r
     return by_both.groupBy(*by).agg(rho.alias("spearman"))
 
 
-def rank_report(pairs: DataFrame, position: list[str], max_rows: int | None = None) -> DataFrame:
+def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
     """Spearman overall, per sensor and per site: rows are spread to their three scopes, keyed by two
     numbers to keep the sorted rows short."""
     keys = F.array(
@@ -172,7 +188,7 @@ def rank_report(pairs: DataFrame, position: list[str], max_rows: int | None = No
         F.struct(F.lit(2).alias("_scope"), F.col("site_id").cast("long").alias("_id")),
     )
     spread = pairs.select(*position, "pred", "target", F.explode(keys).alias("_s")).select(*position, "pred", "target", "_s.*")
-    ranked = rank_correlation(spread, ["_scope", "_id"], position, max_rows)
+    ranked = rank_correlation(spread, ["_scope", "_id"], position)
     return ranked.select(
         F.when(F.col("_scope") == 0, "all").when(F.col("_scope") == 1, "sensor").otherwise("site").alias("scope"),
         F.when(F.col("_scope") == 1, F.col("_id")).cast("int").alias("sensor_id"),
@@ -181,7 +197,7 @@ def rank_report(pairs: DataFrame, position: list[str], max_rows: int | None = No
     )
 
 
-def full_report(pairs: DataFrame, position: list[str], rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str = "double") -> DataFrame:
+def full_report(pairs: DataFrame, position: list[str], rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str | None = None) -> DataFrame:
     """All 15 scores. The rank part is joined on the scope's keys (summary rows only)."""
     ranks = rank_report(pairs, position).select(
         *[F.col(c).alias(f"_k_{c}") for c in ("scope", "sensor_id", "site_id")], "spearman"

@@ -128,16 +128,16 @@ def fill_frames(spark, sf_dir):
 
 @query(
     "diff_stack",
-    f"""WITH {GRIDS_SQL}, f AS (SELECT uid, i // 16 AS t, i % 16 AS c, v FROM cells WHERE i < 48),
-    d AS (SELECT a.uid, 3 + a.t AS t, a.c, b.v - a.v AS v FROM f a JOIN f b ON a.uid = b.uid AND a.c = b.c AND b.t = a.t + 1),
-    z AS (SELECT uid, 5 + k // 16 AS t, k % 16 AS c, 0.0::DOUBLE AS v FROM grids, (SELECT UNNEST(range(20)) AS k))
+    f"""WITH {GRIDS_SQL}, f AS (SELECT uid, i // 16 AS t, i % 16 AS c, v FROM cells ),
+    d AS (SELECT a.uid, 4 + a.t AS t, a.c, b.v - a.v AS v FROM f a JOIN f b ON a.uid = b.uid AND a.c = b.c AND b.t = a.t + 1),
+    z AS (SELECT uid, 7 AS t, k AS c, 0.0::DOUBLE AS v FROM grids, (SELECT UNNEST(range(16)) AS k))
     SELECT uid, CAST(t * 16 + c AS INTEGER) AS channel, ROUND(v, 6) AS value FROM (SELECT * FROM f UNION ALL SELECT * FROM d UNION ALL SELECT * FROM z)""",
 )
 def diff_stack(spark, sf_dir):
-    """Three frames of 16 channels, their two steps, flattened and padded to 100 channels."""
+    """Four frames of 16 channels, their three steps, flattened and padded to 128 channels."""
     wide = F.transform("grid", lambda v: v.cast("double"))
-    frames = F.array(*[F.slice(wide, 16 * t + 1, 16) for t in range(3)])
-    rows = grids(spark, sf_dir).select("uid", fx.flatten_stack(fx.slot_differences(frames), 100).alias("stack"))
+    frames = F.array(*[F.slice(wide, 16 * t + 1, 16) for t in range(4)])
+    rows = grids(spark, sf_dir).select("uid", fx.flatten_stack(fx.slot_differences(frames, 4), 128).alias("stack"))
     return rounded(unpack(rows, ["uid"], "stack", "channel", "value"), "value")
 
 
@@ -247,8 +247,11 @@ def lean_model(sat: np.ndarray, aux: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _score_sql(mirrored):
-    scored = """s AS (SELECT c.uid, c.y, c.x, 2 * c.v + COALESCE(l.v, 0) + 0.1::DOUBLE * CAST(c.sensor_id AS DOUBLE) AS m, 2 * c.v + COALESCE(r.v, 0) + 0.1::DOUBLE * CAST(c.sensor_id AS DOUBLE) AS mf,
-        1 / (1 + EXP(1 - 10 * c.v)) > 0.15::DOUBLE AS wet FROM cells c LEFT JOIN cells l ON l.uid = c.uid AND l.y = c.y AND l.x = c.x - 1 LEFT JOIN cells r ON r.uid = c.uid AND r.y = c.y AND r.x = c.x + 1),
+    # neighbours inside the list, before it is unnested
+    scored = """n AS (SELECT uid, sensor_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS v,
+        CASE WHEN i % 8 > 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END AS l, CASE WHEN i % 8 < 7 THEN CAST(embedding[i + 2] AS DOUBLE) ELSE 0 END AS r FROM grids, (SELECT UNNEST(range(64)) AS i)),
+    s AS (SELECT uid, y, x, 2 * v + l + 0.1::DOUBLE * CAST(sensor_id AS DOUBLE) AS m, 2 * v + r + 0.1::DOUBLE * CAST(sensor_id AS DOUBLE) AS mf,
+        1 / (1 + EXP(1 - 10 * v)) > 0.15::DOUBLE AS wet FROM n),
     p AS (SELECT uid, y, x, CASE WHEN wet THEN EXP(GREATEST(m, 0)) - 1 ELSE 0 END AS a, CASE WHEN wet THEN EXP(GREATEST(mf, 0)) - 1 ELSE 0 END AS b FROM s)"""
     value = "0.5::DOUBLE * (a + b)" if mirrored else "a"
     return f"WITH {GRIDS_SQL}, {scored} SELECT uid, y, x, ROUND(CAST(CAST({value} AS FLOAT) AS DOUBLE), 4) AS rate FROM p"

@@ -38,11 +38,18 @@ def pixel_weight(spark, sf_dir):
     )
 
 
-@query("weighted_draws")
+@query(
+    "weighted_draws",
+    f"""WITH {GRIDS_SQL}, w AS (SELECT uid, 1 + 3 * LN(1 + MAX({RATE_SQL})) AS weight FROM cells GROUP BY uid),
+    q AS (SELECT uid, weight, GREATEST(CAST(FLOOR(weight / (SELECT MAX(weight) FROM w) * 1073741824) AS BIGINT), 1) AS q FROM w),
+    c AS (SELECT uid, weight, CAST(SUM(q) OVER (ORDER BY uid) AS BIGINT) - q AS lo, CAST(SUM(q) OVER (ORDER BY uid) AS BIGINT) AS hi, CAST(SUM(q) OVER () AS BIGINT) AS total FROM q),
+    p AS (SELECT CAST('0x' || SUBSTR(MD5('11:draw:' || CAST(i AS VARCHAR)), 1, 15) AS BIGINT) % (SELECT MAX(total) FROM c) AS spot FROM (SELECT UNNEST(range((SELECT COUNT(*) FROM grids))) AS i))
+    SELECT uid, ROUND(weight, 6) AS weight, COUNT(*) AS draws FROM c JOIN p ON spot >= lo AND spot < hi GROUP BY uid, weight""",
+)
 def weighted_draws(spark, sf_dir):
     """As many draws as samples, with replacement."""
     rows = _rates(spark, sf_dir)
-    return sampling.weighted_draws(sampling.scene_weights(rows), rows.count(), seed=11)
+    return rounded(sampling.weighted_draws(sampling.scene_weights(rows), rows.count(), seed=11), "weight")
 
 
 @query("weighted_draw_count", f"WITH {GRIDS_SQL} SELECT COUNT(*) AS n_draws, TRUE AS all_known FROM grids")
@@ -86,14 +93,12 @@ def audit_sample(spark, sf_dir):
 
 
 @query(
-    "verify_spearman_sampled",
-    f"""WITH {PAIRS_SQL}, h AS (SELECT *, MD5('0:' || CAST(uid AS VARCHAR) || ':' || CAST(line AS VARCHAR) || ':' || CAST(part AS VARCHAR) || ':' || CAST(site_id AS VARCHAR)) AS h FROM pairs),
-    s AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sensor_id ORDER BY h, uid, line, part, site_id) AS rn FROM h) WHERE rn <= 1000),
-    r AS (SELECT sensor_id, CAST(ROW_NUMBER() OVER (PARTITION BY sensor_id ORDER BY pred, uid, line, part, site_id) AS DOUBLE) AS rp,
-                 CAST(ROW_NUMBER() OVER (PARTITION BY sensor_id ORDER BY target, uid, line, part, site_id) AS DOUBLE) AS rt FROM s)
+    "verify_spearman_by_sensor",
+    f"""WITH {PAIRS_SQL}, r AS (SELECT sensor_id, CAST(ROW_NUMBER() OVER (PARTITION BY sensor_id ORDER BY pred, uid, line, part, site_id) AS DOUBLE) AS rp,
+                 CAST(ROW_NUMBER() OVER (PARTITION BY sensor_id ORDER BY target, uid, line, part, site_id) AS DOUBLE) AS rt FROM pairs)
     SELECT sensor_id, ROUND(COVAR_POP(rp, rt) / SQRT(VAR_POP(rp) * VAR_POP(rt)), 6) AS spearman FROM r GROUP BY 1""",
 )
-def verify_spearman_sampled(spark, sf_dir):
-    """The rank correlation of a fixed-size random subset per sensor."""
-    out = verify.rank_correlation(pixel_pairs(spark, sf_dir), ["sensor_id"], ["uid", "line", "part", "site_id"], max_rows=1000)
+def verify_spearman_by_sensor(spark, sf_dir):
+    """The rank correlation per sensor, over all its pairs."""
+    out = verify.rank_correlation(pixel_pairs(spark, sf_dir), ["sensor_id"], ["uid", "line", "part", "site_id"])
     return rounded(out, "spearman")

@@ -17,13 +17,12 @@ from gridcast.plans.registry import query, rounded, rounds
 from gridcast.plans.verification import HEAVY, SCORE_SELECT, SCORE_SQL
 from gridcast.plans.views import GRIDS_SQL, PAIRS_SQL, SCALE, grids, pixel_pairs, sensor_of, table
 from gridcast.operators import verify
-from gridcast.scratch import materialise, scratch_path
+from gridcast.scratch import BUILT, materialise, scratch_path
 from gridcast.sources import archive, norm_stats, rasters, store
 from gridcast.streaming import ingest, verification as live
 
 SIZES = {s: (2, 2) for s in dims.SENSORS}
 TARGET = (8, 8)
-_BUILT: dict[tuple, str] = {}
 
 FILES_SQL = f"""{GRIDS_SQL},
 q AS (SELECT uid, i, CAST(LEAST(GREATEST(FLOOR((v + 0.5::DOUBLE) * 255), 0), 255) AS INTEGER) AS q FROM cells),
@@ -43,7 +42,7 @@ def quantised(grid) -> F.col:
 def raster_folder(spark, sf_dir) -> str:
     """Write every raster once per application and return the root."""
     key = (spark.sparkContext.applicationId, sf_dir, "folder")
-    if key not in _BUILT:
+    if key not in BUILT:
         root = scratch_path(spark, "rasters")
         rows = grids(spark, sf_dir)
         uid = F.col("uid")
@@ -60,8 +59,8 @@ def raster_folder(spark, sf_dir) -> str:
         target_name = F.concat(F.lit(f"{dims.TARGET_SUBDIR}/t_"), uid.cast("string"), F.lit(".tif"))
         targets = rows.select(target_name.alias("filename"), rasters.encode_column(TARGET)(rate).alias("content"))
         rasters.write_files(frames.unionByName(targets), root)
-        _BUILT[key] = root
-    return _BUILT[key]
+        BUILT[key] = root
+    return BUILT[key]
 
 
 def frame_folders(spark, sf_dir) -> list[str]:
@@ -72,7 +71,7 @@ def frame_folders(spark, sf_dir) -> list[str]:
 def archive_folder(spark, sf_dir) -> str:
     """The same rasters in ZIP archives, one per task, some members deflated, some present twice."""
     key = (spark.sparkContext.applicationId, sf_dir, "archives")
-    if key not in _BUILT:
+    if key not in BUILT:
         root = scratch_path(spark, "archives")
         files = rasters.binary_files(spark, raster_folder(spark, sf_dir)).select("filename", "sensor", "content")
 
@@ -99,8 +98,8 @@ def archive_folder(spark, sf_dir) -> str:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int32())})
 
         materialise(files.repartition(4, "filename").mapInArrow(pack, "n int"), "packed")
-        _BUILT[key] = root
-    return _BUILT[key]
+        BUILT[key] = root
+    return BUILT[key]
 
 
 # ---- readers --------------------------------------------------------------------------------------
@@ -183,6 +182,19 @@ def norm_stats_json(spark, sf_dir):
     return rounded(norm_stats.read_norm_stats(spark, path), "mean", "std")
 
 
+ALL_STATS_SQL = f"""WITH {FRAME_STATS_SQL},
+listed AS (SELECT CASE g.uid % 3 WHEN 0 THEN 'himawari' WHEN 1 THEN 'goes' ELSE 'meteosat' END AS sensor, g.uid + 3 * t AS file_uid
+  FROM grids g, (SELECT UNNEST(range(3)) AS t) WHERE t < g.uid % 4),
+good AS (SELECT l.sensor, l.file_uid FROM listed l JOIN frame_files f ON f.uid = l.file_uid WHERE f.error IS NULL)
+SELECT sensor, CAST(i // 4 AS INTEGER) AS band, COUNT(*) AS n_pixels, ROUND(AVG(q), 6) AS mean, ROUND(STDDEV_POP(q), 6) AS std FROM good JOIN q ON q.uid = file_uid GROUP BY 1, 2"""
+
+
+@query("norm_stats_all", ALL_STATS_SQL)
+def norm_stats_all(spark, sf_dir):
+    """Every listed frame, every pixel."""
+    return rounded(norm_stats.from_folders(_listed(spark, sf_dir), raster_folder(spark, sf_dir), sizes=SIZES), "mean", "std")
+
+
 SAMPLED_STATS_SQL = f"""WITH {FILES_SQL},
 listed AS (
   SELECT CAST(g.uid AS VARCHAR) AS uid, CASE g.uid % 3 WHEN 0 THEN 'himawari' WHEN 1 THEN 'goes' ELSE 'meteosat' END AS sensor, CAST(t AS INTEGER) AS t,
@@ -241,11 +253,11 @@ def store_manifest(spark, sf_dir):
 
 def built_store(spark, sf_dir) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, "store")
-    if key not in _BUILT:
+    if key not in BUILT:
         path = scratch_path(spark, "store")
         store.build_from_folders(store_manifest(spark, sf_dir), raster_folder(spark, sf_dir), path, "ir_only", sizes=SIZES, target_size=TARGET)
-        _BUILT[key] = path
-    return _BUILT[key]
+        BUILT[key] = path
+    return BUILT[key]
 
 
 def pixel_totals():

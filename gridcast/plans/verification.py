@@ -7,7 +7,7 @@ from gridcast.functions import columns as fx
 from gridcast.functions.rows import unpack
 from gridcast.operators import ensemble, losses, ordered, verify
 from gridcast.plans.registry import query, rounded, rounds
-from gridcast.plans.views import GRID, GRIDS_SQL, PAIRS_SQL, POSITION, cells, grids, neighbours, pixel_pairs, table
+from gridcast.plans.views import GRID, GRIDS_SQL, PAIRS_SQL, POSITION, RING_SQL, cells, following, grids, neighbours, pixel_pairs, table
 
 HEAVY = 3.0
 
@@ -59,12 +59,15 @@ def verify_report(spark, sf_dir):
 
 @query(
     "verify_flat",
-    f"WITH {PAIRS_SQL}, {SCORE_SQL}, p AS (SELECT CASE scope WHEN 'sensor' THEN 'sat' || CAST(sensor_id AS VARCHAR) || '/' WHEN 'site' THEN 'loc' || CAST(site_id AS VARCHAR) || '/' ELSE '' END AS p, * FROM scored) "
-    + " UNION ALL ".join(f"SELECT p || '{m}' AS metric, ROUND({m}, 6) AS value FROM p" for m in verify.SCORES),
+    f"WITH {PAIRS_SQL}, {SCORE_SQL}, {SPREAD_SQL}, full_scores AS (SELECT s.*, r.spearman FROM scored s JOIN rho r ON s.scope = r.scope "
+    "AND s.sensor_id IS NOT DISTINCT FROM r.sensor_id AND s.site_id IS NOT DISTINCT FROM r.site_id), "
+    "p AS (SELECT CASE scope WHEN 'sensor' THEN 'sat' || CAST(sensor_id AS VARCHAR) || '/' WHEN 'site' THEN 'loc' || CAST(site_id AS VARCHAR) || '/' ELSE '' END AS p, * FROM full_scores) "
+    + " UNION ALL ".join(f"SELECT p || '{m}' AS metric, ROUND({m}, 6) AS value FROM p" for m in (*verify.SCORES, "spearman")),
 )
 def verify_flat(spark, sf_dir):
-    """The report as flat metric names."""
-    return rounded(verify.flat_metrics(verify.report(pixel_pairs(spark, sf_dir), heavy=HEAVY)), "value")
+    """The full report as flat metric names."""
+    pairs = pixel_pairs(spark, sf_dir).withColumn("pos", F.col("site_id"))
+    return rounded(verify.flat_metrics(verify.full_report(pairs, ["uid", "line", "part", "pos"], heavy=HEAVY)), "value")
 
 
 @query("verify_spearman", f"WITH {PAIRS_SQL}, {SPREAD_SQL} SELECT scope, sensor_id, site_id, {rounds('spearman')} FROM rho")
@@ -85,15 +88,15 @@ def verify_full(spark, sf_dir):
 
 @query(
     "verify_grids",
-    f"WITH {GRIDS_SQL}, pairs AS (SELECT a.uid, CAST(a.label AS BIGINT) AS site_id, a.sensor_id, GREATEST(a.v * 20, 0) AS pred, GREATEST(b.v * 20, 0) AS target "
-    f"FROM cells a JOIN cells b ON a.uid = b.uid - 1 AND a.i = b.i), {SCORE_SQL} {SCORE_SELECT}",
+    f"WITH {RING_SQL}, pairs AS (SELECT uid, CAST(label AS BIGINT) AS site_id, sensor_id, GREATEST(p * 20, 0) AS pred, GREATEST(t * 20, 0) AS target FROM pc), "
+    f"{SCORE_SQL} {SCORE_SELECT}",
 )
 def verify_grids(spark, sf_dir):
     """Forecast grids against truth grids, joined on the sample."""
     rate = lambda c: F.transform(c, lambda v: F.greatest(v.cast("double") * 20, F.lit(0.0)))
     base = grids(spark, sf_dir)
     pred = base.select("uid", "sensor_id", F.col("label").cast("long").alias("site_id"), rate("grid").alias("pred"))
-    truth = base.select((F.col("uid") - 1).alias("uid"), rate("grid").alias("target"))
+    truth = following(base.select("uid", rate("grid").alias("rate")), "rate")
     return rounded(verify.report(verify.pair_pixels(pred, truth), heavy=HEAVY), *verify.SCORES)
 
 
@@ -133,7 +136,7 @@ def ordinal_rank(spark, sf_dir):
     return ordered.ordinal_rank(rows, ["sensor_id"], ["target", *POSITION]).drop("target")
 
 
-@query("error_map", f"WITH {GRIDS_SQL} SELECT a.uid, a.y, a.x, ROUND(a.v - b.v, 6) AS error, ROUND(ABS(a.v - b.v), 6) AS abs_error FROM cells a JOIN cells b ON a.uid = b.uid - 1 AND a.i = b.i")
+@query("error_map", f"WITH {RING_SQL} SELECT uid, y, x, ROUND(p - t, 6) AS error, ROUND(ABS(p - t), 6) AS abs_error FROM pc")
 def error_map(spark, sf_dir):
     rows = neighbours(spark, sf_dir)
     wide = lambda c: F.transform(c, lambda v: v.cast("double"))
@@ -242,13 +245,9 @@ def loss_composite(spark, sf_dir):
     return rounded(losses.composite(pixels.join(valid, "uid"), COMPOSITE), *COMPOSITE_NAMES, "total")
 
 
-NEIGHBOUR_SQL = f"""{GRIDS_SQL},
-pc AS (SELECT a.uid, a.y, a.x, a.v AS p, b.v AS t FROM cells a JOIN cells b ON a.uid = b.uid - 1 AND a.i = b.i)"""
-
-
 @query(
     "loss_gradient",
-    f"""WITH {NEIGHBOUR_SQL},
+    f"""WITH {RING_SQL},
     k AS (SELECT dy, dx FROM (SELECT UNNEST([-1, 0, 1]) AS dy), (SELECT UNNEST([-1, 0, 1]) AS dx)),
     g AS (SELECT c.uid, c.y, c.x, SUM(k.dx * (2 - ABS(k.dy)) * COALESCE(n.p, 0)) AS xp, SUM(k.dy * (2 - ABS(k.dx)) * COALESCE(n.p, 0)) AS yp,
                  SUM(k.dx * (2 - ABS(k.dy)) * COALESCE(n.t, 0)) AS xt, SUM(k.dy * (2 - ABS(k.dx)) * COALESCE(n.t, 0)) AS yt
@@ -261,7 +260,7 @@ def loss_gradient(spark, sf_dir):
 
 @query(
     "loss_ssim",
-    f"""WITH {NEIGHBOUR_SQL},
+    f"""WITH {RING_SQL},
     b AS (SELECT c.uid, c.y, c.x, SUM(n.p) / 49 AS mp, SUM(n.t) / 49 AS mt, SUM(n.p * n.p) / 49 AS pp, SUM(n.t * n.t) / 49 AS tt, SUM(n.p * n.t) / 49 AS pt
           FROM pc c JOIN pc n ON n.uid = c.uid AND ABS(n.y - c.y) <= 3 AND ABS(n.x - c.x) <= 3 GROUP BY ALL),
     s AS (SELECT uid, (2 * mp * mt + 1e-4) * (2 * (pt - mp * mt) + 9e-4)

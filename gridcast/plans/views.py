@@ -55,11 +55,25 @@ def cells(grid_rows: DataFrame, column: str, keep: list[str], width: int) -> Dat
     return out.select(*keep, (F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def following(rows: DataFrame, column: str) -> DataFrame:
+    """(uid, target): ``column`` of the next id, of the first one for the last."""
+    first, last = rows.agg(F.min("uid"), F.max("uid")).first()
+    return rows.select(F.when(F.col("uid") == first, F.lit(last)).otherwise(F.col("uid") - 1).alias("uid"), F.col(column).alias("target"))
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(uid, label, sensor_id, pred, target): each grid against the grid of the next id."""
-    left = grids(spark, sf_dir).withColumnRenamed("grid", "pred")
-    right = grids(spark, sf_dir).select((F.col("uid") - 1).alias("uid"), F.col("grid").alias("target"))
-    return left.join(right, "uid")
+    """(uid, label, sensor_id, pred, target): each grid against the grid of the next id, around the end."""
+    rows = grids(spark, sf_dir)
+    return rows.withColumnRenamed("grid", "pred").join(following(rows, "grid"), "uid")
+
+
+# the same pairs by cell: shifted before the lists are unnested, so that cells need no join
+RING_SQL = """ring AS (
+  SELECT vec_id AS uid, label, CAST(label % 3 AS INTEGER) AS sensor_id, embedding,
+         COALESCE(LEAD(embedding) OVER (ORDER BY vec_id), FIRST_VALUE(embedding) OVER (ORDER BY vec_id)) AS following FROM embeddings),
+pc AS (
+  SELECT uid, label, sensor_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS p, CAST(following[i + 1] AS DOUBLE) AS t
+  FROM ring, (SELECT UNNEST(range(64)) AS i))"""
 
 
 # ---- manifest: one sample per order ---------------------------------------------------------------

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A summary below this many rows may be broadcast; above it a shuffled join is planned.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
+
+# folders that queries built once and use again, by (application, what)
+BUILT: dict[tuple, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -20,7 +24,10 @@ def scratch_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not base:
-        # single-machine sessions only: nothing was named, so name one
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        # one machine, and nothing was named, so name a folder
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/gridcast-{spark.sparkContext.applicationId}"
@@ -43,8 +50,13 @@ def drop_scratch(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k, folder in BUILT.items() if folder.startswith(scratch_root(spark))]:
+        del BUILT[key]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting an already materialised side."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring an already materialised side: rows, and bytes with its texts."""
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum(wide, F.lit(16 * len(df.columns)))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and total <= max_bytes else df

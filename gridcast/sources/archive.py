@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridcast import dims
 from gridcast.functions.columns import path_filename
-from gridcast.sources.files import MemberReader, open_input
+from gridcast.sources.files import DATA_FAULTS, MemberReader, open_input
 
 INDEX_SCHEMA = "archive string, member string, ordinal bigint, offset bigint, size bigint, method int, crc bigint"
 TASK_BYTES = 128 << 20
@@ -70,7 +70,7 @@ def read_members(index: DataFrame) -> DataFrame:
                 for r in part:
                     try:
                         contents.append(reader.read(r["archive"], r["offset"], r["size"], r["method"], r["crc"]))
-                    except Exception:
+                    except DATA_FAULTS:
                         contents.append(b"")  # the decoder reports it
                 yield pa.RecordBatch.from_arrays(
                     [

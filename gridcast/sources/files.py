@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
@@ -40,6 +41,10 @@ def open_input(path: str):
     return system.open_input_file(inner)
 
 
+# What a file's content can do wrong. Other errors are the machine's: the task fails and Spark repeats it.
+DATA_FAULTS = (FileNotFoundError, ValueError, KeyError, IndexError, EOFError, struct.error, zlib.error)
+
+
 def read_bytes(path: str) -> bytes:
     with open_input(path) as stream:
         return stream.read()
@@ -82,14 +87,14 @@ def write_atomic(path: str, data: bytes) -> None:
     local = _local(path)
     if local is not None:
         os.makedirs(os.path.dirname(local), exist_ok=True)
-        part = f"{local}.{os.getpid()}.tmp"
+        part = f"{local}.{uuid.uuid4().hex}.tmp"
         with open(part, "wb") as stream:
             stream.write(data)
         os.replace(part, local)
         return
     system, inner = _remote(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    part = f"{inner}.{os.getpid()}.tmp"
+    part = f"{inner}.{uuid.uuid4().hex}.tmp"
     with system.open_output_stream(part) as stream:
         stream.write(data)
     system.move(part, inner)

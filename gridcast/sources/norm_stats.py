@@ -10,22 +10,26 @@ from gridcast.operators.stats import frame_stats, sample_files
 from gridcast.sources import archive, rasters, tiff
 
 
-def from_folders(slots: DataFrame, root: str, max_files: int = 500, stride: int = 2, seed: int = 0, sizes=None, decoder=tiff.read_raster) -> DataFrame:
-    """Statistics over at most ``max_files`` listed frames per sensor: names are drawn first, then only the
-    drawn files are opened."""
-    drawn = sample_files(slots, max_files, seed)
+def from_folders(slots: DataFrame, root: str, max_files: int | None = None, stride: int = 1, seed: int = 0, sizes=None, decoder=tiff.read_raster) -> DataFrame:
+    """Statistics over all listed frames, each as often as it is listed. With ``max_files``, so many per sensor are
+    drawn by name first, and only those are opened."""
+    drawn = _drawn(slots, max_files, seed)
     named = drawn.select(frame_path(root, F.col("sensor"), F.col("filename")).alias("path"), "filename", "sensor")
-    files = rasters.open_files(_spread(named))
+    files = rasters.open_files(named.repartition("path") if max_files is None else _spread(named))
     return frame_stats(rasters.decode_frames(files, sizes, decoder=decoder), stride)
 
 
-def from_archives(slots: DataFrame, index: DataFrame, max_files: int = 300, stride: int = 2, seed: int = 0, sizes=None, decoder=tiff.read_raster) -> DataFrame:
+def from_archives(slots: DataFrame, index: DataFrame, max_files: int | None = None, stride: int = 1, seed: int = 0, sizes=None, decoder=tiff.read_raster) -> DataFrame:
     """The same from archive members; names without a member are no candidates."""
-    drawn = sample_files(archive_members(slots, index), max_files, seed)
+    drawn = _drawn(archive_members(slots, index), max_files, seed)
     members = index.join(drawn.select("filename", "sensor"), "filename")  # two listings count twice
     return frame_stats(rasters.decode_frames(archive.read_members(members), sizes, decoder=decoder), stride)
 
 
+def _drawn(slots: DataFrame, max_files: int | None, seed: int) -> DataFrame:
+    return slots.where(F.col("filename").isNotNull()) if max_files is None else sample_files(slots, max_files, seed)
+
+
 def _spread(named: DataFrame) -> DataFrame:
     """A few hundred names per sensor leave the draw in few partitions: give every core its share."""
     return named.repartition(named.sparkSession.sparkContext.defaultParallelism, "path")

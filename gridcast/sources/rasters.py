@@ -44,7 +44,7 @@ def open_files(named: DataFrame) -> DataFrame:
                 for path in batch["path"].to_pylist():
                     try:
                         contents.append(read_bytes(path))
-                    except OSError:
+                    except FileNotFoundError:
                         contents.append(b"")
                 yield pa.RecordBatch.from_arrays(
                     [batch["path"], batch["filename"], batch["sensor"], pa.array(contents, pa.binary())],
@@ -187,7 +187,8 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
 
 
 def prediction_faults(preds: DataFrame, manifest: DataFrame, size: tuple[int, int] = dims.TARGET_SIZE) -> DataFrame:
-    """Everything that forbids writing: rows on one side only, repeated ids, wrong shape, non-finite values.
+    """Everything that forbids writing: rows on one side only, repeated ids, wrong shape, non-finite values, file
+    names that are missing or repeated (one row per name, with its smallest id).
     ``preds`` is (uid, rate ARRAY), ``manifest`` (uid, target_file)."""
     n = size[0] * size[1]
     flags = preds.groupBy("uid").agg(
@@ -195,14 +196,16 @@ def prediction_faults(preds: DataFrame, manifest: DataFrame, size: tuple[int, in
         F.max(F.coalesce(F.size("rate"), F.lit(-1)) != n).alias("_shape"),
         F.max(F.exists("rate", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).alias("_bad"),
     )
-    rows = manifest.groupBy("uid").agg(F.count(F.lit(1)).alias("_m"))
+    rows = manifest.groupBy("uid").agg(F.count(F.lit(1)).alias("_m"), F.max(F.col("target_file").isNull()).alias("_unnamed"))
     both = rows.join(flags, "uid", "full")
+    twice = manifest.where("target_file IS NOT NULL").groupBy("target_file").agg(F.count(F.lit(1)).alias("_c"), F.min("uid").alias("uid")).where("_c > 1")
     fault = (
         F.when(F.col("_n").isNull(), "no prediction").when(F.col("_m").isNull(), "not in manifest")
         .when((F.col("_n") > 1) | (F.col("_m") > 1), "repeated id")
-        .when(F.col("_shape"), "wrong shape").when(F.col("_bad"), "non-finite")
+        .when(F.col("_unnamed"), "no file name").when(F.col("_shape"), "wrong shape").when(F.col("_bad"), "non-finite")
     )
-    return both.select("uid", fault.alias("fault")).where(F.col("fault").isNotNull())
+    found = both.select("uid", fault.alias("fault")).where(F.col("fault").isNotNull())
+    return found.union(twice.select("uid", F.lit("repeated file name")))
 
 
 def write_predictions(preds: DataFrame, manifest: DataFrame, root: str, size: tuple[int, int] = dims.TARGET_SIZE, transform: tuple[float, ...] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from gridcast.functions.columns import frame_path, target_path
 from gridcast.operators.manifest import sensor_counts
 from gridcast.operators.samples import spread_key
 from gridcast.sources import tiff
-from gridcast.sources.files import MemberReader, read_bytes
+from gridcast.sources.files import DATA_FAULTS, MemberReader, read_bytes
 
 FRAME_TYPE = "struct<t:int,valid:boolean,outcome:string,pixels:binary>"
 STORE_SCHEMA = (
@@ -87,7 +87,7 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
                     block, head = decoder(_fetch(reader, slot["place"]))
                     block = tiff.check_frame(block, head, dims.BANDS_TOTAL, size)
                     return {"t": t, "valid": True, "outcome": "ok", "pixels": block[bands].tobytes()}
-                except Exception:
+                except DATA_FAULTS:
                     pass
         return {"t": t, "valid": False, "outcome": outcome, "pixels": bytes(len(bands) * size[0] * size[1])}
 
@@ -96,7 +96,7 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
             try:
                 block, head = decoder(_fetch(reader, place))
                 return tiff.check_target(block, head, target_size).reshape(-1), False
-            except Exception:
+            except DATA_FAULTS:
                 pass
         return np.zeros(n_target, np.float32), bool(named)
 
