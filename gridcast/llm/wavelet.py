@@ -26,7 +26,7 @@ from gridcast.sources.files import open_input, write_atomic
 MAGIC = b"WMTX1\n"
 SHARD_TOKENS = 4_000_000
 RANK_BLOCK = 512  # bits between stored counts
-CACHED = 150_000  # words a worker remembers; it starts anew beyond
+CACHED = 500_000  # words a worker remembers, and parts of words; it starts anew beyond
 
 
 def to_bytes(tokens: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -177,8 +177,9 @@ class Words(dict):
         self.model = self.library.model
         self.names = _byte_names()
         self.parts: dict[str, bytes] = {}
+        self.plain, self.split = self.PLAIN.fullmatch, self.PARTS.findall
         kind = json.loads(spec)
-        special = [t["content"] for t in kind.get("added_tokens", [])]
+        special = sorted(t["content"] for t in kind.get("added_tokens", []))
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         steps = [s["type"] for s in kind["normalizer"].get("normalizers", [])] if kind.get("normalizer") else []
         splits = [s.get("pattern", {}).get("Regex") for s in (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])]
@@ -198,9 +199,12 @@ class Words(dict):
         if len(self) >= CACHED:
             self.clear()
         text = word.decode()
-        if self.PLAIN.fullmatch(text) and not (self.special and self.special.search(text)):
+        if self.plain(text) and not (self.special and self.special.search(text)):
             known = self.parts
-            out = b"".join([known.get(p) or self.part(p) for p in self.PARTS.findall(text.lower())])
+            parts = self.split(text.lower())
+            out = known.get(parts[0]) or self.part(parts[0])
+            for p in parts[1:]:
+                out += known.get(p) or self.part(p)
         else:
             out = self.whole(text)
         self[word] = out
