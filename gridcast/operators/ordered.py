@@ -176,14 +176,45 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
+def _runs(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> tuple[np.ndarray, tuple, bool]:
+    """For one sorted batch: the group number of each row, the last row's key, and whether the first row goes on
+    with the key ``last`` of the batch before."""
+    if not keys:
+        return np.zeros(len(pdf), int), (), last is not None
+    key_at = lambda i: tuple(None if pd.isna(v) else v for v in pdf[keys].iloc[i])
+    return pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), key_at(-1), key_at(0) == last
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """``df`` plus ``running_<value>``, the inclusive prefix sum of each value."""
-    blocks = ordered_blocks(df, keys, order)
-    summary = block_summaries(blocks, keys, **{f"_t_{v}": F.sum(v) for v in values})
+    """``df`` plus ``running_<value>``, the inclusive prefix sum of each value; a NULL adds nothing.
+
+    Prefixes inside a block are taken in the sorting pass; afterwards a carry per block is added.
+    """
+    whole = {v: df.schema[v].dataType.typeName() in ("long", "integer", "short", "byte") for v in values}
+
+    def fold(batches):
+        last, state = None, dict.fromkeys(values, 0)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            group, key, goes_on = _runs(pdf, keys, last)
+            extra = {}
+            for v in values:
+                x = pdf[v].fillna(0).astype("int64" if whole[v] else "float64")
+                total = x.groupby(group).cumsum().to_numpy()
+                if goes_on:
+                    total[group == group[0]] += state[v]
+                extra[f"_p_{v}"] = total
+                state[v] = total[-1]
+            last = key
+            yield pdf.assign(**extra)
+
+    kinds = ", ".join(f"`_p_{v}` {'bigint' if whole[v] else 'double'}" for v in values)
+    blocks = ordered_blocks(df, keys, order, fold=fold, folded=kinds)
+    summary = block_summaries(blocks, keys, **{f"_t_{v}": F.max_by(f"_p_{v}", SLOT) for v in values})
     carry = summary.select(*keys, BLOCK, *[F.coalesce(F.sum(f"_t_{v}").over(before(keys)), F.lit(0)).alias(f"_t_{v}") for v in values])
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
     rows = join_summary(blocks, carry, keys)
-    return rows.select(*df.columns, *[(F.sum(v).over(inside) + F.col(f"_t_{v}")).alias(f"running_{v}") for v in values])
+    return rows.select(*df.columns, *[(F.col(f"_p_{v}") + F.col(f"_t_{v}")).alias(f"running_{v}") for v in values])
 
 
 def prefix_records(df: DataFrame, keys: list[str], order: list[str], value: str, n_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -204,28 +235,54 @@ def prefix_records(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def previous_row(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "previous") -> DataFrame:
-    """``lag(value)`` without a whole group in one task."""
-    blocks = ordered_blocks(df, keys, order)
-    summary = block_summaries(blocks, keys, _end=F.max_by(value, SLOT))
+    """``lag(value)`` without a whole group in one task: inside a block in the sorting pass, from the last row of
+    the block before otherwise. The value travels as text there, so that any type and NULL survive."""
+
+    def fold(batches):
+        last, end = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            group, key, goes_on = _runs(pdf, keys, last)
+            text = pdf["_text"].astype(object)
+            lag = text.groupby(group).shift(1)
+            start = np.r_[True, group[1:] != group[:-1]]
+            if goes_on:
+                lag.iloc[0] = end
+                start[0] = False
+            last, end = key, text.iloc[-1]
+            yield pdf.assign(_lag=lag.where(lag.notna(), None), _head=start)
+
+    kind = df.schema[value].dataType
+    tagged = df.withColumn("_text", F.col(value).cast("string"))
+    blocks = ordered_blocks(tagged, keys, order, fold=fold, folded="_lag string, _head boolean")
+    summary = block_summaries(blocks, keys, _end=F.max_by(F.struct("_text"), SLOT))
     ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK)
-    carry = summary.select(*keys, BLOCK, F.lag("_end").over(ordered).alias("_carry"))
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(SLOT)
-    rows = join_summary(blocks, carry, keys).withColumn("_n", F.row_number().over(inside))
-    return rows.select(
-        *df.columns,
-        F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.lag(value).over(inside)).alias(name),
-    )
+    carry = summary.select(*keys, BLOCK, F.lag("_end").over(ordered)["_text"].alias("_carry"))
+    rows = join_summary(blocks, carry, keys)
+    return rows.select(*df.columns, F.when(F.col("_head"), F.col("_carry")).otherwise(F.col("_lag")).cast(kind).alias(name))
 
 
 def last_known(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """``df`` with each NULL ``value`` replaced by the largest one before it. For values that grow in ``order`` this
-    is the last one before it."""
-    blocks = ordered_blocks(df, [], order)
-    summary = block_summaries(blocks, [], _high=F.max(value))
-    carry = summary.select(BLOCK, F.max("_high").over(before([])).alias("_carry"))
-    inside = Window.partitionBy(BLOCK).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, 0)
+    """``df`` with each NULL of the whole numbers ``value`` replaced by the largest one before it. For values that
+    grow in ``order`` this is the last one before it."""
+    least = -(1 << 63)
+
+    def fold(batches):
+        high = least
+        for pdf in batches:
+            if len(pdf):
+                seen = np.maximum.accumulate(np.r_[high, pdf["_filled"].to_numpy(dtype=np.int64)])
+                high = seen[-1]
+                yield pdf.assign(_high=seen[1:])
+
+    filled = df.withColumn("_filled", F.coalesce(F.col(value).cast("long"), F.lit(least))).drop(value)
+    blocks = ordered_blocks(filled, [], order, fold=fold, folded="_high bigint")
+    summary = block_summaries(blocks, [], _top=F.max("_high"))
+    carry = summary.select(BLOCK, F.max("_top").over(before([])).alias("_carry"))
     rows = join_summary(blocks, carry, [])
-    return rows.select(*[c for c in df.columns if c != value], F.greatest(F.max(value).over(inside), "_carry").alias(value))
+    found = F.greatest("_high", "_carry")
+    return rows.select(*[c for c in df.columns if c != value], F.when(found > least, found).alias(value))
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list, k: int, n_salts: int = 64) -> DataFrame:

@@ -30,10 +30,11 @@ def pair_pixels(pred: DataFrame, truth: DataFrame, uid: str = "uid") -> DataFram
     lone = F.raise_error(F.concat(F.lit("no partner for "), F.coalesce(F.col(uid).cast("string"), F.lit("NULL"))))
     both = F.col("pred").isNotNull() & F.col("target").isNotNull()
     joined = joined.withColumn("pred", F.when(both, F.col("pred")).otherwise(lone.cast(joined.schema["pred"].dataType)))
+    kinds = [joined.schema[c].dataType.elementType.simpleString() for c in ("pred", "target")]
     size_ok = F.size("pred") == F.size("target")
     pairs = F.when(size_ok, F.arrays_zip("pred", "target")).otherwise(
         F.raise_error(F.concat(F.lit("shape mismatch for "), F.col(uid).cast("string"))).cast(
-            "array<struct<pred:double,target:double>>"
+            f"array<struct<pred:{kinds[0]},target:{kinds[1]}>>"
         )
     )
     others = [c for c in joined.columns if c not in ("pred", "target")]

@@ -50,6 +50,11 @@ def drop_scratch(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Folders below this application's scratch folder are no longer taken for built."""
     for key in [k for k, folder in BUILT.items() if folder.startswith(scratch_root(spark))]:
         del BUILT[key]
 

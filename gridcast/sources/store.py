@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridcast import dims
 from gridcast.functions.rows import unpack
 from gridcast.functions.columns import frame_path, target_path
-from gridcast.operators.manifest import sensor_counts
+from gridcast.operators.manifest import duplicate_ids, sensor_counts
 from gridcast.operators.samples import spread_key
 from gridcast.sources import tiff
 from gridcast.sources.files import DATA_FAULTS, MemberReader, read_bytes
@@ -129,13 +129,20 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 def write_store(located: DataFrame, path: str, band_mode: str, **reading) -> bool:
     """Build the store unless a finished one is there; an unfinished one is replaced. Returns whether it built.
+    A finished store of other bands is an error, and so is a sample that is listed twice.
 
     Tasks are cut by (sensor, uid) ranges of equal sample counts: the manifest is tiny beside its pixels, so
     its byte size says nothing about the work, and a file's uid range stays narrow for pruning on read.
     """
     spark = located.sparkSession
     if is_complete(spark, path):
+        kept = {r.band_mode for r in read_store(spark, path).select("band_mode").distinct().collect()}
+        if kept - {band_mode}:
+            raise ValueError(f"the finished store at {path} has bands {sorted(kept)}, not {band_mode}")
         return False
+    repeated = duplicate_ids(located).limit(5).collect()
+    if repeated:
+        raise ValueError(f"samples are listed more than once: {[r.uid for r in repeated]}")
     n = located.select("uid").count()
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // SAMPLES_PER_TASK))
     tagged = located.withColumn("_pid", F.spark_partition_id())  # copies of one sample need not share a task
