@@ -108,7 +108,7 @@ def band_selection(spark, sf_dir):
     "fill_frames",
     f"""WITH {SLOTS_SQL}, s AS (SELECT DISTINCT user_id, day FROM slot_means), g AS (SELECT user_id, day, CAST(t AS INTEGER) AS t FROM s, (SELECT UNNEST(range(3)) AS t)),
     f AS (SELECT g.*, v, v IS NOT NULL AS valid FROM g LEFT JOIN slot_means m ON g.user_id = m.user_id AND g.day = m.day AND g.t = m.t)
-    SELECT user_id, day, t, valid, TRUE AS has_data,
+    SELECT user_id, day, t, valid, BOOL_OR(valid) OVER (PARTITION BY user_id, day) AS has_data,
            ROUND(COALESCE(LAST_VALUE(v IGNORE NULLS) OVER (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                           FIRST_VALUE(v IGNORE NULLS) OVER (PARTITION BY user_id, day ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS filled,
            ROUND(COALESCE(v, 0), 6) AS zeroed FROM f""",

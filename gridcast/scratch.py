@@ -30,6 +30,9 @@ def scratch_root(spark: SparkSession) -> str:
         # one machine, and nothing was named, so name a folder
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
+    # with its scheme: a bare path means one file system to Spark and another to a Python worker
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/gridcast-{spark.sparkContext.applicationId}"
 
 
