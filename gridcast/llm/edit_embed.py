@@ -198,9 +198,10 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(prints: DataFrame, least: float = 0.9) -> DataFrame:
-    """(doc_id, class_id) from (doc_id, fingerprint): texts whose fingerprints reach ``least`` are linked, and a class
-    is what links reach, named by its smallest doc_id. Equal fingerprints are one class from the start; others meet in
-    a bucket of one of ``BANDS`` bands of sampled bits, where each is verified against the bucket's first."""
+    """(fingerprint, class_id), a row per distinct fingerprint of (doc_id, fingerprint): those whose likeness reaches
+    ``least`` are linked, and a class is what links reach, named by its smallest doc_id (null if it has none). Different
+    fingerprints meet in a bucket of one of ``BANDS`` bands of sampled bits, where each is verified on all bits against
+    the bucket's first."""
     groups = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints")
     which = np.random.default_rng(12).integers(0, BITS, (BANDS, BAND_BITS))
 
@@ -223,5 +224,10 @@ def near_classes(prints: DataFrame, least: float = 0.9) -> DataFrame:
 
     links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint")
     found = components(links).select(F.col("v").alias("rep"), "comp")
-    classes = groups.join(found, "rep", "left").select("fingerprint", F.coalesce("comp", "rep").alias("class_id"))
-    return prints.select("doc_id", "fingerprint").join(classes, "fingerprint").select("doc_id", "class_id")
+    return groups.join(found, "rep", "left").select("fingerprint", F.coalesce("comp", "rep").alias("class_id"))
+
+
+def with_classes(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """``rows`` (doc_id, fingerprint, ...) plus the class_id of their fingerprint."""
+    rows = stored(rows, "fingerprints")
+    return rows.join(near_classes(rows, least), "fingerprint").select(*rows.columns, "class_id")

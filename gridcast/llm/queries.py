@@ -108,5 +108,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
-    return edit_embed.with_edits(table(spark, sf_dir, "documents"))
+    """Fingerprints of every document and of its edited text, their likeness, and the class of near texts."""
+    return edit_embed.with_classes(edit_embed.with_edits(table(spark, sf_dir, "documents")))

@@ -385,6 +385,6 @@ def test_near_classes(spark):
         at = rnd.randrange(1980, 1999)
         rows += [(10 * i, t), (10 * i + 1, t), (10 * i + 2, t[:at] + "zz" + t[at:])]
     prints = edit_embed.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.class_id for r in edit_embed.near_classes(prints).collect()}
+    got = {r.doc_id: r.class_id for r in edit_embed.with_classes(prints).collect()}
     assert all(got[10 * i] == got[10 * i + 1] == 10 * i for i in range(30))
     assert np.mean([got[10 * i + 2] == 10 * i for i in range(30)]) > 0.9
