@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridcast import dims
 from gridcast.functions.rows import unpack
 from gridcast.functions.columns import exceeds
-from gridcast.operators.ordered import ordinal_rank
+from gridcast.operators.ordered import BLOCK, SLOT, before, join_summary, ordered_blocks, ordinal_rank
+from gridcast.scratch import materialise
 
 SCORES = (
     "rmse", "mae", "mse", "bias", "r2", "pearson", "csi", "pod", "far", "ets",
@@ -180,22 +181,59 @@ def rank_correlation(pairs: DataFrame, by: list[str], position: list[str]) -> Da
     return by_both.groupBy(*by).agg(rho.alias("spearman"))
 
 
+def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` plus the 0-based rank of each in ``order`` among all rows, among those of its sensor and among those
+    of its site, from one sort: a rank is the number of such rows earlier in the block, counted in the sorting pass,
+    plus those of the blocks before."""
+    groups = ("sensor_id", "site_id")
+    missing = -(1 << 62)  # a NULL id is a group too
+
+    def fold(batches):
+        seen = {g: {} for g in groups}
+        for pdf in batches:
+            extra = {}
+            for g in groups:
+                key = pdf[g].fillna(missing).astype("int64")
+                extra[f"_in_{g}"] = (key.groupby(key).cumcount() + key.map(seen[g]).fillna(0)).astype("int64")
+                for k, n in key.value_counts().items():
+                    seen[g][k] = seen[g].get(k, 0) + n
+            yield pdf.assign(**extra)
+
+    blocks = ordered_blocks(rows, [], order, fold=fold, folded="_in_sensor_id bigint, _in_site_id bigint")
+    counts = materialise(blocks.groupBy(BLOCK, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min(SLOT).alias("_first")), "summary")
+    out = blocks
+    for keys, name, inside in (([], names[0], F.col(SLOT)), (["sensor_id"], names[1], F.col("_in_sensor_id")), (["site_id"], names[2], F.col("_in_site_id"))):
+        per = counts.groupBy(BLOCK, *keys).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+        earlier = F.coalesce(F.sum("_n").over(before(keys)), F.lit(0)) - (F.lit(0) if keys else F.col("_first"))
+        carry = materialise(per.select(BLOCK, *keys, earlier.alias("_earlier")), "carry")
+        out = join_summary(out, carry, keys).withColumn(name, inside + F.col("_earlier")).drop("_earlier")
+    return out.drop(BLOCK, SLOT, "_in_sensor_id", "_in_site_id")
+
+
 def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
-    """Spearman overall, per sensor and per site: rows are spread to their three scopes, keyed by two
-    numbers to keep the sorted rows short."""
-    keys = F.array(
-        F.struct(F.lit(0).alias("_scope"), F.lit(None).cast("long").alias("_id")),
-        F.struct(F.lit(1).alias("_scope"), F.col("sensor_id").cast("long").alias("_id")),
-        F.struct(F.lit(2).alias("_scope"), F.col("site_id").cast("long").alias("_id")),
+    """Spearman overall, per sensor and per site, on ordinal ranks (ties by ``position``), exact over all rows without
+    a NULL. Rows are sorted once by forecast and once by truth; each sort gives the ranks of all three scopes.
+
+    Ranks of n rows are a permutation, so the correlation is 1 - 6 * sum(d * d) / (n * (n * n - 1)) with d the
+    difference of both ranks: sums that combine on the map side.
+    """
+    rows = pairs.select(*dict.fromkeys([*position, "sensor_id", "site_id", "pred", "target"])).where(F.col("pred").isNotNull() & F.col("target").isNotNull())
+    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("sensor_id", "site_id")})
+    once = _scope_ranks(rows, ["pred", *position], ("_pa", "_ps", "_pt")).drop("pred")
+    both = _scope_ranks(once, ["target", *position], ("_ta", "_ts", "_tt"))
+    square = lambda p, t: F.sum((F.col(p) - F.col(t)).cast("double") * (F.col(p) - F.col(t)))
+    cells = both.groupBy("sensor_id", "site_id").agg(
+        F.count(F.lit(1)).alias("n"), square("_pa", "_ta").alias("all"), square("_ps", "_ts").alias("sensor"), square("_pt", "_tt").alias("site")
     )
-    spread = pairs.select(*position, "pred", "target", F.explode(keys).alias("_s")).select(*position, "pred", "target", "_s.*")
-    ranked = rank_correlation(spread, ["_scope", "_id"], position)
-    return ranked.select(
-        F.when(F.col("_scope") == 0, "all").when(F.col("_scope") == 1, "sensor").otherwise("site").alias("scope"),
-        F.when(F.col("_scope") == 1, F.col("_id")).cast("int").alias("sensor_id"),
-        F.when(F.col("_scope") == 2, F.col("_id")).alias("site_id"),
-        "spearman",
+    of = lambda scope, a, b: F.struct(F.lit(scope).alias("scope"), a.alias("sensor_id"), b.alias("site_id"), F.col(scope).alias("_d"))
+    none = F.lit(None)
+    scopes = F.array(
+        of("all", none.cast("int"), none.cast("long")), of("sensor", F.col("sensor_id").cast("int"), none.cast("long")),
+        of("site", none.cast("int"), F.col("site_id")),
     )
+    sums = cells.select("n", F.explode(scopes).alias("_s")).groupBy("_s.scope", "_s.sensor_id", "_s.site_id").agg(F.sum("n").cast("double").alias("_n"), F.sum("_s._d").alias("_d"))
+    rho = F.when(F.col("_n") < 2, 0.0).otherwise(1 - F.try_divide(6 * F.col("_d"), F.col("_n") * (F.col("_n") * F.col("_n") - 1)))
+    return sums.select("scope", "sensor_id", "site_id", rho.alias("spearman"))
 
 
 def full_report(pairs: DataFrame, position: list[str], rain: float = dims.RAIN_MM_H, heavy: float = dims.HEAVY_MM_H, kind: str | None = None) -> DataFrame:
