@@ -11,6 +11,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
@@ -192,7 +193,9 @@ class Words(dict):
     def part(self, text: str) -> bytes:
         if len(self.parts) >= CACHED:
             self.parts.clear()
-        self.parts[text] = out = np.array([t.id for t in self.model.tokenize("".join(self.names[b] for b in text.encode()))], np.uint32).tobytes()
+        # printable ASCII stands for itself
+        named = text if text.isascii() else "".join(map(self.names.__getitem__, text.encode()))
+        self.parts[text] = out = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
         return out
 
     def __missing__(self, word: bytes) -> bytes:
