@@ -172,20 +172,21 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Da
     vectors = stored(whole_vectors(table, scale), "vectors")
     index = stored(index_blocks(vectors), "index")
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-asked.count() // QUERIES))
-    left = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    names = index.select(F.col("block").alias("block"))
-    # the second side holds, for every block, all queries with their group: small rows, once per block
-    right = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one").drop("one")
+    # a cell is a group of queries and a slot of blocks; blocks go to every group, queries to every slot
+    groups, slots = max(1, -(-asked.count() // QUERIES)), max(1, index.count())
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = index.withColumn("slot", part("block", slots)).withColumn("group", each(groups))
+    right = asked.withColumn("group", part("vec_id", groups)).withColumn("slot", each(slots))
 
     def meet(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in block.iterrows():
+        for _, r in (block if len(queries) else block[:0]).iterrows():
             ids, low = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["low"], np.int64)
             maps = np.frombuffer(r["maps"], np.uint64).reshape(r["dims"], r["digits"], -1)
             out += search_block(ids, low, maps, queries["vec_id"], list(queries["v"]), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
+    found = left.groupBy("slot", "group").cogroup(right.groupBy("slot", "group")).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
