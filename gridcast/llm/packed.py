@@ -175,7 +175,8 @@ def gathered(df: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterat
                 else:
                     marks.append((d, p))
         if marks:
-            yield _marks(*(np.concatenate(x) for x in zip(*marks)), n_buckets)
+            # a bucket per task: more would only cut the rows smaller
+            yield _marks(*(np.concatenate(x) for x in zip(*marks)), n)
 
     if mode == "edges":
         return sent.mapInArrow(settle, "key bigint, a bigint, b bigint")
