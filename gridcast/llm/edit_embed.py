@@ -7,12 +7,15 @@ the walk at each of ``BITS`` sampled steps. A sampled step is uniform over the w
 length it is nearly always the same step, so that length alone does not pull fingerprints apart.
 
 The likeness of two fingerprints is 1 when all bits agree and 0 when half of them do, as in unrelated texts. Near
-texts are found by bands of sampled bits and verified on all bits.
+texts are found by bands that no pair within the limit can miss (``bands_for``) and verified on all bits. Inside a
+band's bucket every fingerprint is verified against the bucket's first one; buckets whose members are then not all
+connected are finished in blocks: members outside the bucket's largest component against all members of others.
 """
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from gridcast.llm.packed import gathered
 BITS = 256
 CLASSES = 64  # characters share coins by the hash of their code point
 PERIOD = 1 << 16  # coins repeat after so many steps
-BANDS, BAND_BITS = 24, 32
+BLOCK = 4096  # fingerprints of a bucket compared at once with as many others
 TOGETHER = 48  # walks fewer than this go on one by one
 
 
@@ -197,34 +200,121 @@ def with_edits(docs: DataFrame) -> DataFrame:
     return found.where("kind = 'done'").select(*names).unionByName(joined.mapInArrow(close, DDL))
 
 
+def bands_for(least: float) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """Blocks of bits, and the pairs of blocks that make a band each.
+
+    If two fingerprints are as near as ``least``, at most ``far`` blocks differ and four agree at least. The blocks
+    are in three groups, so two of the four are in one group, and every pair inside a group is a band: no such pair
+    of fingerprints is missed. At 0.9 these are 35 bands of 32 bits.
+    """
+    far = max(d for d in range(BITS + 1) if 2.0 * (BITS - d) / BITS - 1.0 >= least)
+    n = max(16, far + 4)
+    if n > BITS:
+        raise ValueError("unrelated fingerprints are that near, too")
+    return np.array_split(np.arange(BITS), n), [x for group in np.array_split(np.arange(n), 3) for x in combinations(group.tolist(), 2)]
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    """Fingerprints given as hexadecimal digits: a row of four 64-bit numbers each."""
+    return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), U64).reshape(len(column), -1)
+
+
+def linked(comp: np.ndarray, prints: np.ndarray, asked: np.ndarray, asked_prints: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between components that near fingerprints of the two lists give; none that follows from earlier ones."""
+    names, at = np.unique(np.r_[comp, asked], return_inverse=True)
+    at, own, out = at[:len(comp)], at[len(comp):], []
+    for j, mine in enumerate(asked_prints):
+        near = (at != own[j]) & (likeness(prints, mine) >= least)
+        if near.any():
+            met = np.unique(at[near])
+            out += [(int(names[own[j]]), int(x)) for x in names[met]]
+            at[np.isin(at, met)] = own[j]
+            own[np.isin(own, met)] = own[j]
+    return out
+
+
+def leftover_links(edges: DataFrame, comps: DataFrame, groups: DataFrame, least: float, n: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket but no link to the bucket's first member."""
+    label = lambda df, c: df.join(comps.select(F.col("v").alias(c), F.col("comp").alias(f"{c}_c")), c, "left").withColumn(f"{c}_c", F.coalesce(f"{c}_c", c))
+    # a bucket's edges connect all its members; with one edge there is nothing left to compare
+    apart = label(label(edges, "a"), "b").groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("a_c") != F.col("b_c")).alias("_apart")).where("_apart AND _n > 1")
+    some = edges.join(apart.select("key"), "key", "left_semi")
+    rows = some.select("key", F.col("a").alias("v")).union(some.select("key", "b")).distinct()
+    rows = stored(label(rows, "v").withColumnRenamed("v_c", "comp"), "mixed")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_all"), F.max("_n").alias("_largest"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select("key", "_most", blocks(F.col("_all")).alias("_mb"), blocks(F.col("_all") - F.col("_largest")).alias("_sb"))
+    base = rows.join(sizes, "key").join(groups.select("v", "fingerprint"), "v")
+    part = lambda c, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = base.select("key", part("_mb", 1).alias("mb"), all_of("_sb").alias("sb"), F.lit(False).alias("asks"), "comp", "fingerprint")
+    right = base.where("comp <> _most").select("key", all_of("_mb").alias("mb"), part("_sb", 2).alias("sb"), F.lit(True).alias("asks"), "comp", "fingerprint")
+    on = ["key", "mb", "sb"]
+
+    def compare(batches):
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            key, mb, sb, asks, comp = (held.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            prints = _prints(held.column("fingerprint"))
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mb[1:] != mb[:-1]) | (sb[1:] != sb[:-1])])
+            # the last block may go on in the next batch
+            done = [*zip(cuts, np.r_[cuts[1:], len(key)])] if batch is None else [*zip(cuts[:-1], cuts[1:])]
+            out = []
+            for lo, hi in done:
+                a = asks[lo:hi]
+                out += linked(comp[lo:hi][~a], prints[lo:hi][~a], comp[lo:hi][a], prints[lo:hi][a], least)
+            held = None if batch is None else held.slice(cuts[-1])
+            if out:
+                a, b = zip(*set(out))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return left.union(right).repartition(n, *on).sortWithinPartitions(*on).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
 def near_classes(prints: DataFrame, least: float = 0.9) -> DataFrame:
-    """(fingerprint, class_id), a row per distinct fingerprint of (doc_id, fingerprint): those whose likeness reaches
-    ``least`` are linked, and a class is what links reach, named by its smallest doc_id (null if it has none). Different
-    fingerprints meet in a bucket of one of ``BANDS`` bands of sampled bits, where each is verified on all bits against
-    the bucket's first."""
-    groups = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "prints")
-    which = np.random.default_rng(12).integers(0, BITS, (BANDS, BAND_BITS))
+    """(fingerprint, class_id), a row per distinct fingerprint of (doc_id, fingerprint): all those whose likeness
+    reaches ``least`` are linked, and a class is what links reach, named by its smallest doc_id (null if it has none).
+    Fingerprints are told apart by themselves: one whose rows all have a null doc_id, or share it, links as any other."""
+    n = fan_out(prints)
+    groups = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")).withColumn("v", F.monotonically_increasing_id()), "prints")
+    blocks, pairs = bands_for(least)
+    first, second = np.array(pairs).T
 
     def bands(batches):
         for batch in batches:
-            ids = batch.column("rep").to_numpy()
+            ids = batch.column("v").to_numpy()
             if len(ids):
-                bits = np.unpackbits(np.frombuffer(bytes.fromhex("".join(batch.column("fingerprint").to_pylist())), np.uint8).reshape(len(ids), -1), axis=1)
-                key = np.packbits(bits[:, which], axis=2).view(np.uint32)[:, :, 0].astype(U64) << U64(8) | np.arange(BANDS, dtype=U64)
-                yield mix(key.ravel()), None, np.repeat(ids, BANDS), np.zeros(key.size, np.uint32)
+                bits = np.unpackbits(_prints(batch.column("fingerprint")).view(np.uint8), axis=1)
+                part = np.stack([bits[:, b] @ (1 << np.arange(len(b))) for b in blocks], axis=1).astype(U64)
+                key = (part[:, first] << U64(16) | part[:, second]) << U64(16) | np.arange(len(pairs), dtype=U64)
+                yield mix(key.ravel()), None, np.repeat(ids, len(pairs)), np.zeros(key.size, np.uint32)
 
-    pairs = gathered(groups.where("rep IS NOT NULL"), bands, "edges", fan_out(prints)).select("a", "b").distinct()
-    side = lambda c: groups.select(F.col("rep").alias(c), F.col("fingerprint").alias(f"{c}_print"))
+    edges = stored(gathered(groups, bands, "edges", n), "edges")
+    side = lambda c: groups.select(F.col("v").alias(c), F.col("fingerprint").alias(f"{c}_print"))
 
     def check(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(bytes.fromhex("".join(batch.column(x).to_pylist())), np.uint8).reshape(batch.num_rows, -1) for x in ("a_print", "b_print"))
+                a, b = (_prints(batch.column(x)) for x in ("a_print", "b_print"))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(likeness(a, b) >= least))
 
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint")
-    found = components(links).select(F.col("v").alias("rep"), "comp")
-    return groups.join(found, "rep", "left").select("fingerprint", F.coalesce("comp", "rep").alias("class_id"))
+    links = stored(edges.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a bigint, b bigint"), "verified")
+    comps = components(links)
+    more = stored(leftover_links(edges, comps, groups, least, n), "more")
+    if not more.isEmpty():
+        comps = components(links.union(more))
+    found = groups.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    names = found.groupBy("comp").agg(F.min("rep").alias("class_id"))
+    return found.join(names, "comp").select("fingerprint", "class_id")
 
 
 def with_classes(rows: DataFrame, least: float = 0.9) -> DataFrame:

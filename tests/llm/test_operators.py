@@ -388,3 +388,49 @@ def test_near_classes(spark):
     got = {r.doc_id: r.class_id for r in edit_embed.with_classes(prints).collect()}
     assert all(got[10 * i] == got[10 * i + 1] == 10 * i for i in range(30))
     assert np.mean([got[10 * i + 2] == 10 * i for i in range(30)]) > 0.9
+
+
+def plain_classes(prints):
+    """{print: its smallest doc_id}: all pairs compared. prints: (doc_id, whole number of 256 bits)."""
+    parent = {p: p for _, p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    every = sorted(parent)
+    for i, a in enumerate(every):
+        for b in every[:i]:
+            if (a ^ b).bit_count() <= 12 and find(a) != find(b):
+                parent[find(a)] = find(b)
+    ids = {}
+    for d, p in prints:
+        ids.setdefault(find(p), set()).add(d)
+    return {f"{p:064x}": min((d for d in ids[find(p)] if d is not None), default=None) for p in every}
+
+
+def test_near_classes_equal_brute_force(spark):
+    """A family of prints some 25 bits apart: many share a band's bucket, its first one is near to few of them."""
+    rnd = random.Random(12)
+    flip = lambda p, n: p ^ sum(1 << k for k in rnd.sample(range(256), n))
+    base = rnd.getrandbits(256)
+    family = [flip(base, 13) for _ in range(500)]
+    family += [flip(rnd.choice(family), rnd.choice([11, 12, 12, 12, 13])) for _ in range(500)]
+    prints = [*enumerate(family)] + [(None, flip(family[3], 12)), (5, flip(base, 60)), (None, flip(base, 90)), (7, family[9])]
+    rnd.shuffle(prints)
+    rows = spark.createDataFrame([(d, f"{p:064x}") for d, p in prints], "doc_id long, fingerprint string").repartition(4)
+    want = plain_classes(prints)
+    assert 100 < len(set(want.values())) < 900
+    assert {r.fingerprint: r.class_id for r in edit_embed.near_classes(rows).collect()} == want
+
+
+@pytest.mark.parametrize("least,far", [(0.9, 12), (0.97, 3), (0.8, 25)])
+def test_bands_miss_no_pair_at_the_limit(least, far):
+    blocks, pairs = edit_embed.bands_for(least)
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(256)) and max(map(len, blocks)) <= 16
+    rnd = np.random.default_rng(3)
+    for _ in range(2000):
+        # the hardest case: each differing bit in another block
+        bad = set(rnd.choice(len(blocks), min(far, len(blocks)), replace=False).tolist())
+        assert any(a not in bad and b not in bad for a, b in pairs)
