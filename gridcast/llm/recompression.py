@@ -8,7 +8,7 @@ for a few at their ends. After three rounds a symbol spans at most 8 words (long
 *Reveal*: a window of ``width`` words belongs to the last symbol border before its middle; that border's name is
 a hash of the words around it that every such window holds. Names that occur once prove their windows unique.
 *Verify*: windows at shared names are compared by 128 bits of their whole word sequence; all but the first by
-(doc_id, position) are repeats. Windows in which a run of equal words makes the borders depend on what lies
+(doc_id, hash of the text, position) are repeats. Windows in which a run of equal words makes the borders depend on what lies
 outside are named one by one instead: the choice depends on the window's words only, so it is the same everywhere.
 """
 from __future__ import annotations
@@ -95,6 +95,7 @@ def _documents(batch: pa.RecordBatch, lo: int, hi: int, cache: WordHashes):
     begins = np.cumsum(counts) - counts
     first[begins[counts > 0]] = True
     ids = np.array([LEAST_ID if d is None else d for d in batch.column("doc_id")[lo:hi].to_pylist()], np.int64)
+    ids = np.stack([ids, batch.column("text_hash")[lo:hi].to_numpy()], axis=1)
     return words, first, ids, counts, begins
 
 
@@ -105,7 +106,7 @@ def _tagged(words, first, width):
 
 
 def reveal(width: int):
-    """Entries (name, doc_id, tag inside the document)."""
+    """Entries (name, document, tag inside the document)."""
 
     def entries(batches):
         cache = WordHashes()
@@ -130,7 +131,7 @@ def reveal(width: int):
 
 
 def verify(width: int):
-    """Entries (128 bits of the window, doc_id, start) of the windows whose names are shared."""
+    """Entries (128 bits of the window, document, start) of the windows whose names are shared."""
 
     def entries(batches):
         cache = WordHashes()
@@ -151,20 +152,28 @@ def verify(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, found): for each document that has any, the starts of windows whose word sequence also starts
-    earlier (smaller doc_id, or the same document), as uint32 numbers. A null doc_id counts as the smallest
-    and is returned as LEAST_ID. Rows that share a doc_id are one document: none of them is earlier than another."""
+    """(doc_id, text_hash, found): for each document that has any, the starts of windows whose word sequence also
+    starts earlier, as uint32 numbers. Earlier is a smaller doc_id, with one doc_id a smaller hash of the text, in one
+    text a smaller place. A null doc_id counts as the smallest and is returned as LEAST_ID. Rows with one doc_id and
+    other texts are documents of their own; exactly repeated rows are one, none of them earlier than another."""
     if width < 4:
         raise ValueError("a window has 4 words at least")
+    docs = with_hash(docs)
     n = fan_out(docs)
     named = stored(gathered(docs, reveal(width), "both", n), "names")
     some = with_found(docs, named, "inner").where("text IS NOT NULL")
     return stored(gathered(some, verify(width), "later", n), "repeats")
 
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text_hash``, which tells rows of one doc_id apart."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
 def with_found(docs: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    found = found.withColumnsRenamed({"doc_id": "_found_id", "text_hash": "_found_hash"})
     key = F.coalesce(docs["doc_id"], F.lit(LEAST_ID))
-    return docs.join(found.withColumnRenamed("doc_id", "_found_id"), key == F.col("_found_id"), how).drop("_found_id")
+    return docs.join(found, (key == F.col("_found_id")) & (docs["text_hash"] == F.col("_found_hash")), how).drop("_found_id", "_found_hash")
 
 
 def covered(starts: bytes, n_words: int, width: int) -> np.ndarray:
@@ -190,7 +199,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, digest: bool = False) ->
 
     rest = [] if digest else [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
     base = documents_of(docs, *[F.col(f"`{c}`").alias(f"_rest_{i}") for i, c in enumerate(rest)])
-    joined = with_found(base, repeated_windows(documents_of(docs), width))
+    joined = with_found(with_hash(base), repeated_windows(documents_of(docs), width)).drop("text_hash")
 
     def cut(text: str, gone: np.ndarray) -> str:
         at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]

@@ -40,3 +40,18 @@ def test_edges(spark):
     got = {(r.doc_id, r.text, r.pos, r.n_removed) for r in recompression.remove_repeats(df).collect()}
     assert got == {(None, long, 1, 0), (1, None, 2, 0), (2, "", 3, 0), (3, " \t ", 4, 0), (4, "x tail", 5, 60)}
     assert recompression.remove_repeats(df.where("1 = 0"), digest=True).count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    """Rows with a null or an equal doc_id and other texts: each loses its own repeats only."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"u{rnd.getrandbits(40)}" for _ in range(n)]
+    shared = fresh(30)
+    rows = [(None, fresh(5) + shared + fresh(140)), (None, fresh(100) + shared + fresh(20)), (7, fresh(60) + shared), (7, shared + fresh(90)), (9, fresh(50)), (9, fresh(20) + shared)]
+    rows += [(d, t) for d in (None, 7) for t in [fresh(25) + rnd.choice(rows)[1][3:40] + fresh(40) for _ in range(20)]]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string").repartition(3)
+    order = sorted(recompression.with_hash(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_hash))
+    want = brute.repeats([(i, r.text) for i, r in enumerate(order)])
+    plain = lambda rows: sorted(rows, key=str)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in recompression.remove_repeats(df, digest=True).collect()]
+    assert plain(got) == plain((order[i].doc_id, *w) for i, w in want.items())
