@@ -21,11 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group that shares 80 % of its five-word shingles. Rows
-    that share a doc_id stay or go together."""
+    """Keep one row, with the smallest doc_id, of each group that shares 80 % of its five-word shingles. Rows with a
+    null doc_id, or with one doc_id, are judged by their own texts."""
     ship_package(spark)
-    kept = circulant.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    rows = circulant.numbered(docs)
+    kept = circulant.near_duplicates(rows, size=5, percent=80, rows=True).where("kept").select(F.col("row").alias("_kept"))
+    return rows.join(kept, rows["row"] == kept["_kept"], "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, sig, bands) per row: set size, 128 bits of the set, a byte per coordinate of
+    """(row, doc_id, n_shingles, hi, lo, sig, bands) per row: set size, 128 bits of the set, a byte per coordinate of
     the signature, a key per band (empty for an empty set)."""
 
     def rows(batches):
@@ -79,32 +79,32 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 bands = pa.array([k if c else k[:0] for k, c in zip(keys, n)], pa.list_(pa.int64()))
                 small = sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(np.array(top, U64).view(np.int64)), pa.array(np.array(low, U64).view(np.int64)), pa.array([s.tobytes() for s in small], pa.binary()), bands],
-                    names=["doc_id", "n_shingles", "hi", "lo", "sig", "bands"],
+                    [batch.column("row")[lo:hi], batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(np.array(top, U64).view(np.int64)), pa.array(np.array(low, U64).view(np.int64)), pa.array([s.tobytes() for s in small], pa.binary()), bands],
+                    names=["row", "doc_id", "n_shingles", "hi", "lo", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary, bands array<bigint>")
+    return docs.mapInArrow(rows, "row bigint, doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary, bands array<bigint>")
 
 
 def _bands(batches):
     for batch in batches:
         bands = batch.column("bands")
-        ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(bands.offsets.to_numpy()))
+        ids = np.repeat(batch.column("row").to_numpy(), np.diff(bands.offsets.to_numpy()))
         yield bands.flatten().to_numpy().view(U64), None, ids, np.zeros(len(ids), np.uint32)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, found) for the documents of ``wanted`` (column v), one row each."""
+    """(v, found) for the rows named in ``wanted`` (column v)."""
 
     def rows(batches):
         cache = WordHashes()
         for batch in batches:
             for lo, hi in pieces(batch, limit=1 << 20):
                 sets = [shingles(t, size, cache).tobytes() for t in batch.column("text")[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(sets, pa.binary())], names=["doc_id", "found"])
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], pa.array(sets, pa.binary())], names=["v", "found"])
 
     # the same kind of join at every size
-    return docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["v"], "left_semi").mapInArrow(rows, "doc_id bigint, found binary")
+    return docs.join(wanted.hint("merge"), docs["row"] == wanted["v"], "left_semi").mapInArrow(rows, "v bigint, found binary")
 
 
 def linked(a: bytes, b: bytes, percent: int) -> bool:
@@ -117,7 +117,7 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("found").alias(f"{c}_set"))
+    side = lambda c: sets.select(F.col("v").alias(c), F.col("found").alias(f"{c}_set"))
 
     def check(batches):
         for batch in batches:
@@ -143,7 +143,7 @@ def leftover_links(edges: DataFrame, comps: DataFrame, sets: DataFrame, sketched
     members = members.join(region.select(F.col("v").alias("comp"), F.col("comp").alias("region")), "comp")
     sizes = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_mb"), F.ceil(F.count("asks") / BLOCK).cast("int").alias("_sb")).where("_sb > 0")
     members = stored(
-        members.join(sizes, "region").join(sets.withColumnRenamed("doc_id", "v"), "v").join(sketched.select(F.col("doc_id").alias("v"), "sig"), "v"), "members"
+        members.join(sizes, "region").join(sets, "v").join(sketched.select(F.col("row").alias("v"), "sig"), "v"), "members"
     )
     part = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -170,20 +170,30 @@ def leftover_links(edges: DataFrame, comps: DataFrame, sets: DataFrame, sketched
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row (``row``), written down: a later read finds the same."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text): documents whose sets of
-    ``size``-word shingles have 100 * common >= percent * united are linked, and a component is what links reach.
+    ``size``-word shingles have 100 * common >= percent * united are linked, and a component is what links reach. It
+    is named by its smallest doc_id; one row with that doc_id is kept.
 
     No words or no text: an empty set, linked with nothing. A null doc_id counts as the smallest and stays null.
-    Repeated rows share their component; rows with one doc_id and other texts are judged by their own texts.
+    Rows are told apart by number: of repeated rows, with or without a doc_id, one is kept, and rows with one doc_id
+    and other texts are judged by their own texts. With ``rows``, ``docs`` is ``numbered`` and the result has ``row``.
     """
-    base = documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST_ID)))
+    base = documents_of(docs, *["row"] * rows).withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST_ID)))
     n = fan_out(base)
+    base = base if rows else numbered(base)
     sketched = stored(sketches(base, size), "sketches")
-    first = sketched.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    rows = stored(sketched.select("doc_id", "n_shingles", "hi", "lo").join(first, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = rows.where("doc_id = rep AND n_shingles > 0").select(F.col("rep").alias("v")).distinct()
-    own = sketched.join(reps, sketched["doc_id"] == reps["v"], "left_semi")
+    # a class of equal sets goes by the number of its first row
+    heads = sketched.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("_head"))
+    heads = stored(heads.select("hi", "lo", F.col("_head.doc_id").alias("rep"), F.col("_head.row").alias("v")), "heads")
+    classes = sketched.select("row", "doc_id", "n_shingles", "hi", "lo").join(heads, ["hi", "lo"], "left")
+    classes = stored(classes.select("row", "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("v", -1 - F.col("row")).alias("v")), "classes")
+    own = sketched.join(heads.select("v"), sketched["row"] == F.col("v"), "left_semi")
     edges = stored(gathered(own, _bands, "edges", n), "edges")
     pairs = stored(edges.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
@@ -198,6 +208,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         # a class that had no link of its own so far
         lone = over.join(comps.select(F.col("v").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("v"), F.col("_c").alias("comp"))
         comps = stored(known.union(lone), "components")
-    out = rows.join(comps.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+    linked_heads = comps.join(heads, "v")
+    first = linked_heads.groupBy("comp").agg(F.min(F.struct("rep", "hi", "lo", "v")).alias("_first"))
+    names = comps.join(first, "comp").select("v", F.col("_first.rep").alias("_name"), F.col("_first.v").alias("_keeper"))
+    out = classes.join(names, "v", "left").withColumn("component_id", F.coalesce("_name", "rep"))
     null = lambda c: F.when(F.col(c) != LEAST_ID, F.col(c)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    kept = (F.col("v") < 0) | (F.col("row") == F.coalesce("_keeper", "v"))
+    return out.select(*["row"] * rows, null("doc_id"), "n_shingles", null("component_id"), kept.alias("kept"))

@@ -54,3 +54,15 @@ def test_tokens_decode_to_the_text(kept):
     got = sorted((r.doc_id, codec.decode(r.ids).decode()) for r in kept[5])
     assert got == sorted((r.doc_id, r.text) for r in kept[4])
     assert all(r.n_tokens == len(r.ids) for r in kept[5])
+
+
+def test_near_duplicates_without_an_id_of_their_own(spark):
+    """One row stays of exact copies with null ids and of a repeated row; a text does not go with another of its id."""
+    text = [" ".join(f"w{k}-{i}" for i in range(40)) for k in range(5)]
+    rows = [(None, text[0], i) for i in range(6)] + [(None, text[1], 6), (3, text[2], 7), (3, text[2], 8)]
+    rows += [(1, text[3], 9), (2, text[3] + " more", 10), (2, text[4], 11), (None, None, 12), (None, None, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pos int").repartition(3)
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(None, text[0]), (None, text[1]), (3, text[2]), (1, text[3]), (2, text[4]), (None, None), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
