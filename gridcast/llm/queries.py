@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import bitsliced, chunked_bpe, circulant, edit_embed, langmask, mixing, recompression, urlfilter, wavelet, zstd_quality
+from gridcast.llm import bitsliced, chunked_bpe, circulant, edit_embed, fim_index, importance, langmask, merge_rounds, mixing, recompression, urlfilter, wavelet, zstd_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,51 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness, and the class of near texts."""
     return edit_embed.with_classes(edit_embed.with_edits(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_fim_rank_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and digests of the output and of the text restored from it."""
+    return fim_index.digests(fim_index.transformed(table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50))
+
+
+SQL["op11_fim_rank_index"] = r"""
+WITH lines AS (
+    SELECT doc_id, COALESCE(text, '') AS t, sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS u
+    FROM documents
+),
+drawn AS (
+    SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1,
+        CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2, CAST('0x' || h[17:24] AS BIGINT) % 100 AS d3,
+        CAST('0x' || h[25:32] AS BIGINT) % 100 AS d4
+    FROM lines
+),
+parts AS (
+    SELECT doc_id, t, n,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d3 >= 100 THEN 'plain'
+             WHEN d4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+        array_to_string(u[greatest(c1, c2) + 1:n], '') AS s
+    FROM drawn
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents, resampled towards the texts of ``benchmark``."""
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they give back."""
+    return merge_rounds.digests(merge_rounds.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decode=True))
