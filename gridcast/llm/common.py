@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,16 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``used`` under neutral names, so that an operator's own columns cannot meet them,
+    and a function that selects the columns of ``docs`` from a result."""
+    names = {c: c if c in used else f"_other_{i}" for i, c in enumerate(docs.columns)}
+    return (
+        docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]),
+        lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()]),
+    )
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``limit`` bytes of text each; a longer text is a range of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

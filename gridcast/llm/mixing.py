@@ -3,7 +3,7 @@
 Every source gets a target of words. Among all document rates that meet the targets, the ones nearest to "each
 document once" in relative entropy are exp(lambda_source * size), held at the most copies allowed. The convex dual
 has one unknown per source; Newton steps run over a table of (source, size, count), all sources at once. Rates
-are rounded to whole copies by a hash of doc_id, and per source one common shift of the rounding threshold makes the
+are rounded to whole copies by a hash of the row, and per source one common shift of the rounding threshold makes the
 words taken meet the target up to a single document.
 """
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridcast.llm.common import documents_of, stored, words_of
+from gridcast.llm.circulant import numbered
+from gridcast.llm.common import documents_of, shielded, stored, words_of
 from gridcast.operators.ordered import ordinal_rank
 from gridcast.scratch import broadcast_if_small
 
@@ -20,16 +21,36 @@ EXACT = 1e-9  # relative distance from a target at which a source's rates are do
 BINS, LEVELS = 1024, 3  # the shift is found to 2 / BINS**LEVELS
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of every text, 0 for null."""
+TOSSES = 1 << 52
 
-    def rows(batches):
+
+def sizes_of(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """(doc_id, source, text_hash, size): words of every text, 0 for null. With ``rows``, also ``row``."""
+    kept = ["doc_id", "source", "text_hash", *["row"] * rows]
+
+    def count(batches):
         for batch in batches:
             n = [len(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64())], names=[*kept, "size"])
+
+    base = documents_of(docs, F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), *["row"] * rows)
+    return base.mapInArrow(count, "doc_id bigint, source string, text_hash bigint" + ", row bigint" * rows + ", size bigint")
+
 
-    base = documents_of(docs, F.col("source").cast("string").alias("source"))
-    return base.mapInArrow(rows, "doc_id bigint, source string, size bigint")
+def told_apart(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``copy``: rows equal in doc_id, source and text are counted from 0, all others have 0."""
+    key = ["doc_id", "source", "text_hash"]
+    more = sizes.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    more = stored(more.select(*[F.col(c).alias(f"_{c}") for c in key]), "repeated")
+    if more.isEmpty():
+        return sizes.withColumn("copy", F.lit(0).cast("long"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    more = broadcast_if_small(more)
+    order = ["row"] if "row" in sizes.columns else []
+    some = ordinal_rank(sizes.join(more, same, "left_semi"), key, order, "copy")
+    return sizes.join(more, same, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(some)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
@@ -110,34 +131,39 @@ def shifts(rated: DataFrame) -> DataFrame:
     last = rows.join(broadcast_if_small(state), "sid").where((F.col("key") >= F.col("lo")) & (F.col("size") > 0))
     # the next key of all that follow; it is taken too if that comes nearer
     nearest = last.groupBy("sid").agg(F.min("key").alias("next"), F.min_by("size", "key").alias("w"))
-    return state.join(nearest, "sid", "left").select("sid", F.when((F.col("w") / 2 <= F.col("need")), F.col("next") + width).otherwise(F.col("lo")).alias("shift"))
+    return state.join(nearest, "sid", "left").select("sid", F.when((F.col("w") / 2 <= F.col("need")), F.col("next") + 1 / float(TOSSES)).otherwise(F.col("lo")).alias("shift"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 1, rows: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, rate, copies, taken) for each row of ``docs`` (doc_id, text, source).
 
     ``taken`` is copies * size, at most ``most`` times the size. A null text has size 0; so has an empty one. A
-    null source is a source like others, last in order. Rows with one doc_id are rounded alike, each in its own
-    source. The result depends on rows and ``seed`` alone, not on partitions.
+    null source is a source like others, last in order. Rows are rounded apart, also where doc_id is null or shared and
+    where whole rows repeat. The result depends on rows and ``seed`` alone, not on partitions. With ``rows``, ``docs``
+    is ``numbered`` and the result has ``row``.
     """
-    sizes = stored(sizes_of(docs), "sizes")
+    sizes = told_apart(stored(sizes_of(docs, rows), "sizes"))
+    toss = F.pmod(F.xxhash64("doc_id", "text_hash", "source", "copy", F.lit(seed)), F.lit(TOSSES)) / float(TOSSES)
+    own = ["doc_id", *["row"] * rows]
+    sizes = stored(sizes.select(*own, "source", "size", toss.alias("toss")), "tossed")
     found = targets(sizes, weights, share, most)
     found = stored(found, "targets")
-    numbered = sizes.join(broadcast_if_small(found.select(F.col("source").alias("_s"), "sid")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
-    state = solve(numbered, found, most)
-    toss = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    rated = numbered.join(broadcast_if_small(state), "sid").withColumn("rate", capped(most))
-    rated = rated.withColumn("base", F.floor("rate")).withColumn("key", toss - (F.col("rate") - F.col("base")))
+    by_source = sizes.join(broadcast_if_small(found.select(F.col("source").alias("_s"), "sid")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    state = solve(by_source, found, most)
+    rated = by_source.join(broadcast_if_small(state), "sid").withColumn("rate", capped(most))
+    rated = rated.withColumn("base", F.floor("rate")).withColumn("key", F.col("toss") - (F.col("rate") - F.col("base")))
     # a document at the limit gets no further copy
     rated = stored(rated.withColumn("key", F.when(F.col("base") >= most, F.lit(None)).otherwise(F.col("key"))), "rated")
     shift = shifts(rated.where("lam IS NOT NULL AND target > 0"))
     out = rated.join(broadcast_if_small(shift), "sid", "left")
     copies = (F.col("base") + F.coalesce((F.col("key") < F.col("shift")).cast("long"), F.lit(0))).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", "rate", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*own, "size", "source_size", "target", "rate", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Every row of ``docs`` as often as the mix takes it."""
-    rows = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"])).drop(rows["doc_id"])
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every row of ``docs`` as often as the mix takes it, with all its columns. Rows are told apart by number."""
+    own, back = shielded(docs, "doc_id", "text", "source")
+    own = numbered(own)
+    taken = mix_sources(own, rows=True, **options).where("copies > 0").select(F.col("row").alias("_row"), "copies")
+    out = own.join(taken, F.col("row") == F.col("_row"))
+    return back(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
