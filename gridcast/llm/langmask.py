@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridcast.llm.common import U64, documents_of, mix, pieces
 
 PER_LANGUAGE = 2000  # the fit reads about so many documents of a language
-LEAST_SHARE = 0.003  # of a language's documents in which an n-gram must occur; in two at least
+LEAST_SHARE = 0.003  # of a language's documents in which an n-gram must occur
 CELLS = 1 << 18
 GRAM = 4  # bytes
 NONE = "und"
@@ -49,36 +49,40 @@ def cells(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     langs: list[str]
-    masks: np.ndarray  # uint64, one cell per row, a bit per language
+    masks: np.ndarray  # uint64, a row of cells for every 64 languages, in each cell a bit per language
     chance: list[float] = field(default_factory=list)  # that an n-gram a language lacks is found in it
 
     def shares(self, text: str) -> np.ndarray:
         """Corrected share of the text's n-grams that each language has."""
         g = grams(text)
         a, b = cells(g)
-        hit = self.masks[a] & self.masks[b]
-        if len(self.langs) <= 12:
-            n = np.bincount(hit.astype(np.int64), minlength=1 << len(self.langs))
-            sets = np.arange(len(n))
-            counts = np.array([n[(sets >> i) & 1 == 1].sum() for i in range(len(self.langs))], float)
-        else:
-            counts = np.array([int(((hit >> U64(i)) & U64(1)).sum()) for i in range(len(self.langs))], float)
+        counts = []
+        for k, masks in enumerate(self.masks):
+            hit = masks[a] & masks[b]
+            m = min(64, len(self.langs) - 64 * k)
+            if m <= 12:
+                n = np.bincount(hit.astype(np.int64), minlength=1 << m)
+                sets = np.arange(len(n))
+                counts += [n[(sets >> i) & 1 == 1].sum() for i in range(m)]
+            else:
+                counts += [((hit >> U64(i)) & U64(1)).sum() for i in range(m)]
         chance = np.array(self.chance)
-        return np.clip((counts / max(1, len(g)) - chance) / (1 - chance), 0, 1)
+        return np.clip((np.array(counts, float) / max(1, len(g)) - chance) / (1 - chance), 0, 1)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from the text and non-null lang of ``docs``. A language with more than ``per_language`` documents is
-    sampled by the hash of doc_id to about that number; n-grams are counted by Spark over the sample."""
+    sampled by the hash of doc_id and text to about that number (exact copies of a row are taken all or none); n-grams
+    are counted by Spark over the sample, and one that is in fewer than ``LEAST_SHARE`` of a language's documents is left
+    out."""
     base = documents_of(docs, F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     totals = {r.lang: r.n for r in base.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(totals)
-    if len(langs) > 64:
-        raise ValueError(f"a cell has 64 bits, the table names {len(langs)} languages")
+    masks = np.zeros((-(-len(langs) // 64), CELLS), U64)
     if not langs:
-        return Filters([], np.zeros(CELLS, U64))
+        return Filters([], masks)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / totals[k]))])
-    toss = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
+    toss = F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     sample = base.where(toss < share[F.col("lang")])
 
     def count(batches):
@@ -91,16 +95,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
             g, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    kept = F.create_map(*[F.lit(x) for k in langs for x in (k, max(2.0, LEAST_SHARE * min(totals[k], per_language)))])
+    kept = F.create_map(*[F.lit(x) for k in langs for x in (k, LEAST_SHARE * min(totals[k], per_language))])
     counted = sample.select("lang", "doc_id", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # bounded by the sample: at most as many n-grams as its texts have
-    frequent = counted.where((F.col("n") >= kept[F.col("lang")]) | (F.lit(sum(totals.values()) < 50))).select("lang", "gram").toPandas()
-    masks = np.zeros(CELLS, U64)
+    frequent = counted.where(F.col("n") >= kept[F.col("lang")]).select("lang", "gram").toPandas()
+    bit = lambda i: U64(1 << i % 64)
     for i, lang in enumerate(langs):
         a, b = cells(frequent.loc[frequent["lang"] == lang, "gram"].to_numpy().astype(np.uint32))
-        masks[a] |= U64(1 << i)
-        masks[b] |= U64(1 << i)
-    chance = [float((((masks >> U64(i)) & U64(1)).mean()) ** 2) for i in range(len(langs))]
+        masks[i // 64, a] |= bit(i)
+        masks[i // 64, b] |= bit(i)
+    chance = [float(((masks[i // 64] & bit(i)) > 0).mean() ** 2) for i in range(len(langs))]
     return Filters(langs, masks, chance)
 
 
