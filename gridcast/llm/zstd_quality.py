@@ -2,7 +2,9 @@
 
 A text resembles the class whose dictionary makes it smaller. The score is a logistic calibration of the size
 difference per byte; the smaller of both sizes per byte goes in as well, as text that shrinks to almost nothing under
-either dictionary repeats itself and leaves no difference to see. Only the text enters a score.
+either dictionary repeats itself and leaves no difference to see (on 825 held-out labels of the larger test tables the
+difference alone keeps 41 of 122 bad documents and 701 of 703 good ones, both together 13 and 703). Only the text
+enters a score.
 """
 from __future__ import annotations
 
@@ -15,13 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridcast.llm.common import documents_of
 
-PER_CLASS = 1500  # the fit reads at most so many labelled documents of a class,
-SAMPLE_BLOCKS = 6  # and at most so many blocks of each, evenly spaced
+PER_CLASS = 1500  # the fit reads at most so many labelled documents of a class, whole
 BLOCK = 4096  # bytes compressed at once: the dictionary counts in each, not only where a text begins
 DICTIONARY = 65536
 LEVEL = 3
 THRESHOLD = 0.3
-FLOOR = 0.25  # sizes per byte below it mark repetition
 HEADER = 6  # bytes of a frame without content, of no meaning for short texts
 
 
@@ -50,14 +50,14 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
 
-def features(blocks: list[bytes], good, bad) -> tuple[float, float, float]:
+def features(blocks: list[bytes], good, bad) -> tuple[float, float]:
+    """Size difference per byte, and the logarithm of the smaller size per byte."""
     n = sum(map(len, blocks))
     if not n:
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0
     a = sum(max(0, len(good.compress(b)) - HEADER) for b in blocks)
     b = sum(max(0, len(bad.compress(x)) - HEADER) for x in blocks)
-    least = min(a, b) / n
-    return (b - a) / n, float(np.log(least + 0.01)), max(0.0, FLOOR - least)
+    return (b - a) / n, float(np.log(min(a, b) / n + 0.01))
 
 
 def _cut(data: bytes) -> list[bytes]:
@@ -85,45 +85,54 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(b"", b"", w.tolist(), mean.tolist(), std.tolist())
 
 
+def _features_of(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """(quality, difference, least) of every row (quality, text)."""
+
+    def rows(batches):
+        a, b = _compressor(good), _compressor(bad)
+        for batch in batches:
+            found = np.array([features(_cut((t or "").encode()), a, b) for t in batch.column("text").to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["quality", "difference", "least"])
+
+    return docs.select("quality", "text").mapInArrow(rows, "quality int, difference double, least double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Train on at most ``per_class`` documents of each label, those with the smallest hash of doc_id.
 
-    Half of them make the dictionaries, the other half the calibration. Labels other than 0 and 1, and labels of
-    missing documents, are left out. Without both classes the model gives every text the same score.
+    Half of them make the dictionaries, on the driver; the other half the calibration, of which the driver sees two
+    numbers a document. All are read whole. A document labelled twice counts twice, and so does a repeated row of a
+    labelled document. Labels other than 0 and 1, and labels of missing documents, are left out. Without both classes
+    the model gives every text the same score.
     """
     picked = None
     for label in (0, 1):
         of = labels.where(F.col("quality") == label).select(F.col("doc_id").cast("long").alias("_id"), F.lit(label).alias("quality"))
         of = of.orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = of if picked is None else picked.union(of)
-
-    def sample(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                blocks = _cut((text or "").encode())
-                at = sorted({int(i) for i in np.linspace(0, len(blocks) - 1, SAMPLE_BLOCKS)}) if blocks else []
-                out.append([blocks[i] for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "quality", "blocks"])
-
     base = documents_of(docs)
     # the sample's ids are at most 2 * per_class numbers
-    joined = base.join(F.broadcast(picked), base["doc_id"] == picked["_id"]).select("doc_id", "quality", "text")
-    rows = joined.mapInArrow(sample, "doc_id bigint, quality int, blocks array<binary>").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect()
-    texts = {label: [[bytes(b) for b in r.blocks] for r in rows if r.quality == label] for label in (0, 1)}
-    n0, n1 = len(texts[0]), len(texts[1])
+    joined = base.join(F.broadcast(picked), base["doc_id"] == picked["_id"]).select("quality", "doc_id", "text", (F.xxhash64("doc_id", F.lit(2)) % 2 == 0).alias("first"))
+    of = lambda rows, label: [_cut((r.text or "").encode()) for r in rows if r.quality == label]
+    in_order = [F.xxhash64("doc_id"), "doc_id", "quality", "text"]
+    rows = joined.where("first").orderBy(*in_order).collect()
+    rest = joined.where("NOT first")
+    if any(not of(rows, label) for label in (0, 1)):  # so few that all serve for both
+        rows, rest = joined.orderBy(*in_order).collect(), joined
+    n0, n1 = len(of(rows, 0)), len(of(rows, 1))
     if not n0 or not n1:
         prior = (n1 + 1) / (n0 + n1 + 2)
-        return Model(b"", b"", [float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0], [0.0] * 3, [1.0] * 3)
-    dictionaries = {label: _dictionary(t[::2] or t) for label, t in texts.items()}
-    good, bad = _compressor(dictionaries[1]), _compressor(dictionaries[0])
-    rest = [(features(b, good, bad), label) for label, t in texts.items() for b in (t[1::2] or t)]
-    model = _logistic(np.array([f for f, _ in rest]), np.array([float(y) for _, y in rest]))
+        return Model(b"", b"", [float(np.log(prior / (1 - prior))), 0.0, 0.0], [0.0] * 2, [1.0] * 2)
+    bad, good = (_dictionary(of(rows, label)) for label in (0, 1))
+    found = sorted(tuple(r) for r in _features_of(rest, good, bad).collect())
+    if len({q for q, *_ in found}) < 2:
+        found = sorted(tuple(r) for r in _features_of(joined, good, bad).collect())
+    model = _logistic(np.array([f for _, *f in found]), np.array([float(q) for q, *_ in found]))
     # the calibration knows the sample's shares; put the labels' own in their place
     counts = {r.quality: r["count"] for r in labels.where("quality IN (0, 1)").groupBy("quality").count().collect()}
-    m0, m1 = (sum(1 for _, y in rest if y == k) for k in (0, 1))
+    m0, m1 = (sum(1 for q, *_ in found if q == k) for k in (0, 1))
     model.weights[0] += float(np.log(counts[1] / counts[0]) - np.log(m1 / m0))
-    model.good, model.bad = dictionaries[1], dictionaries[0]
+    model.good, model.bad = good, bad
     return model
 
 
@@ -136,7 +145,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: boo
     def rows(batches):
         good, bad = model.compressors()
         for batch in batches:
-            found = np.array([features(_cut((t or "").encode()), good, bad) for t in batch.column(where).to_pylist()]).reshape(-1, 3)
+            found = np.array([features(_cut((t or "").encode()), good, bad) for t in batch.column(where).to_pylist()]).reshape(-1, 2)
             s = model.score(found)
             if keep:
                 yield batch.filter(pa.array(s >= threshold))
