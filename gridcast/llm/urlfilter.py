@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 FEATURES = 1 << 14
 SIZES = (3, 4, 5)
-MOST_RULES = 1000  # rules are part of the plan
+CACHED = 100_000  # hosts and paths a task remembers; it starts anew beyond
 
 # labelled URLs: 1 is to be blocked
 LABELLED: list[tuple[str, int]] = [(f"https://{host}{path}", 1) for host, path in (
@@ -99,16 +99,28 @@ def fit(labelled: Sequence[tuple[str, int]], steps: int = 1000, rate: float = 20
     return out, bias
 
 
-def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], field: int | None) -> Column:
-    """The longest fitting rule's text (``field`` None) or verdict, null if none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2])):
-        verdict, h, p = rule
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        out = F.when(fits, F.lit(h + p if field is None else verdict)).otherwise(out)
-    return out
+class Rules:
+    """Rules by host, then by path: a URL looks up the suffixes of its host at dots, and of its path the starts that
+    are as long as some rule's."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str]]):
+        self.of: dict[str, tuple[list[int], dict[str, tuple[str, str]]]] = {}
+        for verdict, host, path in rules:
+            self.of.setdefault(host, ([], {}))[1][path] = (host + path, verdict)
+        for lengths, paths in self.of.values():
+            lengths += sorted({len(p) for p in paths}, reverse=True)
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """(rule, verdict) of the longest rule that fits, the later one by text if several are as long; of rules with one
+        host and path the last given. Both None if none fits."""
+        found = []
+        for suffix in (host, *(host[i + 1:] for i, c in enumerate(host) if c == ".")):
+            if suffix in self.of:
+                lengths, paths = self.of[suffix]
+                hit = next((path[:n] for n in lengths if n <= len(path) and path[:n] in paths), None)
+                if hit is not None:
+                    found.append(paths[hit])
+        return max(found, key=lambda r: (len(r[0]), r[0]), default=(None, None))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Sequence[tuple[str, int]] = LABELLED, least: float = 0.5) -> DataFrame:
@@ -120,17 +132,22 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Seq
     w, bias = fit(labelled)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), *[c.alias(n) for c, n in zip(split(F.col("url").cast("string")), ("host", "path"))])
 
+    by_host = Rules(rules)
+
     def rows(batches):
+        known = {}
         for batch in batches:
-            risk, known = [], {}
+            out = []
             for key in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
                 if key not in known:
+                    if len(known) >= CACHED:
+                        known.clear()
                     g, s = vector(*key)
-                    known[key] = float(1 / (1 + np.exp(-(bias + w[g].sum() * s))))
-                risk.append(known[key])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(risk)], names=[*batch.schema.names, "risk"])
-
-    scored = base.mapInArrow(rows, "page_id bigint, host string, path string, risk double")
-    host, path = F.col("host"), F.col("path")
-    verdict = F.coalesce(rule_for(host, path, rules, 0), F.when(F.col("risk") >= least, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", rule_for(host, path, rules, None).alias("rule"), verdict.alias("verdict"), "risk")
+                    risk = float(1 / (1 + np.exp(-(bias + w[g].sum() * s))))
+                    rule, verdict = by_host.find(*key)
+                    known[key] = rule, verdict or ("block" if risk >= least else "allow"), risk
+                out.append(known[key])
+            rule, verdict, risk = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(risk, pa.float64())], names=[*batch.schema.names, "rule", "verdict", "risk"])
+
+    return base.mapInArrow(rows, "page_id bigint, host string, path string, rule string, verdict string, risk double")
