@@ -20,7 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gridcast.llm.common import U64, documents_of, pieces
+from gridcast.llm.common import U64, documents_of, pieces, stored
 from gridcast.operators.ordered import ordinal_rank
 
 LONGEST = 3  # words of an n-gram
@@ -320,7 +320,7 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     An empty target or corpus counts as one of smoothing alone. Other columns are not looked at. Scores depend on rows
     and ``seed`` alone, not on partitions.
     """
-    found = weighed(docs, gains_of(docs, target, buckets, longest), seed, longest)
+    found = stored(weighed(docs, gains_of(docs, target, buckets, longest), seed, longest), "weighed")
     early = {"_out": F.col("n_words") < least_words, "_low": -F.col("score"), "_null": F.col("doc_id").isNull()}
     ranked = ordinal_rank(found.withColumns(early), [], ["_out", "_low", "_null", "doc_id", "n_words", "weight"], "_at")
     eligible = ranked.where(~F.col("_out")).count()
