@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridcast.llm import chunked_bpe, circulant, mixing, recompression, zstd_quality
-from gridcast.llm.common import stored
+from gridcast.llm.common import shielded, stored
 from gridcast.session import ship_package
 
 
@@ -24,16 +24,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one row, with the smallest doc_id, of each group that shares 80 % of its five-word shingles. Rows with a
     null doc_id, or with one doc_id, are judged by their own texts."""
     ship_package(spark)
-    rows = circulant.numbered(docs)
+    own, back = shielded(docs, "doc_id", "text")
+    rows = circulant.numbered(own)
     kept = circulant.near_duplicates(rows, size=5, percent=80, rows=True).where("kept").select(F.col("row").alias("_kept"))
-    return rows.join(kept, rows["row"] == kept["_kept"], "left_semi").select(*docs.columns)
+    return back(rows.join(kept, rows["row"] == kept["_kept"], "left_semi"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every stretch of 20 words or more that an earlier document or place has already. ``n_chars`` follows; a
     document of which nothing is left stays, with an empty text."""
     ship_package(spark)
-    out = recompression.remove_repeats(docs, width=20).select(*docs.columns)
+    own, back = shielded(docs, "doc_id", "text")
+    out = back(recompression.remove_repeats(own, width=20))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
