@@ -1,10 +1,10 @@
 """Metric histories: one row per (run, epoch, step, tag, metric)."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridcast.operators.ordered import first_per_group, moving_average, prefix_records, running_sums
+from gridcast.operators.ordered import first_per_group, moving_average, running_sums
+from gridcast.operators.stopping import stops
 
 HISTORY_SCHEMA = "run string, epoch int, step int, tag string, metric string, value double"
 
@@ -83,59 +83,14 @@ def best_source(history: DataFrame, keys: list[str], tag: str, value: str, mode:
     )
 
 
-def early_stops(history: DataFrame, keys: list[str], epoch: str, value: str, patience: int = 10, mode: str = "min", min_delta: float = 1e-5) -> DataFrame:
-    """Per run: the epoch at which training stops (NULL if it does not) and the best value by then.
-
-    The best only moves on an improvement above ``min_delta``. Any such row is also strictly below all rows
-    before it, so the sequential rule runs over those records alone, streaming, and the rest of a run takes
-    part only in the distributed prefix minimum.
-    """
-    rows = history.select(*keys, epoch, _signed(value, mode).cast("double").alias("_v"))
-    numbered, records = prefix_records(rows, keys, [epoch], "_v")
-    lag = max(patience, 1)
-
-    def walk(batches):
-        last, best, at, stop = None, None, 0, None
-        kept = None
-
-        def done():
-            row = dict(zip(keys, kept))
-            return {**row, "_best": best, "_stop": stop if stop is not None else at + lag}
-
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                values = dict(zip(pdf.columns, row))
-                key = tuple(None if pd.isna(values[k]) else values[k] for k in keys)
-                v, pos = values["_v"], int(values["_pos"])
-                if key != last or kept is None:
-                    if kept is not None:
-                        out.append(done())
-                    last, kept, best, at, stop = key, key, v, pos, None
-                elif stop is None and best - v > min_delta:
-                    if pos > at + lag:
-                        stop = at + lag
-                    else:
-                        best, at = v, pos
-            if out:
-                yield pd.DataFrame(out)
-        if kept is not None:
-            yield pd.DataFrame([done()])
-
-    schema = T.StructType(
-        [records.schema[k] for k in keys] + [T.StructField("_best", T.DoubleType()), T.StructField("_stop", T.LongType())]
-    )
-    spread = records.repartition(*keys) if keys else records.repartition(1)
-    ordered = spread.sortWithinPartitions(*keys, "_pos")
-    verdict = ordered.mapInPandas(walk, schema).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_best", "_stop")
-    numbered = numbered.select(*keys, epoch, "_pos")
-    same = F.col("_pos") == F.col("_stop")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+def early_stops(history: DataFrame, keys: list[str], epoch: str, value: str, patience: int = 10, mode: str = "min", min_delta: float = 1e-5, n_blocks: int | None = None) -> DataFrame:
+    """Per run: the epoch at which training stops (NULL if it does not) and the best value by then. The best only moves
+    on an improvement above ``min_delta``; see :mod:`gridcast.operators.stopping` for how runs of any length are
+    followed."""
+    signed = history.select(*keys, epoch, _signed(value, mode).cast("double").alias("_signed"))
+    found = stops(signed, keys, epoch, "_signed", max(patience, 1), min_delta, n_blocks)
     sign = 1.0 if mode == "min" else -1.0
-    return verdict.join(numbered, same, "left").select(
-        *[F.col(f"_k_{k}").alias(k) for k in keys], F.col(epoch).alias("stop_epoch"), (F.col("_best") * sign).alias("best_value")
-    )
+    return found.select(*keys, F.col("stop").alias("stop_epoch"), (F.col("best") * sign).alias("best_value"))
 
 
 def smoothed(history: DataFrame, keys: list[str], epoch: str, value: str, decay: float) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import struct
 import uuid
 import zlib
@@ -98,3 +99,60 @@ def write_atomic(path: str, data: bytes) -> None:
     with system.open_output_stream(part) as stream:
         stream.write(data)
     system.move(part, inner)
+
+
+def plain(path: str) -> str:
+    """The path as ``list_files`` gives it."""
+    return _local(path) or path
+
+
+def list_files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of every file at or below a path, none if it does not exist."""
+    local = _local(path)
+    if local is not None:
+        if os.path.isfile(local):
+            return [(local, os.path.getsize(local))]
+        return [(os.path.join(d, n), os.path.getsize(os.path.join(d, n))) for d, _, names in os.walk(local) for n in names]
+    from pyarrow import fs
+
+    system, inner = _remote(path)
+    parsed = urlparse(path)
+    prefix = f"{parsed.scheme}://{parsed.netloc}" if parsed.scheme in ("hdfs", "viewfs") else f"{parsed.scheme}://"
+    found = system.get_file_info(inner)
+    if found.type == fs.FileType.File:
+        return [(path, found.size)]
+    listed = system.get_file_info(fs.FileSelector(inner, allow_not_found=True, recursive=True))
+    return [(f"{prefix}{f.path}", f.size) for f in listed if f.type == fs.FileType.File]
+
+
+def move(source: str, target: str) -> None:
+    """Rename within one file system, in place of a file that is there."""
+    local = _local(source)
+    if local is not None:
+        goal = _local(target)
+        os.makedirs(os.path.dirname(goal), exist_ok=True)
+        os.replace(local, goal)
+        return
+    system, inner = _remote(source)
+    goal = _remote(target)[1]
+    system.create_dir(goal.rsplit("/", 1)[0], recursive=True)
+    system.move(inner, goal)
+
+
+def remove_tree(path: str) -> None:
+    """Delete a file or a folder, if it is there."""
+    local = _local(path)
+    if local is not None:
+        if os.path.isdir(local):
+            shutil.rmtree(local, ignore_errors=True)
+        elif os.path.exists(local):
+            os.remove(local)
+        return
+    from pyarrow import fs
+
+    system, inner = _remote(path)
+    kind = system.get_file_info(inner).type
+    if kind == fs.FileType.Directory:
+        system.delete_dir(inner)
+    elif kind == fs.FileType.File:
+        system.delete_file(inner)
