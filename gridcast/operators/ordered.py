@@ -45,6 +45,13 @@ def ordered_blocks(
     )
 
 
+def blocks_for(df: DataFrame, mb: int = 64) -> int | None:
+    """Blocks for rows that are worked on while they are sorted: as many as the session runs at once at least, as
+    small tables would else go to one core; more by size. None (AQE decides) where Spark knows no size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, size // (mb << 20)) if size < 1 << 50 else None
+
+
 def block_summaries(blocks: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """One row per (keys, block); at most (number of blocks + number of groups) rows in all."""
     summary = blocks.groupBy(*keys, BLOCK).agg(

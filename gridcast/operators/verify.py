@@ -1,12 +1,13 @@
 """Forecast verification: pair forecasts with truth, reduce to sums once, derive the scores."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast import dims
 from gridcast.functions.rows import unpack
 from gridcast.functions.columns import exceeds
-from gridcast.operators.ordered import BLOCK, SLOT, before, join_summary, ordered_blocks, ordinal_rank
+from gridcast.operators.ordered import BLOCK, SLOT, before, blocks_for, join_summary, ordered_blocks, ordinal_rank
 from gridcast.scratch import materialise
 
 SCORES = (
@@ -181,7 +182,7 @@ def rank_correlation(pairs: DataFrame, by: list[str], position: list[str]) -> Da
     return by_both.groupBy(*by).agg(rho.alias("spearman"))
 
 
-def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str]) -> DataFrame:
+def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str], n_blocks: int | None) -> DataFrame:
     """``rows`` plus the 0-based rank of each in ``order`` among all rows, among those of its sensor and among those
     of its site, from one sort: a rank is the number of such rows earlier in the block, counted in the sorting pass,
     plus those of the blocks before."""
@@ -193,21 +194,30 @@ def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str])
         for pdf in batches:
             extra = {}
             for g in groups:
-                key = pdf[g].fillna(missing).astype("int64")
-                extra[f"_in_{g}"] = (key.groupby(key).cumcount() + key.map(seen[g]).fillna(0)).astype("int64")
-                for k, n in key.value_counts().items():
-                    seen[g][k] = seen[g].get(k, 0) + n
+                key = pdf[g].fillna(missing).to_numpy(dtype=np.int64)
+                by_key = np.argsort(key, kind="stable")
+                start = np.flatnonzero(np.r_[True, np.diff(key[by_key]) != 0][: len(key)])
+                size = np.diff(np.r_[start, len(key)])
+                names = key[by_key[start]].tolist()
+                before_batch = np.array([seen[g].get(k, 0) for k in names], np.int64)
+                inside = np.empty(len(key), np.int64)
+                inside[by_key] = np.arange(len(key)) + np.repeat(before_batch - start, size)
+                extra[f"_in_{g}"] = inside
+                seen[g].update(zip(names, (before_batch + size).tolist()))
             yield pdf.assign(**extra)
 
-    blocks = ordered_blocks(rows, [], order, fold=fold, folded="_in_sensor_id bigint, _in_site_id bigint")
+    blocks = ordered_blocks(rows, [], order, n_blocks, fold=fold, folded="_in_sensor_id bigint, _in_site_id bigint")
     counts = materialise(blocks.groupBy(BLOCK, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min(SLOT).alias("_first")), "summary")
-    out = blocks
-    for keys, name, inside in (([], names[0], F.col(SLOT)), (["sensor_id"], names[1], F.col("_in_sensor_id")), (["site_id"], names[2], F.col("_in_site_id"))):
-        per = counts.groupBy(BLOCK, *keys).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
-        earlier = F.coalesce(F.sum("_n").over(before(keys)), F.lit(0)) - (F.lit(0) if keys else F.col("_first"))
-        carry = materialise(per.select(BLOCK, *keys, earlier.alias("_earlier")), "carry")
-        out = join_summary(out, carry, keys).withColumn(name, inside + F.col("_earlier")).drop("_earlier")
-    return out.drop(BLOCK, SLOT, "_in_sensor_id", "_in_site_id")
+    # earlier blocks of the same group; a block has a row for each pair of groups in it
+    upto = lambda g: Window.partitionBy(g).orderBy(BLOCK).rangeBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(BLOCK, *groups, *[F.coalesce(F.sum("_n").over(upto(g)), F.lit(0)).alias(f"_before_{g}") for g in groups])
+    whole = counts.groupBy(BLOCK).agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    whole = whole.select(F.col(BLOCK).alias("_b"), (F.coalesce(F.sum("_n").over(before([])), F.lit(0)) - F.col("_first")).alias("_before"))
+    carry = materialise(carry.join(whole, F.col(BLOCK) == F.col("_b")).drop("_b"), "carry")
+    # one join gives the rows all three
+    out = join_summary(blocks, carry, list(groups))
+    ranks = (F.col(SLOT) + F.col("_before"), *[F.col(f"_in_{g}") + F.col(f"_before_{g}") for g in groups])
+    return out.select(*rows.columns, *[r.alias(n) for r, n in zip(ranks, names)])
 
 
 def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
@@ -219,8 +229,9 @@ def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
     """
     rows = pairs.select(*dict.fromkeys([*position, "sensor_id", "site_id", "pred", "target"])).where(F.col("pred").isNotNull() & F.col("target").isNotNull())
     rows = rows.withColumns({c: F.col(c).cast("long") for c in ("sensor_id", "site_id")})
-    once = _scope_ranks(rows, ["pred", *position], ("_pa", "_ps", "_pt")).drop("pred")
-    both = _scope_ranks(once, ["target", *position], ("_ta", "_ts", "_tt"))
+    n = blocks_for(pairs)
+    once = _scope_ranks(rows, ["pred", *position], ("_pa", "_ps", "_pt"), n).drop("pred")
+    both = _scope_ranks(once, ["target", *position], ("_ta", "_ts", "_tt"), n)
     square = lambda p, t: F.sum((F.col(p) - F.col(t)).cast("double") * (F.col(p) - F.col(t)))
     cells = both.groupBy("sensor_id", "site_id").agg(
         F.count(F.lit(1)).alias("n"), square("_pa", "_ta").alias("all"), square("_ps", "_ts").alias("sensor"), square("_pt", "_tt").alias("site")
