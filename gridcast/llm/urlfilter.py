@@ -14,34 +14,58 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 FEATURES = 1 << 14
 SIZES = (3, 4, 5)
+PRIOR = 1 / 3  # of URLs without a rule that are to be blocked
 CACHED = 100_000  # hosts and paths a task remembers; it starts anew beyond
 
-# labelled URLs: 1 is to be blocked
-LABELLED: list[tuple[str, int]] = [(f"https://{host}{path}", 1) for host, path in (
-    ("casino-royal.example.org", "/en/slots"), ("www.casino-win.example.net", "/de/bonus"), ("play-casino.example.com", "/"),
-    ("poker-win.example.org", "/en/table/7"), ("m.pokerstars-bonus.example.net", "/fr/"), ("bet-win.example.com", "/es/odds"),
-    ("sportsbetting.example.org", "/live/123"), ("best-slots.example.net", "/jackpot"), ("jackpot-lottery.example.com", "/win"),
-    ("free-porn.example.org", "/video/81"), ("xxx-tube.example.net", "/en/adult"), ("adult-cams.example.com", "/xxx/"),
-    ("sexchat.example.org", "/en/"), ("hot-dating.example.net", "/girls/55"), ("cheap-viagra.example.com", "/buy-now"),
-    ("pills-pharmacy.example.org", "/order/cialis"), ("free-crack.example.net", "/download/keygen"), ("warez-torrent.example.com", "/crack/9"),
-    ("clickbait-ads.example.org", "/track/click"), ("ads-tracker.example.net", "/banner/1"), ("spam-offer.example.com", "/free-money"),
-    ("winprize.example.org", "/claim-prize"), ("crypto-doubler.example.net", "/invest"), ("malware-host.example.com", "/payload.exe"),
-    ("phish-login.example.org", "/verify-account"), ("payday-loans.example.net", "/apply"), ("replica-watches.example.com", "/sale"),
-    ("adult-video.example.org", "/en/clip"), ("adult-movies.example.net", "/es/5519"), ("my-adult.example.com", "/fr/41"),
-    ("casino-online.example.org", "/en/2207"), ("x-rated.example.net", "/de/318"), ("x-adult-x.example.com", "/en/77"),
-    ("news.example.org", "/casino-bonus/free-spins"), ("blog.example.net", "/buy-viagra-online"), ("forum.example.com", "/xxx-porn-free"),
-)] + [(f"https://{host}{path}", 0) for host, path in (
-    ("www.library.example.org", "/en/4812"), ("blog.garden.example.net", "/de/3301"), ("m.weather.example.com", "/fr/5155"),
-    ("news.city.example.org", "/en/7817.html"), ("university.example.net", "/research/paper/12"), ("docs.software.example.com", "/en/guide/"),
-    ("museum.example.org", "/es/collection"), ("recipes.example.net", "/en/bread"), ("history.example.com", "/de/1848"),
-    ("science.example.org", "/article/331"), ("www.school.example.net", "/fr/cours"), ("wiki.example.com", "/wiki/Language"),
-    ("travel.example.org", "/es/madrid"), ("health.example.net", "/en/advice/6120"), ("blog.music.example.com", "/en/3265"),
-    ("government.example.org", "/de/gesetz"), ("maps.example.net", "/en/9623"), ("www.books.example.com", "/fr/roman/88"),
-    ("theatre.example.org", "/en/4205"), ("m.nature.example.net", "/de/7913"), ("oneration.example.com", "/en/669"),
-    ("tiontheth.example.org", "/en/8085.html"), ("www.anderen.example.net", "/de/1294/"), ("blog.therning.example.com", "/fr/6380/"),
-    ("ththere.example.org", "/fr/3739"), ("m.statble.example.net", "/en/4013"), ("restion.example.com", "/en/6158/"),
-    ("ingthand.example.org", "/en/7788"), ("edonand.example.net", "/de/64"), ("heresth.example.com", "/es/8017"),
-)]
+# fixed values: labelled URLs without their scheme, from well-known sites and from names as
+# unwanted sites have them; five of each kind have hosts under the domains of examples
+ALLOWED = """
+    github.com/torvalds/linux stackoverflow.com/questions/11227809 en.wikipedia.org/wiki/Rain www.bbc.co.uk/news/science www.nytimes.com/section/world
+    www.theguardian.com/international www.lemonde.fr/planete www.spiegel.de/wissenschaft elpais.com/cultura www.nature.com/articles/s41586
+    arxiv.org/abs/1706.03762 docs.python.org/3/library developer.mozilla.org/en-US/docs www.nasa.gov/missions www.noaa.gov/weather
+    www.who.int/health-topics www.un.org/en/about-us europa.eu/european-union www.gov.uk/browse/tax www.bundestag.de/ausschuesse
+    www.mit.edu/education www.stanford.edu/research www.ox.ac.uk/admissions www.sorbonne-universite.fr/formation www.tum.de/studium
+    www.gutenberg.org/ebooks/1342 archive.org/details/texts www.britannica.com/topic/music www.merriam-webster.com/dictionary/word www.loc.gov/collections
+    www.imdb.com/title/tt0111161 www.goodreads.com/book/show www.allrecipes.com/recipe/bread www.bonappetit.com/recipes www.chefkoch.de/rezepte
+    www.nationalgeographic.com/animals www.smithsonianmag.com/history www.scientificamerican.com/article www.sciencedaily.com/releases phys.org/news
+    www.reuters.com/business apnews.com/hub/politics www.ft.com/markets www.economist.com/europe www.bloomberg.com/technology
+    www.khanacademy.org/math www.coursera.org/learn www.edx.org/course www.duolingo.com/learn www.codecademy.com/catalog
+    www.apache.org/foundation spark.apache.org/docs/latest kubernetes.io/docs/concepts www.postgresql.org/docs www.kernel.org/doc
+    www.openstreetmap.org/relation www.weather.gov/forecast www.metoffice.gov.uk/weather www.dwd.de/leistungen meteofrance.com/previsions
+    www.ikea.com/furniture www.amazon.com/books www.ebay.de/itm www.etsy.com/listing www.booking.com/hotel
+    www.tripadvisor.com/attractions www.lonelyplanet.com/italy www.airbnb.com/rooms www.sncf-connect.com/train www.bahn.de/angebot
+    www.youtube.com/watch vimeo.com/channels www.flickr.com/photos www.deviantart.com/art soundcloud.com/discover
+    www.reddit.com/r/science news.ycombinator.com/item medium.com/topic/design wordpress.org/plugins www.blogger.com/about
+    www.fifa.com/tournaments www.espn.com/soccer www.olympics.com/en/sports www.nba.com/stats www.lequipe.fr/football
+    www.mayoclinic.org/diseases www.nhs.uk/conditions medlineplus.gov/ency www.webmd.com/drugs www.redcross.org/donate
+    www.metmuseum.org/art/collection www.louvre.fr/en/explore www.tate.org.uk/art www.prado.es/coleccion www.rijksmuseum.nl/en
+    www.php.net/manual/en sourceforge.net/projects www.slideshare.net/explore www.behance.net/gallery www.speedtest.net/about
+    www.battle.net/support www.ripe.net/about www.csdn.net/blog learn.adafruit.net/guides www.jsdelivr.net/package
+    www.thinkgeek.net/stories www.heritagegateway.net/site www.wien.info/de www.visitlondon.info/museums www.mathworld.net/topics
+    www.earthweek.net/planet www.oceanservice.net/facts www.theatremania.net/shows www.northernstar.net/local www.thehindu.net/news
+    oneworld.example.org/en/88 www.garden-notes.example.net/de/1294 library.example.com/fr/6380 blog.history.example.com/en/3265 city-council.example.org/news/4
+""".split()
+BLOCKED = """
+    bet365-bonus.com/en/sports 888casino-online.net/slots www.pokerstars-win.com/tables royal-vegas-casino.eu/jackpot luckyspin-slots.biz/free-spins
+    megajackpot-lotto.info/win roulette-online-bonus.com/roulette blackjack-casino.club/play sportsbet-odds.top/live bingo-slots-win.site/bonus
+    www.free-porn-videos.xxx/watch hot-sex-cams.com/live xxx-tube-adult.net/video/81 nude-girls-webcam.org/en adult-sex-chat.biz/rooms
+    milf-porn-tube.com/hd escort-girls-24.net/city sexdating-tonight.com/join hentai-xxx.info/gallery erotic-adult-cams.tv/model
+    cheap-viagra-pharmacy.com/order buy-cialis-online.net/pills pills-without-prescription.biz/buy canadian-pharmacy-rx.top/tramadol cheap-xanax-pills.info/order
+    weight-loss-miracle-pills.com/buy-now steroids-shop-online.net/cart rx-meds-discount.org/viagra levitra-cheap.site/order online-pharmacy-24h.eu/pills
+    free-crack-keygen.com/download warez-torrent-dl.net/crack serial-keygen-cracks.org/adobe nulled-scripts-free.top/download pirate-torrents-hd.info/magnet
+    malware-payload-host.ru/setup.exe trojan-download.biz/update.exe free-hacks-cheats.net/download activator-crack.site/windows apk-mod-cracked.club/free
+    secure-paypal-login.verify-account.com/signin apple-id-verify-login.net/account bank-login-secure-update.info/verify appleid-locked-account.top/confirm netflix-billing-update.biz/login
+    login-verify-wallet.com/metamask phishing-kit-host.ru/login account-suspended-verify.site/confirm webmail-verify-password.net/login amazon-refund-claim.top/verify
+    ads-tracker-click.com/banner doubleclick-popads.net/track popunder-adserver.biz/click banner-ads-network.info/pixel clickbait-traffic.top/redirect
+    spam-offer-deals.com/free-money spam-farm-links.net/seo link-farm-backlinks.biz/buy free-traffic-seo-spam.org/links bulk-email-spam.info/list
+    winprize-claim-now.com/iphone free-giftcard-generator.net/claim you-won-lottery.top/prize survey-reward-free.site/winner lucky-visitor-prize.club/claim
+    crypto-doubler-invest.com/bitcoin bitcoin-profit-fast.net/signup forex-easy-money.biz/invest get-rich-quick.info/money pyramid-invest-scheme.top/join
+    payday-loans-fast-cash.com/apply instant-loans-bad-credit.net/apply debt-cash-advance.biz/loan quick-money-loans.site/apply cheap-payday-cash.top/now
+    replica-watches-cheap.com/rolex fake-designer-bags.net/sale cheap-replica-shoes.biz/nike counterfeit-docs-passport.top/buy fake-diploma-online.info/order
+    essay-cheat-writing.com/buy hack-instagram-password.net/free free-vbucks-generator.top/claim robux-free-hack.site/generator cheap-followers-likes.biz/buy
+    casino-royal.example.org/en/slots x-adult.example.com/en/77 pills-pharmacy.example.org/order warez.example.net/crack/9 spam-offer.example.com/free-money
+""".split()
+LABELLED: list[tuple[str, int]] = [(f"https://{u}", 1) for u in BLOCKED] + [(f"https://{u}", 0) for u in ALLOWED]
 
 
 def split(url: Column) -> tuple[Column, Column]:
@@ -54,9 +78,10 @@ def split(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: str, path: str) -> np.ndarray:
-    """Feature numbers of all n-grams, those of the host apart from those of the path."""
+    """Feature numbers of all n-grams, those of the host apart from those of the path. The host's last label (com, net)
+    is left out: it is no sign of what a site holds, and too few labels would make it one."""
     out = []
-    for salt, part in ((1, host), (2, path)):
+    for salt, part in ((1, host.rpartition(".")[0] or host), (2, path)):
         b = np.frombuffer(f"^{part}$".encode(), np.uint8).astype(np.uint64)
         for n in SIZES:
             if len(b) >= n:
@@ -81,8 +106,9 @@ def _parts(url: str) -> tuple[str, str]:
     return host.lower(), tail.split("?")[0].split("#")[0]
 
 
-def fit(labelled: Sequence[tuple[str, int]], steps: int = 1000, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept by gradient descent; the table is small, a few thousand URLs at most."""
+def fit(labelled: Sequence[tuple[str, int]], steps: int = 1000, rate: float = 20.0, decay: float = 1e-5, prior: float = PRIOR) -> tuple[np.ndarray, float]:
+    """Weights and intercept by gradient descent; the table is small, a few thousand URLs at most. The intercept is moved
+    from the table's share of blocked URLs to ``prior``."""
     rows = [vector(*_parts(u)) for u, _ in labelled]
     y = np.array([label for _, label in labelled], float)
     used = np.unique(np.concatenate([g for g, _ in rows]))
@@ -96,7 +122,8 @@ def fit(labelled: Sequence[tuple[str, int]], steps: int = 1000, rate: float = 20
         bias -= rate / 10 * miss.mean()
     out = np.zeros(FEATURES)
     out[used] = w
-    return out, bias
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    return out, bias + float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
 
 
 class Rules:
