@@ -1,12 +1,14 @@
 """Grid augmentation: draws fixed by (seed, uid), the same for features and target."""
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.columns import unit_draw
-from gridcast.functions.kernels import orient_column
+from gridcast.functions.kernels import orient, orient_column
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,26 @@ def augment(rows: DataFrame, profile: Augmentation, seed: int, grids: dict[str,
     return drawn
 
 
+def transform_of(profile: Augmentation, seed: int):
+    """The profile as a step of the feature records: the same draws as :func:`augment`, for features and target alike;
+    noise goes to the features only, from a generator keyed by (seed, uid)."""
+
+    def draw(op: str, uid) -> float:
+        return int(hashlib.md5(f"{seed}:{op}:{uid}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    def run(features: np.ndarray, target: np.ndarray, uid) -> tuple[np.ndarray, np.ndarray]:
+        flip_x, flip_y = draw("flip_x", uid) < profile.horizontal_flip, draw("flip_y", uid) < profile.vertical_flip
+        turns = 1 + int(draw("turns", uid) * 3) if draw("rotate", uid) < profile.rotate90 else 0
+        features, target = (orient(g, flip_x, flip_y, turns) for g in (features, target))
+        if profile.noise_enabled and profile.noise_sigma > 0:
+            key = int.from_bytes(hashlib.md5(f"{seed}:noise:{uid}".encode()).digest()[:8], "little")
+            noise = np.random.Generator(np.random.Philox(key=key)).standard_normal(features.shape, np.float32)
+            features = features + np.float32(profile.noise_sigma) * noise
+        return features, target
+
+    return run
+
+
 def _shaken(seed: int, name: str, uid: Column, sigma: float):
     """Box-Muller on hash draws: the same noise on every partitioning."""
 

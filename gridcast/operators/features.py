@@ -1,6 +1,7 @@
 """Feature records from stored samples: one narrow Arrow pass per sample, no shuffle."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +12,9 @@ from gridcast import dims
 from gridcast.functions import columns as fx
 from gridcast.functions.kernels import resize, resize_taps
 
+# (features (C, H, W) float32, raw target (h, w) float32, uid) -> both, turned alike, with their shapes unchanged
+Transform = Callable[[np.ndarray, np.ndarray, object], tuple[np.ndarray, np.ndarray]]
+
 ROWS_PER_OUTPUT = 16  # a 50x96x96 record is 1.8 MB
 
 
@@ -75,8 +79,23 @@ def feature_block(frames: np.ndarray, valid: list[bool], mean, std, config: Feat
     return out
 
 
-def image_features(samples: DataFrame, stats: DataFrame, config: FeatureConfig, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus ``features`` ARRAY<FLOAT>, ``channels`` and ``image_size``."""
+def transformed(transform: Transform, block: np.ndarray, target: list | None, size: tuple[int, int], uid) -> tuple[np.ndarray, np.ndarray | None]:
+    grid = None if target is None else np.array(target, np.float32).reshape(size)
+    # a sample without a target is turned with a grid of zeros
+    out, turned = transform(block, np.zeros(size, np.float32) if grid is None else grid, uid)
+    if out.shape != block.shape or turned.shape != tuple(size):
+        raise ValueError(f"the transform changed shapes: {block.shape} to {out.shape}, {tuple(size)} to {turned.shape}")
+    return np.ascontiguousarray(out, np.float32), None if grid is None else np.ascontiguousarray(turned, np.float32)
+
+
+def image_features(
+    samples: DataFrame, stats: DataFrame, config: FeatureConfig, keep: list[str], transform: Transform | None = None,
+    target_size: tuple[int, int] = dims.TARGET_SIZE,
+) -> DataFrame:
+    """``keep`` columns plus ``features`` ARRAY<FLOAT>, ``channels`` and ``image_size``. A ``transform`` gets a sample's
+    features and its raw target in the same pass; ``keep`` must then name ``uid`` and ``target``."""
+    if transform is not None and not {"uid", "target"} <= set(keep):
+        raise ValueError("a transform needs uid and target among the kept columns")
     if config.missing_frames not in ("repeat_last", "zero"):
         raise ValueError(f"unknown missing-frame strategy {config.missing_frames!r}")
     resize_taps(4, 4, config.interpolation)
@@ -105,34 +124,46 @@ def image_features(samples: DataFrame, stats: DataFrame, config: FeatureConfig,
         for big in batches:
             for at in range(0, big.num_rows, ROWS_PER_OUTPUT):
                 batch = big.slice(at, ROWS_PER_OUTPUT)
-                rows, widths = [], []
-                for sensor, frames in zip(batch["sensor"].to_pylist(), batch["frames"].to_pylist()):
+                rows, widths, targets = [], [], []
+                uids = batch["uid"].to_pylist() if transform else [None] * batch.num_rows
+                grids = batch["target"].to_pylist() if transform else uids
+                for sensor, frames, uid, grid in zip(batch["sensor"].to_pylist(), batch["frames"].to_pylist(), uids, grids):
                     positions, stored, mean, std = plan[sensor]
                     h, w = (config.sizes or dims.NATIVE_SIZE)[sensor]
                     stack = np.stack(
                         [np.frombuffer(f["pixels"], np.uint8).reshape(stored, h, w)[positions] for f in frames]
                     )
                     block = feature_block(stack, [f["valid"] for f in frames], mean, std, config)
+                    if transform:
+                        block, grid = transformed(transform, block, grid, target_size, uid)
+                        targets.append(None if grid is None else grid.reshape(-1))
                     rows.append(block.reshape(-1))
                     widths.append(block.shape[0])
                 offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
                 features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
                 size = pa.array([config.image_size] * len(rows), pa.int32())
-                columns = [batch[c] for c in keep] + [features, pa.array(widths, pa.int32()), size]
+                kept = {c: batch[c] for c in keep}
+                if transform:
+                    kept["target"] = pa.array(targets, pa.list_(pa.float32()))
+                columns = [*kept.values(), features, pa.array(widths, pa.int32()), size]
                 names = [*keep, "features", "channels", "image_size"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
 
 
-def feature_records(samples: DataFrame, stats: DataFrame, config: FeatureConfig = FeatureConfig(), site_ids: DataFrame | None = None) -> DataFrame:
-    """The full training record: image features, targets in three forms, ids, masks and time features."""
+def feature_records(
+    samples: DataFrame, stats: DataFrame, config: FeatureConfig = FeatureConfig(), site_ids: DataFrame | None = None,
+    transform: Transform | None = None, target_size: tuple[int, int] = dims.TARGET_SIZE,
+) -> DataFrame:
+    """The full training record: image features, targets in three forms, ids, masks and time features. A ``transform``
+    turns features and raw target together, before the log target and the rain mask are derived."""
     keep = ["uid", "sensor", "site", "ts", "target"]
     if site_ids is not None:  # joined while rows are small; a NULL site has no id
         samples = samples.join(site_ids, "site", "left")
         keep = [*keep, *[c for c in site_ids.columns if c != "site"]]
     base = samples.withColumn("valid", F.transform("frames", lambda f: f["valid"]))
-    out = image_features(base, stats, config, keep + ["valid"])
+    out = image_features(base, stats, config, keep + ["valid"], transform, target_size)
     rate = F.col("target")
     out = out.withColumns(
         {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 def load_all() -> tuple[dict, dict]:
     """Import every query module and return (queries, SQL)."""
-    from gridcast.plans import connectors, features, histories, manifests, sampling, storage, verification  # noqa: F401
+    from gridcast.plans import features, histories, manifests, sampling, storage, verification, connectors  # noqa: F401
     from gridcast.plans import registry
 
     return registry.QUERIES, registry.SQL
