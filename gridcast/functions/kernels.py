@@ -9,6 +9,41 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
+# ---- noise ----------------------------------------------------------------------------------------
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 32-bit integers."""
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x ^ (x >> np.uint32(15))
+
+
+def normal_draws(key: int, n: int) -> np.ndarray:
+    """``n`` standard normal values fixed by a 64-bit key: position and key are mixed to two uniform numbers, the first in
+    the open interval, and these turned by Box-Muller."""
+    low, high = np.uint32(key & 0xFFFFFFFF), np.uint32(key >> 32)
+    counter = np.arange(2 * n, dtype=np.uint32)
+    bits = mixed(mixed(counter ^ low) ^ high).astype(np.float64).reshape(n, 2)
+    radius = np.sqrt(np.log((bits[:, 0] + 0.5) / 4294967296.0) * -2.0)
+    return radius * np.cos(bits[:, 1] / 4294967296.0 * 6.283185307179586)
+
+
+def noise_column(sigma: float):
+    """Arrow function (ARRAY, hexadecimal digest) -> ARRAY<DOUBLE>: Gaussian noise added, keyed by the first 16 digits.
+    A NULL grid or value stays NULL."""
+
+    @F.arrow_udf("array<double>")
+    def run(grid: pa.Array, digest: pa.Array) -> pa.Array:
+        lengths = np.where(grid.is_valid().to_numpy(zero_copy_only=False), np.diff(grid.offsets.to_numpy()), 0)
+        flat = grid.flatten().cast(pa.float64())
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        draws = [normal_draws(int(d[:16], 16), n) for d, n in zip(digest.to_pylist(), lengths)]
+        values = flat.fill_null(0.0).to_numpy(zero_copy_only=False) + sigma * np.concatenate([np.empty(0), *draws])
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, mask=~known), mask=grid.is_null())
+
+    return run
+
+
 # ---- resize ---------------------------------------------------------------------------------------
 def resize_taps(n_in: int, n_out: int, mode: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """One axis as a list of (source index, weight) per output; half-pixel centres, edge taps clamped."""

@@ -5,10 +5,10 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gridcast.functions.columns import unit_draw
-from gridcast.functions.kernels import orient, orient_column
+from gridcast.functions.kernels import noise_column, normal_draws, orient, orient_column
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,15 @@ def draw_orientation(rows: DataFrame, profile: Augmentation, seed: int, uid: str
 
 def augment(rows: DataFrame, profile: Augmentation, seed: int, grids: dict[str, tuple[int, int, int]], uid: str = "uid", noisy: tuple[str, ...] = ()) -> DataFrame:
     """Turn the ARRAY columns in ``grids`` (name -> planes, height, width) alike; ``noisy`` columns get
-    Gaussian noise when the profile enables it."""
+    Gaussian noise when the profile enables it: one hash per row, the rest by mixing it with positions."""
     drawn = draw_orientation(rows, profile, seed, uid)
     for name, (planes, height, width) in grids.items():
         turn = orient_column((height, width), planes)
         drawn = drawn.withColumn(name, turn(name, "flip_x", "flip_y", "turns"))
     if profile.noise_enabled and profile.noise_sigma > 0:
         for name in noisy:
-            drawn = drawn.withColumn(name, F.transform(name, _shaken(seed, name, F.col(uid), profile.noise_sigma)))
+            digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(f"noise-{name}"), F.col(uid).cast("string")).cast("binary"))
+            drawn = drawn.withColumn(name, noise_column(profile.noise_sigma)(name, digest))
     return drawn
 
 
@@ -66,20 +67,9 @@ def transform_of(profile: Augmentation, seed: int):
         turns = 1 + int(draw("turns", uid) * 3) if draw("rotate", uid) < profile.rotate90 else 0
         features, target = (orient(g, flip_x, flip_y, turns) for g in (features, target))
         if profile.noise_enabled and profile.noise_sigma > 0:
-            key = int.from_bytes(hashlib.md5(f"{seed}:noise:{uid}".encode()).digest()[:8], "little")
-            noise = np.random.Generator(np.random.Philox(key=key)).standard_normal(features.shape, np.float32)
+            key = int(hashlib.md5(f"{seed}:noise-features:{uid}".encode()).hexdigest()[:16], 16)
+            noise = normal_draws(key, features.size).reshape(features.shape).astype(np.float32)
             features = features + np.float32(profile.noise_sigma) * noise
         return features, target
 
     return run
-
-
-def _shaken(seed: int, name: str, uid: Column, sigma: float):
-    """Box-Muller on hash draws: the same noise on every partitioning."""
-
-    def shake(v: Column, i: Column) -> Column:
-        u = F.greatest(unit_draw(seed, f"u-{name}", uid, i), F.lit(1e-12))
-        angle = unit_draw(seed, f"a-{name}", uid, i) * 6.283185307179586
-        return v + F.sqrt(F.log(u) * -2.0) * F.cos(angle) * sigma
-
-    return shake

@@ -201,9 +201,24 @@ def flip_rotate(spark, sf_dir):
     return rounded(cells(out, "grid", ["uid", "turns"], 8), "v")
 
 
-@query("noise", f"WITH {GRIDS_SQL}, n AS (SELECT uid, i, v + SQRT(LN(GREATEST(CAST('0x' || SUBSTR(MD5('3:u-grid:' || CAST(uid AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE, 1e-12)) * -2) "
-       "* COS(CAST('0x' || SUBSTR(MD5('3:a-grid:' || CAST(uid AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 6.283185307179586::DOUBLE) * 0.5::DOUBLE AS v FROM cells) "
-       "SELECT uid, CAST(i AS INTEGER) AS i, ROUND(v, 6) AS v FROM n")
+def _mix_sql(x: str) -> str:
+    """The kernel's scramble of 32-bit integers on a column of a subquery, step by step."""
+    steps = [(16, 0x21F0AAAD), (15, 0x735A2D97)]
+    for shift, factor in steps:
+        x = f"SELECT uid, i, part, v, high, ((xor(z, z >> {shift}))::HUGEINT * {factor} & 4294967295)::BIGINT AS z FROM ({x})"
+    return f"SELECT uid, i, part, v, high, xor(z, z >> 15) AS z FROM ({x})"
+
+
+_DRAWN = """SELECT uid, i, part, v, ('0x' || SUBSTR(d, 1, 8))::BIGINT AS high, xor(2 * i + part, ('0x' || SUBSTR(d, 9, 8))::BIGINT) AS z
+    FROM (SELECT uid, i::BIGINT AS i, v, MD5('3:noise-grid:' || uid) AS d FROM cells), (SELECT UNNEST([0, 1])::BIGINT AS part)"""
+_DRAWN = _mix_sql(f"SELECT uid, i, part, v, high, xor(z, high) AS z FROM ({_mix_sql(_DRAWN)})")
+
+
+@query(
+    "noise",
+    f"""WITH {GRIDS_SQL}, u AS (SELECT uid, i, v, MAX(z) FILTER (WHERE part = 0) AS a, MAX(z) FILTER (WHERE part = 1) AS b FROM ({_DRAWN}) GROUP BY uid, i, v)
+    SELECT uid, CAST(i AS INTEGER) AS i, ROUND(v + SQRT(LN((a + 0.5::DOUBLE) / 4294967296.0::DOUBLE) * -2) * COS(b / 4294967296.0::DOUBLE * 6.283185307179586::DOUBLE) * 0.5::DOUBLE, 6) AS v FROM u""",
+)
 def noise(spark, sf_dir):
     profile = augment.Augmentation(noise_enabled=True, noise_sigma=0.5)
     out = augment.augment(grids(spark, sf_dir), profile, 3, {}, noisy=("grid",))

@@ -468,9 +468,9 @@ def verify_stream(spark, sf_dir):
         F.col("l_suppkey").alias("site_id"), (F.col("l_linenumber") % 3).cast("int").alias("sensor_id"),
         (F.col("l_quantity") * F.col("l_discount") * SCALE).alias("target"), (F.col("l_quantity") * F.col("l_tax") * SCALE).alias("pred"),
     )
-    path = scratch_path(spark, "cells")
-    live.start_cells(pairs, path, scratch_path(spark, "checkpoint"), heavy=HEAVY).awaitTermination()
-    return rounded(live.current_report(spark.read.parquet(path)), *verify.SCORES)
+    state = scratch_path(spark, "checkpoint")
+    live.start_cells(pairs, state, heavy=HEAVY).awaitTermination()
+    return rounded(live.current_report(spark, state), *verify.SCORES)
 
 
 @query(

@@ -42,8 +42,9 @@ def open_input(path: str):
     return system.open_input_file(inner)
 
 
-# What a file's content can do wrong. Other errors are the machine's: the task fails and Spark repeats it.
-DATA_FAULTS = (FileNotFoundError, ValueError, KeyError, IndexError, EOFError, struct.error, zlib.error)
+# What a file's content can do wrong. Other errors are the machine's or the decoder's own: the task fails. A decoder says
+# by a ValueError, such as ``tiff.RasterError``, that it refuses a file.
+DATA_FAULTS = (FileNotFoundError, ValueError, EOFError, struct.error, zlib.error)
 
 
 def read_bytes(path: str) -> bytes:

@@ -1,4 +1,5 @@
-"""Raster readers and writers. A file that cannot be read becomes a row with ``error``, never a failed task."""
+"""Raster readers and writers. A file whose content cannot be read becomes a row with ``error``; a broken machine or
+decoder fails the task."""
 from __future__ import annotations
 
 from typing import Callable
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridcast import dims
 from gridcast.functions.columns import path_filename, path_subdir
 from gridcast.sources import tiff
-from gridcast.sources.files import read_bytes, write_atomic
+from gridcast.sources.files import DATA_FAULTS, open_input, read_bytes, write_atomic
 from gridcast.scratch import materialise
 
 Decoder = Callable[[bytes], tuple[np.ndarray, tiff.Header]]
@@ -74,7 +75,7 @@ def decode_frames(
                     block, head = decoder(content.as_buffer().to_pybytes())
                     block = tiff.check_frame(block, head, n_bands, expected[sensor], check_dtype)
                     row = (head.height, head.width, head.count, block.astype(np.uint8, copy=False).tobytes())
-                except Exception as e:
+                except DATA_FAULTS as e:
                     error = f"{type(e).__name__}: {e}"
                 for k, v in zip(out, (*row, error)):
                     out[k].append(v)
@@ -100,7 +101,7 @@ def decode_targets(files: DataFrame, size: tuple[int, int] = dims.TARGET_SIZE, d
                     block, head = decoder(content.as_buffer().to_pybytes())
                     rates.append(tiff.check_target(block, head, size).reshape(-1))
                     errors.append(None)
-                except Exception as e:
+                except DATA_FAULTS as e:
                     rates.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays(
@@ -119,29 +120,29 @@ def read_targets(spark: SparkSession, path, size=dims.TARGET_SIZE, decoder: Deco
     return decode_targets(binary_files(spark, path), size, decoder)
 
 
-def read_headers(files: DataFrame, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Metadata only. With ``sizes`` a wrong size or an unknown sensor is reported in ``error``."""
+def read_headers(named: DataFrame, sizes: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """Metadata of (path, filename, sensor). A task seeks to the directory of each file and to its values, some KB in
+    all; pixels stay where they are. With ``sizes`` a wrong size or an unknown sensor is reported in ``error``."""
+
+    def header(path: str, sensor: str) -> dict:
+        try:
+            with open_input(path) as stream:
+                head = tiff.read_stream_header(tiff.Ranges(stream))
+        except DATA_FAULTS as e:
+            return {"error": f"{type(e).__name__}: {e}"}
+        error = None
+        if sizes is not None and sensor not in sizes:
+            error = f"unknown sensor {sensor!r}"
+        elif sizes is not None and sizes[sensor] != (head.height, head.width):
+            error = f"expected size {sizes[sensor]}, got {(head.height, head.width)}"
+        return {
+            "height": head.height, "width": head.width, "n_bands": head.count, "dtype": head.dtype, "crs": head.crs,
+            "transform": list(head.transform), "error": error,
+        }
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, name, sensor, content in zip(*(batch[c] for c in ("path", "filename", "sensor", "content"))):
-                row = {"path": path.as_py(), "filename": name.as_py(), "sensor": sensor.as_py(), "error": None}
-                try:
-                    head = tiff.read_header(content.as_buffer().to_pybytes())
-                    row |= {
-                        "height": head.height, "width": head.width, "n_bands": head.count, "dtype": head.dtype,
-                        "crs": head.crs, "transform": list(head.transform),
-                    }
-                    if sizes is not None:
-                        want = sizes.get(row["sensor"])
-                        if want is None:
-                            row["error"] = f"unknown sensor {row['sensor']!r}"
-                        elif want != (head.height, head.width):
-                            row["error"] = f"expected size {want}, got {(head.height, head.width)}"
-                except Exception as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
+            rows = [{"path": p, "filename": n, "sensor": s, **header(p, s)} for p, n, s in zip(*(batch[c].to_pylist() for c in ("path", "filename", "sensor")))]
             yield pa.RecordBatch.from_pylist(
                 rows,
                 schema=pa.schema(
@@ -151,7 +152,7 @@ def read_headers(files: DataFrame, sizes: dict[str, tuple[int, int]] | None = No
                 ),
             )
 
-    return files.select("path", "filename", "sensor", "content").mapInArrow(run, HEADER_SCHEMA)
+    return named.select("path", "filename", "sensor").mapInArrow(run, HEADER_SCHEMA)
 
 
 # ---- writing --------------------------------------------------------------------------------------

@@ -18,6 +18,9 @@ TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 25
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS, TAG_STRIP_COUNTS, TAG_PLANAR = 273, 277, 278, 279, 284
 TAG_SAMPLE_FORMAT, TAG_PIXEL_SCALE, TAG_TIE_POINT, TAG_MATRIX, TAG_GEO_KEYS = 339, 33550, 33922, 34264, 34735
 GEO_KEY_GEOGRAPHIC, GEO_KEY_PROJECTED = 2048, 3072
+HEADER_TAGS = frozenset([
+    TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_SAMPLES, TAG_SAMPLE_FORMAT, TAG_PIXEL_SCALE, TAG_TIE_POINT, TAG_MATRIX, TAG_GEO_KEYS,
+])
 
 
 class RasterError(ValueError):
@@ -34,34 +37,58 @@ class Header:
     transform: tuple[float, ...]
 
 
-def _fields(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
+def of_bytes(data: bytes):
+    """``read(at, n)`` over bytes in memory."""
+
+    def read(at: int, n: int) -> bytes:
+        return data[at : at + n]
+
+    return read
+
+
+class Ranges:
+    """``read(at, n)`` over a seekable stream, fetched and kept by pages. ``fetched`` counts the bytes."""
+
+    def __init__(self, stream, page: int = 4096):
+        self.stream, self.page, self.pages, self.fetched = stream, page, {}, 0
+        self.size = stream.seek(0, 2)
+
+    def __call__(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        span = range(at // self.page, (at + n - 1) // self.page + 1)
+        for k in span:
+            if k not in self.pages:
+                self.stream.seek(k * self.page)
+                self.pages[k] = self.stream.read(min(self.page, self.size - k * self.page))
+                self.fetched += len(self.pages[k])
+        start = at - span[0] * self.page
+        return b"".join(self.pages[k] for k in span)[start : start + n]
+
+
+def _fields(read, only: frozenset | None = None) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the fields of the first directory. With ``only``, other fields' values are not fetched."""
+    start = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(start[:2])
+    if order is None or len(start) < 8 or struct.unpack(order + "H", start[2:4])[0] != 42:
         raise RasterError("not a TIFF file")
-    (at,) = struct.unpack(order + "I", data[4:8])
-    (n,) = struct.unpack_from(order + "H", data, at)
+    (at,) = struct.unpack(order + "I", start[4:8])
+    (n,) = struct.unpack(order + "H", read(at, 2))
+    table = read(at + 2, 12 * n)
     out = {}
     for i in range(n):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in FIELD_TYPES:
+        tag, kind, count, cell = struct.unpack_from(order + "HHI4s", table, 12 * i)
+        if kind not in FIELD_TYPES or (only is not None and tag not in only):
             continue
         code, width = FIELD_TYPES[kind]
-        where = at + 10 + 12 * i
         if count * width > 4:
-            (where,) = struct.unpack_from(order + "I", data, where)
-        out[tag] = struct.unpack_from(f"{order}{code * count if kind == 5 else str(count) + code}", data, where)
+            cell = read(struct.unpack(order + "I", cell)[0], count * width)
+        out[tag] = struct.unpack_from(f"{order}{code * count if kind == 5 else str(count) + code}", cell)
     return order, out
 
 
-def _parse(data: bytes) -> tuple[str, dict[int, tuple], Header]:
-    try:
-        order, tags = _fields(data)
-        count = int(tags.get(TAG_SAMPLES, (1,))[0])
-        bits = int(tags.get(TAG_BITS, (1,))[0])
-        kind = SAMPLE_KINDS.get((int(tags.get(TAG_SAMPLE_FORMAT, (1,))[0]), bits))
-        height, width = int(tags[TAG_HEIGHT][0]), int(tags[TAG_WIDTH][0])
-    except (struct.error, KeyError, IndexError) as e:
-        raise RasterError(f"damaged TIFF header: {e!r}") from e
+def _placed(tags: dict[int, tuple]) -> tuple[tuple, str | None]:
     transform = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
     if TAG_MATRIX in tags:
         m = tags[TAG_MATRIX]
@@ -74,17 +101,35 @@ def _parse(data: bytes) -> tuple[str, dict[int, tuple], Header]:
     for i in range(4, len(keys) - 3, 4):
         if keys[i] in (GEO_KEY_GEOGRAPHIC, GEO_KEY_PROJECTED) and keys[i + 1] == 0:
             crs = f"EPSG:{keys[i + 3]}"
+    return transform, crs
+
+
+def _parse(read, only: frozenset | None = None) -> tuple[str, dict[int, tuple], Header]:
+    try:
+        order, tags = _fields(read, only)
+        count = int(tags.get(TAG_SAMPLES, (1,))[0])
+        bits = int(tags.get(TAG_BITS, (1,))[0])
+        kind = SAMPLE_KINDS.get((int(tags.get(TAG_SAMPLE_FORMAT, (1,))[0]), bits))
+        height, width = int(tags[TAG_HEIGHT][0]), int(tags[TAG_WIDTH][0])
+        transform, crs = _placed(tags)
+    except (struct.error, KeyError, IndexError) as e:
+        raise RasterError(f"damaged TIFF header: {e!r}") from e
     dtype = str(np.dtype(kind)) if kind else "unknown"
     return order, tags, Header(height, width, count, dtype, crs, tuple(float(v) for v in transform))
 
 
 def read_header(data: bytes) -> Header:
-    return _parse(data)[2]
+    return _parse(of_bytes(data), HEADER_TAGS)[2]
+
+
+def read_stream_header(ranges: Ranges) -> Header:
+    """The header alone: start, directory and the values of its fields, wherever they lie in the file."""
+    return _parse(ranges, HEADER_TAGS)[2]
 
 
 def read_raster(data: bytes) -> tuple[np.ndarray, Header]:
     """Pixels as (bands, height, width)."""
-    order, tags, head = _parse(data)
+    order, tags, head = _parse(of_bytes(data))
     if head.dtype == "unknown":
         raise RasterError("unsupported sample type")
     if int(tags.get(TAG_COMPRESSION, (1,))[0]) != 1:

@@ -68,5 +68,21 @@ def test_noise_is_standard_normal(spark):
     noisy = augment.Augmentation(noise_enabled=True, noise_sigma=2.0)
     values = np.array([r["x"] for r in augment.augment(df, noisy, 5, {}, noisy=("x",)).collect()]).ravel()
     assert abs(values.mean()) < 0.1 and abs(values.std() - 2.0) < 0.1
+    flat = np.sort(values.reshape(-1) / 2.0)
+    assert all(abs((flat < z).mean() - q) < 0.02 for z, q in ((-1.0, 0.1587), (0.0, 0.5), (1.0, 0.8413)))
+    assert len(np.unique(values)) == values.size
+    again = augment.augment(df.repartition(7), noisy, 5, {}, noisy=("x",)).orderBy("uid").collect()
+    assert (np.array([r["x"] for r in again]).ravel() == values).all()
     quiet = augment.augment(df, augment.PROFILES["full"], 5, {}, noisy=("x",)).collect()
     assert all(set(r["x"]) == {0.0} for r in quiet)
+
+
+def test_noise_keeps_nulls_and_any_length(spark):
+    rows = [(1, [1.0, None, 3.0]), (2, None), (3, []), (None, [5.0])]
+    df = spark.createDataFrame(rows, "uid int, x array<double>").coalesce(1)
+    noisy = augment.Augmentation(noise_enabled=True, noise_sigma=1.0)
+    out = [r["x"] for r in augment.augment(df, noisy, 5, {}, noisy=("x",)).collect()]
+    assert out[0][1] is None and out[0][0] != 1.0 and out[1] is None and out[2] == [] and len(out[3]) == 1
+    # a position's noise depends on the row's key and the position alone
+    alone = augment.augment(spark.createDataFrame([(1, [0.0, 0.0, 3.0])], "uid int, x array<double>"), noisy, 5, {}, noisy=("x",)).first()["x"]
+    assert alone[2] == out[0][2]
