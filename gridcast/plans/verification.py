@@ -271,6 +271,42 @@ def loss_ssim(spark, sf_dir):
     return rounded(losses.grid_losses(neighbours(spark, sf_dir), GRID).select("uid", "ssim"), "ssim")
 
 
+STRUCTURAL = losses.LossWeights(mse_weight=1.0, mae_weight=0.2, rain_weighted=False, bce_weight=0.0, gradient_weight=0.3, ssim_weight=0.4)
+STRUCTURAL_NAMES = ("mse", "mae", "gradient", "ssim")
+
+
+@query(
+    "loss_structural",
+    f"""WITH {RING_SQL},
+    k AS (SELECT dy, dx FROM (SELECT UNNEST([-1, 0, 1]) AS dy), (SELECT UNNEST([-1, 0, 1]) AS dx)),
+    e AS (SELECT c.uid, c.y, c.x, SUM(k.dx * (2 - ABS(k.dy)) * COALESCE(n.p, 0)) AS xp, SUM(k.dy * (2 - ABS(k.dx)) * COALESCE(n.p, 0)) AS yp,
+                 SUM(k.dx * (2 - ABS(k.dy)) * COALESCE(n.t, 0)) AS xt, SUM(k.dy * (2 - ABS(k.dx)) * COALESCE(n.t, 0)) AS yt
+          FROM pc c CROSS JOIN k LEFT JOIN pc n ON n.uid = c.uid AND n.y = c.y + k.dy AND n.x = c.x + k.dx GROUP BY ALL),
+    b AS (SELECT c.uid, c.y, c.x, SUM(n.p) / 49 AS mp, SUM(n.t) / 49 AS mt, SUM(n.p * n.p) / 49 AS pp, SUM(n.t * n.t) / 49 AS tt, SUM(n.p * n.t) / 49 AS pt
+          FROM pc c JOIN pc n ON n.uid = c.uid AND ABS(n.y - c.y) <= 3 AND ABS(n.x - c.x) <= 3 GROUP BY ALL),
+    q AS (SELECT uid, (2 * mp * mt + 1e-4) * (2 * (pt - mp * mt) + 9e-4)
+                 / GREATEST((mp * mp + mt * mt + 1e-4) * (pp - mp * mp + tt - mt * mt + 9e-4), 1e-8) AS q FROM b),
+    whole AS (
+      SELECT uid, sensor_id, CASE WHEN uid % 4 = 0 THEN 0 ELSE 1 END AS has_data, mse, mae, gradient, ssim
+      FROM (SELECT uid, ANY_VALUE(sensor_id) AS sensor_id, AVG((p - t) * (p - t)) AS mse, AVG(ABS(p - t)) AS mae FROM pc GROUP BY uid)
+      JOIN (SELECT uid, AVG(ABS(xp - xt) + ABS(yp - yt)) AS gradient FROM e GROUP BY uid) USING (uid)
+      JOIN (SELECT uid, AVG(1 - GREATEST(LEAST(q, 1), -1)) AS ssim FROM q GROUP BY uid) USING (uid)),
+    r AS (SELECT sensor_id, {_mask(STRUCTURAL_NAMES)} FROM whole GROUP BY sensor_id),
+    s AS (SELECT *, mse + 0.2::DOUBLE * mae + 0.3::DOUBLE * gradient + 0.4::DOUBLE * ssim AS total FROM r)
+    SELECT sensor_id, {rounds(*STRUCTURAL_NAMES, 'total')} FROM s""",
+)
+def loss_structural(spark, sf_dir):
+    """The composite with its gradient and SSIM terms, per sensor."""
+    rows = neighbours(spark, sf_dir)
+    pixels = unpack(rows.select("uid", "sensor_id", "pred", "target"), ["uid", "sensor_id"], F.arrays_zip("pred", "target"), "i", "_p")
+    pixels = pixels.select(
+        "uid", "sensor_id", F.col("_p")["pred"].cast("double").alias("mean"), F.col("_p")["target"].cast("double").alias("y"),
+        F.when(F.col("uid") % 4 == 0, 0.0).otherwise(1.0).alias("has_data"),
+    )
+    out = losses.composite(pixels, STRUCTURAL, by=("sensor_id",), grids=rows.select("uid", "pred", "target"), shape=GRID)
+    return rounded(out, *STRUCTURAL_NAMES, "total")
+
+
 # ---- ensemble -------------------------------------------------------------------------------------
 RUNS = {"a": 1.0, "b": 2.0}  # run c is not listed and counts 1
 RUNS_SQL = f"""{PAIRS_SQL}, runs AS (

@@ -6,6 +6,7 @@ import shutil
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
@@ -53,16 +54,22 @@ def read_bytes(path: str) -> bytes:
 
 
 class MemberReader:
-    """Reads archive members by the offset of their local header, keeping the last archive open."""
+    """Reads archive members by the offset of their local header, keeping the archives used last open."""
 
-    def __init__(self):
-        self._path, self._stream = None, None
+    def __init__(self, most: int = 16):
+        self._open, self._most, self.opened = OrderedDict(), most, 0
+
+    def _stream(self, path: str):
+        if path not in self._open:
+            while len(self._open) >= self._most:
+                self._open.popitem(last=False)[1].close()
+            self._open[path] = open_input(path)
+            self.opened += 1
+        self._open.move_to_end(path)
+        return self._open[path]
 
     def read(self, path: str, offset: int, size: int, method: int, crc: int) -> bytes:
-        if path != self._path:
-            self.close()
-            self._stream, self._path = open_input(path), path
-        stream = self._stream
+        stream = self._stream(path)
         stream.seek(offset)
         head = stream.read(30)
         if head[:4] != b"PK\x03\x04":
@@ -79,9 +86,8 @@ class MemberReader:
         return data
 
     def close(self) -> None:
-        if self._stream is not None:
-            self._stream.close()
-        self._path, self._stream = None, None
+        while self._open:
+            self._open.popitem()[1].close()
 
 
 def write_atomic(path: str, data: bytes) -> None:

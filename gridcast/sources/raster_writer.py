@@ -5,6 +5,7 @@ so nothing of a job that fails is ever seen, and what was there before stays.
 """
 from __future__ import annotations
 
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -59,7 +60,16 @@ class FilesWriter(DataSourceArrowWriter):
         remove_tree(self.staging)
 
     def abort(self, messages: list[Written | None]) -> None:
-        remove_tree(self.staging)
+        """Tasks of the failed job may still run for a moment and write again, so the folder is removed until it has
+        been gone for a second, within half a minute."""
+        gone = 0
+        for _ in range(150):
+            left = list_files(self.staging)
+            remove_tree(self.staging)
+            gone = 0 if left else gone + 1
+            if gone == 5:
+                return
+            time.sleep(0.2)
 
 
 class RasterFiles(DataSource):

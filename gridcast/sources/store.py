@@ -5,6 +5,9 @@ only names and offsets are ever shuffled, never pixels.
 """
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,19 +15,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridcast import dims
 from gridcast.functions.rows import unpack
 from gridcast.functions.columns import frame_path, target_path
-from gridcast.operators.manifest import duplicate_ids, sensor_counts
+from gridcast.operators.manifest import sensor_counts
 from gridcast.operators.samples import spread_key
 from gridcast.sources import tiff
+from gridcast.scratch import materialise
 from gridcast.sources.files import DATA_FAULTS, MemberReader, read_bytes
 
-FRAME_TYPE = "struct<t:int,valid:boolean,outcome:string,pixels:binary>"
+FRAME_TYPE = "struct<t:int,valid:boolean,outcome:string,size:int,pixels:binary>"
 STORE_SCHEMA = (
     "uid string, site string, sensor string, ts timestamp_ntz, target_file string, band_mode string, "
-    f"frames array<{FRAME_TYPE}>, target array<float>, target_missing boolean"
+    f"frames array<{FRAME_TYPE}>, target array<float>, target_missing boolean, "
+    "n_target int, with_target boolean, spec string"
 )
 MEMBER_FIELDS = {"offset": "bigint", "size": "bigint", "method": "int", "crc": "bigint"}
 PLACE_TYPE = "struct<path:string," + ",".join(f"{n}:{k}" for n, k in MEMBER_FIELDS.items()) + ">"
 SAMPLES_PER_TASK = 256
+BYTES_PER_TASK = 128 << 20
 ROWS_PER_OUTPUT = 16
 
 
@@ -63,6 +69,11 @@ def locate_in_archives(manifest: DataFrame, frame_index: DataFrame, target_index
     return out.withColumn("load_target", F.lit(load_targets))
 
 
+def spec_of(band_mode: str, sizes: dict[str, tuple[int, int]], target_size: tuple[int, int]) -> str:
+    """What a store was built for, kept in each of its rows."""
+    return json.dumps({"bands": band_mode, "frames": {s: list(sizes[s]) for s in sorted(sizes)}, "target": list(target_size)})
+
+
 def _fetch(reader: MemberReader, place: dict) -> bytes:
     if place["offset"] is None:
         return read_bytes(place["path"])
@@ -75,7 +86,12 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
     plan = {s: (list(dims.band_indices(s, band_mode)), sizes[s]) for s in dims.SENSORS}
     n_target = target_size[0] * target_size[1]
     kept = ["uid", "site", "sensor", "ts", "target_file"]
-    frame_kind = pa.list_(pa.struct([("t", pa.int32()), ("valid", pa.bool_()), ("outcome", pa.string()), ("pixels", pa.binary())]))
+    frame_kind = pa.list_(pa.struct([("t", pa.int32()), ("valid", pa.bool_()), ("outcome", pa.string()), ("size", pa.int32()), ("pixels", pa.binary())]))
+
+    spec = spec_of(band_mode, sizes, target_size)
+
+    def stored(t, valid, outcome, pixels):
+        return {"t": t, "valid": valid, "outcome": outcome, "size": len(pixels), "pixels": pixels}
 
     def frame(reader, t, slot, sensor):
         bands, size = plan[sensor]
@@ -86,10 +102,10 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
                 try:
                     block, head = decoder(_fetch(reader, slot["place"]))
                     block = tiff.check_frame(block, head, dims.BANDS_TOTAL, size)
-                    return {"t": t, "valid": True, "outcome": "ok", "pixels": block[bands].tobytes()}
+                    return stored(t, True, "ok", block[bands].tobytes())
                 except DATA_FAULTS:
                     pass
-        return {"t": t, "valid": False, "outcome": outcome, "pixels": bytes(len(bands) * size[0] * size[1])}
+        return stored(t, False, outcome, bytes(len(bands) * size[0] * size[1]))
 
     def target(reader, place, named):
         if place is not None:
@@ -114,9 +130,11 @@ def load_samples(located: DataFrame, band_mode: str, decoder=tiff.read_raster, s
                     lost.append(missing)
                 yield pa.RecordBatch.from_arrays(
                     [batch[c] for c in kept]
-                    + [pa.array([band_mode] * batch.num_rows), pa.array(frames, frame_kind), pa.array(rates, pa.list_(pa.float32())), pa.array(lost)],
-                    names=[*kept, "band_mode", "frames", "target", "target_missing"],
+                    + [pa.array([band_mode] * batch.num_rows), pa.array(frames, frame_kind), pa.array(rates, pa.list_(pa.float32())), pa.array(lost)]
+                    + [pa.array([len(r) for r in rates], pa.int32()), batch["load_target"], pa.array([spec] * batch.num_rows)],
+                    names=[*kept, "band_mode", "frames", "target", "target_missing", "n_target", "with_target", "spec"],
                 )
+        reader.close()
 
     return located.mapInArrow(run, STORE_SCHEMA)
 
@@ -127,38 +145,43 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def write_store(located: DataFrame, path: str, band_mode: str, **reading) -> bool:
+def write_store(located: DataFrame, path: str, band_mode: str, load_targets: bool | None = None, **reading) -> bool:
     """Build the store unless a finished one is there; an unfinished one is replaced. Returns whether it built.
-    A finished store of other bands is an error, and so is a sample that is listed twice.
+    A finished store of other bands or grid sizes is an error, so is one with or without targets where
+    ``load_targets`` says otherwise, and a sample that is listed twice.
 
-    Tasks are cut by (sensor, uid) ranges of equal sample counts: the manifest is tiny beside its pixels, so
-    its byte size says nothing about the work, and a file's uid range stays narrow for pruning on read.
+    Located names are written once. Tasks are cut by (sensor, uid) ranges of equal sample counts, more of them where an
+    index tells that members are large: the manifest is tiny beside its pixels, so its byte size says nothing about
+    the work, and a file's uid range stays narrow for pruning on read.
     """
     spark = located.sparkSession
     if is_complete(spark, path):
-        kept = {r.band_mode for r in read_store(spark, path).select("band_mode").distinct().collect()}
-        if kept - {band_mode}:
-            raise ValueError(f"the finished store at {path} has bands {sorted(kept)}, not {band_mode}")
+        want = spec_of(band_mode, reading.get("sizes") or dims.NATIVE_SIZE, reading.get("target_size", dims.TARGET_SIZE))
+        other = [r for r in read_store(spark, path).select("spec", "with_target").distinct().collect() if r.spec != want or load_targets not in (None, r.with_target)]
+        if other:
+            raise ValueError(f"the finished store at {path} was built for {other[0].spec}, targets {other[0].with_target}, not for {want}, targets {load_targets}")
         return False
-    repeated = duplicate_ids(located).limit(5).collect()
-    if repeated:
-        raise ValueError(f"samples are listed more than once: {[r.uid for r in repeated]}")
-    n = located.select("uid").count()
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // SAMPLES_PER_TASK))
-    tagged = located.withColumn("_pid", F.spark_partition_id())  # copies of one sample need not share a task
-    spread = tagged.repartitionByRange(tasks, "sensor", "uid", "_pid").drop("_pid").sortWithinPartitions("sensor", "uid")
+    located = materialise(located, "located")
+    size = lambda place: F.coalesce(place["size"], F.lit(0).cast("bigint"))
+    per_row = F.aggregate("places", F.lit(0).cast("bigint"), lambda a, s: a + size(s["place"])) + size(F.col("target_place"))
+    per_uid = located.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.sum(per_row).alias("bytes"))
+    n, total, repeated = per_uid.agg(F.sum("n"), F.sum("bytes"), F.min(F.when(F.col("n") > 1, F.struct("uid")))).first()
+    if repeated is not None:
+        raise ValueError(f"samples are listed more than once, such as {repeated.uid!r}")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(n or 0) // SAMPLES_PER_TASK), -(-(total or 0) // BYTES_PER_TASK))
+    spread = located.repartitionByRange(tasks, "sensor", "uid").sortWithinPartitions("sensor", "uid")
     load_samples(spread, band_mode, **reading).write.mode("overwrite").partitionBy("sensor").parquet(path)
     return True
 
 
 def build_from_folders(manifest: DataFrame, root: str, path: str, band_mode: str = "ir_only", load_targets: bool = True, limit: int | None = None, **reading) -> bool:
     rows = manifest.orderBy("row_idx").limit(limit) if limit is not None else manifest
-    return write_store(locate_in_folders(rows, root, load_targets), path, band_mode, **reading)
+    return write_store(locate_in_folders(rows, root, load_targets), path, band_mode, load_targets, **reading)
 
 
 def build_from_archives(manifest: DataFrame, frame_index: DataFrame, path: str, band_mode: str = "ir_only", target_index: DataFrame | None = None, load_targets: bool = True, limit: int | None = None, **reading) -> bool:
     rows = manifest.orderBy("row_idx").limit(limit) if limit is not None else manifest
-    return write_store(locate_in_archives(rows, frame_index, target_index, load_targets), path, band_mode, **reading)
+    return write_store(locate_in_archives(rows, frame_index, target_index, load_targets), path, band_mode, load_targets, **reading)
 
 
 def read_store(spark: SparkSession, path: str, sensor: str | None = None, uids: DataFrame | None = None) -> DataFrame:
@@ -180,20 +203,39 @@ def store_counters(store: DataFrame) -> DataFrame:
 
 
 def audit_store(store: DataFrame, manifest: DataFrame, band_mode: str, sizes=None, target_size=dims.TARGET_SIZE) -> DataFrame:
-    """Per sensor: stored and expected counts, pixel length range and whether everything fits."""
+    """Per sensor: stored and expected counts, pixel length range and whether everything fits. Lengths are those that
+    were stored beside the pixels; pixels are read of the first and the last sample of each sensor only, and must be
+    as long as their row says."""
     sizes = sizes or dims.NATIVE_SIZE
     length = {s: len(dims.band_indices(s, band_mode)) * sizes[s][0] * sizes[s][1] for s in dims.SENSORS}
-    lengths = F.transform("frames.pixels", lambda p: F.octet_length(p))
-    seen = store.select("sensor", F.array_min(lengths).alias("lo"), F.array_max(lengths).alias("hi"), F.size("target").alias("n_target"))
-    found = seen.groupBy("sensor").agg(
-        F.count(F.lit(1)).alias("stored"), F.min("lo").alias("min_length"), F.max("hi").alias("max_length"),
-        F.min("n_target").alias("_t0"), F.max("n_target").alias("_t1"),
-    )
+    found = store_sizes(store)
     want = target_size[0] * target_size[1]
     expected = dims.sensor_case(F.col("sensor"), length)
     empty = (F.col("n") == 0) & F.col("stored").isNull()
     fits = (F.col("stored") == F.col("n")) & (F.col("min_length") == expected) & (F.col("max_length") == expected) & (F.col("_t0") == want) & (F.col("_t1") == want)
+    fits = fits & ~F.coalesce("sensor", F.lit("")).isin(broken_ends(store))
     return sensor_counts(manifest).join(found, "sensor", "left").select(
         "sensor", F.col("n").alias("expected"), F.coalesce("stored", F.lit(0)).alias("stored"), "min_length", "max_length",
         F.coalesce(fits | empty, F.lit(False)).alias("complete"),
     )
+
+
+def store_sizes(store: DataFrame) -> DataFrame:
+    """Per sensor: samples, shortest and longest frame and target by the stored lengths. Reads no pixel."""
+    seen = store.select("sensor", F.array_min("frames.size").alias("lo"), F.array_max("frames.size").alias("hi"), "n_target")
+    return seen.groupBy("sensor").agg(
+        F.count(F.lit(1)).alias("stored"), F.min("lo").alias("min_length"), F.max("hi").alias("max_length"),
+        F.min("n_target").alias("_t0"), F.max("n_target").alias("_t1"),
+    )
+
+
+def broken_ends(store: DataFrame) -> list[str]:
+    """Sensors whose first or last sample has pixels or a target of another length than its row says. The driver holds
+    two names per sensor; they are pushed into the scan, and files are sorted by them."""
+    ends = store.groupBy("sensor").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).collect()
+    places = [(F.col("sensor") == r.sensor) & F.col("uid").isin(r.lo, r.hi) for r in ends if r.lo is not None]
+    if not places:
+        return []
+    rows = store.where(reduce(lambda a, b: a | b, places))
+    right = F.forall("frames", lambda f: F.octet_length(f["pixels"]) == f["size"]) & (F.size("target") == F.col("n_target"))
+    return [r.sensor for r in rows.where(~F.coalesce(right, F.lit(False))).select("sensor").distinct().collect()]

@@ -205,6 +205,44 @@ def test_store_contents(spark, workspace, built, manifest):
     assert {r["sensor"]: r["complete"] for r in short} == {"himawari": False, "goes": True, "meteosat": True}
 
 
+def test_audit_reads_no_pixels_and_finds_faults(spark, built, manifest, tmp_path):
+    rows = store.read_store(spark, built)
+    plan = store.store_sizes(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<frames:array<struct<size:int>>,n_target:int>" in plan
+    complete = lambda df: {r["sensor"]: r["complete"] for r in store.audit_store(df, manifest, "ir_only").collect()}
+    first = rows.where("sensor = 'goes'").agg(F.min("uid")).first()[0]
+    cut = F.transform("frames", lambda f: f.withField("pixels", F.substring(f["pixels"], 1, 100)))
+    rows.withColumn("frames", F.when(F.col("uid") == first, cut).otherwise(F.col("frames"))).write.parquet(str(tmp_path / "cut"))
+    assert complete(spark.read.parquet(str(tmp_path / "cut"))) == {"himawari": True, "goes": False, "meteosat": True}
+    swapped = rows.withColumn("sensor", F.when(F.col("uid") == first, F.lit("himawari")).otherwise(F.col("sensor")))
+    assert complete(swapped) == {"himawari": False, "goes": False, "meteosat": True}
+
+
+def test_a_finished_store_of_another_kind_is_refused(spark, workspace, manifest, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.build_from_folders(manifest, workspace["root"], path, limit=3)
+    for other in ({"band_mode": "all"}, {"load_targets": False}, {"target_size": (8, 8)}, {"sizes": {**dims.NATIVE_SIZE, "goes": (4, 4)}}):
+        with pytest.raises(ValueError, match="was built for"):
+            store.build_from_folders(manifest, workspace["root"], path, **other)
+    with pytest.raises(ValueError, match="more than once"):
+        store.build_from_folders(manifest.union(manifest), workspace["root"], str(tmp_path / "twice"))
+
+
+def test_archives_stay_open(tmp_path):
+    places = {}
+    for name in "abc":
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("x/1", name * 9)
+            m = z.infolist()[0]
+            places[str(tmp_path / name)] = (m.header_offset, m.compress_size, m.compress_type, m.CRC)
+    for most, opened in ((16, 3), (2, 12)):
+        reader = files.MemberReader(most)
+        for _ in range(4):
+            assert [reader.read(path, *place) for path, place in places.items()] == [n.encode() * 9 for n in "abc"]
+        assert reader.opened == opened
+        reader.close()
+
+
 def test_store_is_built_once_and_repairs_partial_output(spark, workspace, manifest, tmp_path):
     path = tmp_path / "store"
     (path / "sensor=goes").mkdir(parents=True)
