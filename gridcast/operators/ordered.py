@@ -134,29 +134,27 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     """
     if not 0.0 < decay < 1.0:
         raise ValueError(f"decay must be in (0, 1), got {decay}")
-    chunk = max(1, min(4096, int(-200 / np.log10(decay))))  # keeps decay**-k finite
 
     def fold(batches):
-        last_key, state, step = None, 0.0, 0
+        last, state, step = None, 0.0, 0
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
-            x = pdf[value].to_numpy(dtype=float) * (1.0 - decay)
-            local, steps = np.empty(n), np.empty(n, dtype=np.int64)
-            ids = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(n, int)
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            for lo, hi in zip(starts, np.r_[starts[1:], n]):
-                key = tuple(None if pd.isna(v) else v for v in pdf[keys].iloc[lo]) if keys else ()
-                if key != last_key:
-                    last_key, state, step = key, 0.0, 0
-                for a in range(lo, hi, chunk):
-                    b = min(a + chunk, hi)
-                    power = decay ** np.arange(1, b - a + 1, dtype=float)
-                    local[a:b] = power * (state + np.cumsum(x[a:b] / power))
-                    state = local[b - 1]
-                steps[lo:hi] = np.arange(step + 1, step + 1 + hi - lo)
-                step += hi - lo
+            group, last, goes_on = _runs(pdf, keys, last)
+            at = np.arange(n)
+            place = at - np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], at, 0))
+            # sums over 1, 2, 4, ... values of a series, all series of the batch at once
+            local, width = pdf[value].to_numpy(dtype=float) * (1.0 - decay), 1
+            while width <= place.max():
+                local[width:] += np.where(place[width:] >= width, decay**width * local[:-width], 0.0)
+                width *= 2
+            steps = place + 1
+            if goes_on:
+                head = group == group[0]
+                local[head] += state * decay ** steps[head].astype(float)
+                steps[head] += step
+            state, step = local[-1], steps[-1]
             yield pdf.assign(_local=local, _step=steps)
 
     blocks = ordered_blocks(df, keys, order, fold=fold, folded="_local double, _step bigint")

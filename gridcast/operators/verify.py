@@ -14,6 +14,7 @@ SCORES = (
     "rmse", "mae", "mse", "bias", "r2", "pearson", "csi", "pod", "far", "ets",
     "rain_f1", "rain_accuracy", "heavy_f1", "heavy_rmse",
 )
+MERGE_PARTS = 256  # parts in which the cells of a scope meet first
 
 
 def _scopes() -> Column:
@@ -98,30 +99,31 @@ def cell_sums(
     return pairs.where(F.col("pred").isNotNull() & F.col("target").isNotNull()).groupBy(*by).agg(*[c.alias(name) for name, c in sums.items()])
 
 
+def _merged(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of one key as one cell: counts and sums add up, moments are taken around the common mean first."""
+    over = Window.partitionBy(*keys)
+    moments = ("mean_p", "mean_t", "m2_p", "m2_t", "m2_pt")
+    total = F.sum("n").over(over)
+    centred = cells.withColumns({f"_{m}": F.sum(F.col(m) * F.col("n")).over(over) / total for m in moments[:2]})
+    dp, dt = F.col("mean_p") - F.col("_mean_p"), F.col("mean_t") - F.col("_mean_t")
+    between = {"m2_p": dp * dp, "m2_t": dt * dt, "m2_pt": dp * dt}
+    plain = [c for c in cells.columns if c not in (*keys, *moments)]
+    return centred.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in plain],
+        *[F.first(f"_{m}").alias(m) for m in moments[:2]],
+        *[F.sum(F.col(c) + F.col("n") * extra).alias(c) for c, extra in between.items()],
+    )
+
+
 def roll_up(cells: DataFrame) -> DataFrame:
     """Merge cells to the scopes all / sensor / site. Input is one row per (sensor, site), so the
-    threefold expansion happens on the summary, never on pixels."""
+    threefold expansion happens on the summary, never on pixels. A scope's cells meet in ``MERGE_PARTS`` parts
+    first, then its parts: however many sites there are, no task holds all of them."""
     sums = [c for c in cells.columns if c not in ("sensor_id", "site_id")]
-    spread = cells.select(*sums, F.explode(_scopes()).alias("_s")).select(*sums, "_s.*")
+    part = F.pmod(F.xxhash64("sensor_id", "site_id"), F.lit(MERGE_PARTS)).cast("int")
+    spread = cells.select(*sums, part.alias("_part"), F.explode(_scopes()).alias("_s")).select(*sums, "_part", "_s.*")
     scope = ["scope", "sensor_id", "site_id"]
-    over = Window.partitionBy(*scope)
-    total = F.sum("n").over(over)
-    centred = spread.withColumns(
-        {
-            "_dp": F.col("mean_p") - F.sum(F.col("mean_p") * F.col("n")).over(over) / total,
-            "_dt": F.col("mean_t") - F.sum(F.col("mean_t") * F.col("n")).over(over) / total,
-        }
-    )
-    between = {
-        "m2_p": F.col("n") * F.col("_dp") * F.col("_dp"),
-        "m2_t": F.col("n") * F.col("_dt") * F.col("_dt"),
-        "m2_pt": F.col("n") * F.col("_dp") * F.col("_dt"),
-    }
-    plain = [c for c in sums if c not in (*between, "mean_p", "mean_t")]
-    return centred.groupBy(*scope).agg(
-        *[F.sum(c).alias(c) for c in plain],
-        *[F.sum(F.col(c) + extra).alias(c) for c, extra in between.items()],
-    )
+    return _merged(_merged(spread, [*scope, "_part"]), scope).drop("mean_p", "mean_t")
 
 
 def _ratio(above: Column, below: Column) -> Column:

@@ -61,6 +61,27 @@ def test_large_offsets_do_not_cancel(spark):
     assert r["r2"] == pytest.approx(1 - ((p - t) ** 2).sum() / ((t - t.mean()) ** 2).sum(), rel=1e-6)
 
 
+def test_cells_meet_in_parts(spark):
+    """5,000 sites far from zero: every scope as from its own pixels, and no exchange by scope alone before the parts."""
+    rng = np.random.default_rng(4)
+    site = np.repeat(np.arange(5000), 4)
+    truth = 1e6 + site + rng.normal(0, 40, len(site))
+    pred = truth + rng.normal(3, 25, len(site))
+    df = spark.createDataFrame([(int(s % 3), int(s), float(p), float(t)) for s, p, t in zip(site, pred, truth)], "sensor_id int, site_id long, pred double, target double")
+    cells = verify.cell_sums(df)
+    out = verify.scores(verify.roll_up(cells))
+    rows = {(r["scope"], r["sensor_id"], r["site_id"]): r for r in out.where("scope <> 'site' OR site_id < 20").collect()}
+    assert len(rows) == 4 + 20
+    for (_, sensor, at), r in rows.items():
+        mine = (site % 3 == sensor if sensor is not None else True) & (site == at if at is not None else site >= 0)
+        p, t = pred[mine], truth[mine]
+        assert r["n"] == mine.sum() and r["bias"] == pytest.approx((p - t).mean(), rel=1e-9)
+        assert r["pearson"] == pytest.approx(np.corrcoef(p, t)[0, 1], rel=1e-6)
+        assert r["r2"] == pytest.approx(1 - ((p - t) ** 2).sum() / ((t - t.mean()) ** 2).sum(), rel=1e-6)
+    whole = verify.roll_up(cells).where("scope = 'all'")
+    assert "_part" in whole._jdf.queryExecution().optimizedPlan().toString() and whole.count() == 1
+
+
 def test_shape_mismatch(spark):
     a = spark.createDataFrame([(1, [1.0, 2.0])], "uid int, pred array<double>")
     b = spark.createDataFrame([(1, 0, 0, [1.0])], "uid int, sensor_id int, site_id int, target array<double>")
