@@ -48,6 +48,15 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def in_order(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` (doc_id, text) in ``n`` ranges of ascending doc_id, rows with one doc_id by the hash of their text, and
+    the number of the range (``pid``). Copies of one row are interchangeable and go by input partition, so neither a
+    null doc_id nor a repeated row fills a task."""
+    tagged = docs.withColumns({"_text": F.xxhash64("text"), "_from": F.spark_partition_id()})
+    ranged = tagged.repartitionByRange(n, "doc_id", "_text", "_from").sortWithinPartitions("doc_id", "_text")
+    return ranged.drop("_text", "_from").withColumn("pid", F.spark_partition_id())
+
+
 def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``used`` under neutral names, so that an operator's own columns cannot meet them,
     and a function that selects the columns of ``docs`` from a result."""

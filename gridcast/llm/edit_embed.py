@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridcast.llm.common import U64, documents_of, fan_out, mix, pieces, stored
+from gridcast.llm.common import U64, documents_of, fan_out, in_order, mix, pieces, stored
 from gridcast.llm.components import components
 from gridcast.llm.packed import gathered
 
@@ -149,12 +149,12 @@ def with_edits(docs: DataFrame) -> DataFrame:
     to that and to the next row's. Rows are in ascending order of doc_id (null first; rows with one doc_id by the
     hash of their text); the first row follows the last. A null text counts as empty.
 
-    Rows are range-partitioned by doc_id and sorted. A partition's last row waits for the first row of the next
+    Rows are range-partitioned in this order and sorted; many rows with one doc_id, or none, are spread as well. An
+    empty table gives no row. A partition's last row waits for the first row of the next
     partition; only these rows, one or two for each partition, meet in a join.
     """
     base = documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    n = fan_out(base)
-    placed = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("pid", F.spark_partition_id())
+    placed = in_order(base, fan_out(base))
     names = [x for x, _ in RESULT]
     kinds = pa.schema([("kind", pa.string()), ("pid", pa.int32()), *RESULT, ("text", pa.string())])
 

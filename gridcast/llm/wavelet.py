@@ -2,17 +2,22 @@
 
 A shard file holds the ids of consecutive documents. Ids are replaced by their rank among the shard's distinct ids;
 the ranks are stored digit by digit: plane k has, for each position, the k-th binary digit, and before the next plane
-the zeros are moved stably in front of the ones. Counts of ones at block borders give rank and select, by which a
-token, the number of its occurrences and their places are found without decoding the rest. Planes are compressed.
+the zeros are moved stably in front of the ones. Counts of ones give rank and select, by which a token, the number of
+its occurrences and their places are found without decoding the rest.
+
+Planes are compressed in blocks of 65,536 digits. A directory holds each block's place in the file and the ones
+before it, a block the ones before each 512 of its digits. So ``access``, ``count`` and ``occurrence`` read one or two
+blocks of a plane, whatever the shard's size.
 """
 from __future__ import annotations
 
+import io
 import json
 import re
 import struct
 import zlib
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -20,16 +25,28 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridcast.llm.common import documents_of, fan_out, stored
+from gridcast.llm.common import documents_of, fan_out, in_order, stored
 from gridcast.scratch import scratch_path
 from gridcast.sources.files import open_input, write_atomic
 
-MAGIC = b"WMTX1\n"
+MAGIC = b"WMTX2\n"
 SHARD_TOKENS = 4_000_000
-RANK_BLOCK = 512  # bits between stored counts
+PLANE_BLOCK = 1 << 16  # digits compressed together
+RANK_BLOCK = 512  # digits between stored counts; those of a block fit in 16 bits
+COUNTS = PLANE_BLOCK // RANK_BLOCK
+BLOCKS_OPEN = 256  # unpacked blocks a reader holds
 CACHED = 500_000  # words a worker remembers, and parts of words; it starts anew beyond
 
 
+def _plane(ones: np.ndarray, press: zstandard.ZstdCompressor) -> tuple[list[bytes], np.ndarray]:
+    """A plane's compressed blocks, each with its counts in front, and the ones before each block (and in all)."""
+    packed = np.packbits(ones, bitorder="little")
+    packed = np.pad(packed, (0, -len(packed) % (PLANE_BLOCK // 8))).reshape(-1, PLANE_BLOCK // 8)
+    count = np.bitwise_count(packed.reshape(len(packed), COUNTS, RANK_BLOCK // 8)).sum(axis=2, dtype=np.int64)
+    inside = (np.cumsum(count, axis=1) - count).astype("<u2")
+    return [press.compress(c.tobytes() + x.tobytes()) for c, x in zip(inside, packed)], np.r_[0, np.cumsum(count.sum(axis=1))]
+
+
 def to_bytes(tokens: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard file of some documents' ids, one document after another."""
     top = int(tokens.max(initial=0))
@@ -41,43 +58,89 @@ def to_bytes(tokens: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray) -> byt
     now = rank[tokens]
     width = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
     press = zstandard.ZstdCompressor(level=1)
-    parts, zeros = [], []
+    parts, zeros, before = [], [], []
     for k in reversed(range(width)):
         ones = (now & now.dtype.type(1 << k)) != 0
-        parts.append(press.compress(np.packbits(ones, bitorder="little").tobytes()))
+        blocks, sums = _plane(ones, press)
+        parts += blocks
+        before.append(sums)
         a, b = np.flatnonzero(~ones), np.flatnonzero(ones)
         zeros.append(len(a))
         if k:
             now = np.concatenate([now.take(a), now.take(b)])
-    parts += [press.compress(np.ascontiguousarray(x).tobytes()) for x in (alphabet, doc_ids.astype(np.int64), counts.astype(np.int64))]
-    head = json.dumps({"n": len(tokens), "docs": len(doc_ids), "zeros": zeros, "sizes": [len(p) for p in parts]}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
+    ends = np.cumsum([0] + [len(p) for p in parts])
+    tables = [press.compress(np.ascontiguousarray(x).tobytes()) for x in (np.stack(before).astype("<i8"), ends.astype("<i8"), alphabet, doc_ids.astype(np.int64), counts.astype(np.int64))]
+    head = json.dumps({"n": len(tokens), "docs": len(doc_ids), "zeros": zeros, "tables": [len(t) for t in tables]}).encode()
+    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(tables) + b"".join(parts)
 
 
 class WaveletMatrix:
-    """Access to one shard file."""
+    """Access to one shard file, given as bytes or as an open file that can seek; parts are read when needed."""
 
-    def __init__(self, data: bytes):
-        if data[:len(MAGIC)] != MAGIC:
+    def __init__(self, source):
+        self.file = io.BytesIO(source) if isinstance(source, bytes) else source
+        lead = self._read(0, len(MAGIC) + 4)
+        if lead[:len(MAGIC)] != MAGIC:
             raise ValueError("not a token file")
-        at = len(MAGIC) + 4
-        size = struct.unpack("<I", data[len(MAGIC):at])[0]
-        head = json.loads(data[at:at + size])
-        at += size
-        raw = []
-        for n in head["sizes"]:
-            raw.append(zstandard.decompress(data[at:at + n]))
-            at += n
+        size = struct.unpack("<I", lead[len(MAGIC):])[0]
+        head = json.loads(self._read(len(lead), size))
         self.n, self.zeros = head["n"], head["zeros"]
-        self.alphabet, self.doc_ids, self.counts = (np.frombuffer(x, t) for x, t in zip(raw[-3:], (np.uint32, np.int64, np.int64)))
-        self.planes = [np.frombuffer(x, np.uint8) for x in raw[:-3]]
-        self._ones: list[np.ndarray] | None = None
+        self._tables = np.cumsum([len(lead) + size, *head["tables"]])
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        self._held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
+
+    def _table(self, k: int, kind) -> np.ndarray:
+        at, end = self._tables[k:k + 2].tolist()
+        return np.frombuffer(self._unpack(self._read(at, end - at)), kind)
+
+    @cached_property
+    def _ones(self) -> np.ndarray:
+        """[plane, block]: ones before the block; last, of the whole plane."""
+        return self._table(0, "<i8").reshape(len(self.zeros), -1)
+
+    @cached_property
+    def _ends(self) -> np.ndarray:
+        return self._table(1, "<i8") + self._tables[5]
+
+    @cached_property
+    def alphabet(self) -> np.ndarray:
+        return self._table(2, np.uint32)
+
+    @cached_property
+    def doc_ids(self) -> np.ndarray:
+        return self._table(3, np.int64)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return self._table(4, np.int64)
+
+    def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ones before each 512 digits, digits as bytes) of a plane's block."""
+        if (level, block) not in self._held:
+            if len(self._held) >= BLOCKS_OPEN:
+                self._held.clear()
+            at, end = self._ends[level * (self._ones.shape[1] - 1) + block:][:2].tolist()
+            raw = self._unpack(self._read(at, end - at))
+            self._held[level, block] = np.frombuffer(raw, "<u2", COUNTS), np.frombuffer(raw, np.uint8, offset=2 * COUNTS)
+        return self._held[level, block]
+
+    def _digits(self, level: int) -> np.ndarray:
+        """A whole plane, read at once."""
+        blocks = self._ones.shape[1] - 1
+        ends = self._ends[level * blocks:(level + 1) * blocks + 1].tolist()
+        raw = self._read(ends[0], ends[-1] - ends[0])
+        whole = b"".join(self._unpack(raw[a - ends[0]:b - ends[0]])[2 * COUNTS:] for a, b in zip(ends, ends[1:]))
+        return np.unpackbits(np.frombuffer(whole, np.uint8), count=self.n, bitorder="little").astype(bool)
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes undone, last first."""
         now = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
-        for k, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
+        for k, level in enumerate(reversed(range(len(self.zeros)))):
+            ones, z = self._digits(level), self.zeros[level]
             out = np.empty_like(now)
             out[np.flatnonzero(~ones)] = now[:z]
             out[np.flatnonzero(ones)] = now[z:] | now.dtype.type(1 << k)
@@ -86,16 +149,20 @@ class WaveletMatrix:
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i digits of a plane."""
-        if self._ones is None:
-            step = RANK_BLOCK // 8
-            self._ones = [np.r_[0, np.cumsum(np.bitwise_count(np.pad(p, (0, -len(p) % step)).reshape(-1, step)).sum(axis=1, dtype=np.int64))] for p in self.planes]
-        block, rest = divmod(i, RANK_BLOCK)
-        part = self.planes[level][block * RANK_BLOCK // 8:(i + 7) // 8]
-        inside = int(np.unpackbits(part, count=rest, bitorder="little").sum()) if rest else 0
-        return int(self._ones[level][block]) + inside
+        block, inside = divmod(i, PLANE_BLOCK)
+        known = int(self._ones[level, block])
+        if not inside:
+            return known
+        counts, digits = self._block(level, block)
+        part, rest = divmod(inside, RANK_BLOCK)
+        if part == COUNTS:
+            part, rest = part - 1, RANK_BLOCK
+        at = part * RANK_BLOCK // 8
+        return known + int(counts[part]) + int(np.unpackbits(digits[at:at + (rest + 7) // 8], count=rest, bitorder="little").sum() if rest else 0)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3] >> (i & 7)) & 1
+        block, inside = divmod(i, PLANE_BLOCK)
+        return int(self._block(level, block)[1][inside >> 3] >> (inside & 7)) & 1
 
     def access(self, i: int) -> int:
         """The id at a position."""
@@ -139,14 +206,18 @@ class WaveletMatrix:
         return at
 
     def _select(self, level: int, bit: int, at: int) -> int:
-        """Where the digit stands in this plane that stands at ``at`` after the move."""
+        """Where the digit stands in this plane that stands at ``at`` after the move: the block by the directory, the
+        512 digits by the block's counts, then the digit."""
         want = at - self.zeros[level] if bit else at
-        lo, hi = 0, self.n
-        while hi - lo > 1:  # the last position with at most ``want`` such digits before it
-            mid = (lo + hi) // 2
-            one = self._rank1(level, mid)
-            lo, hi = (mid, hi) if (one if bit else mid - one) <= want else (lo, mid)
-        return lo
+        before = self._ones[level]
+        before = before if bit else np.minimum(np.arange(len(before)) * PLANE_BLOCK, self.n) - before
+        block = int(np.searchsorted(before, want, side="right")) - 1
+        counts, digits = self._block(level, block)
+        counts = counts.astype(np.int64) if bit else np.arange(COUNTS) * RANK_BLOCK - counts
+        want -= int(before[block])
+        part = int(np.searchsorted(counts, want, side="right")) - 1
+        some = np.unpackbits(digits[part * RANK_BLOCK // 8:(part + 1) * RANK_BLOCK // 8], bitorder="little") == bit
+        return block * PLANE_BLOCK + part * RANK_BLOCK + int(np.flatnonzero(some)[want - int(counts[part])])
 
 
 def _byte_names() -> list[str]:
@@ -228,14 +299,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
     """Encode every text, append ``end_id`` to each document and write shard files in ascending order of doc_id (null
     first; a null text counts as empty). Returns (pid, part, path, n_tokens, n_docs), a row per file in that order.
 
-    Documents are range-partitioned by doc_id; a task writes its documents as one or more files, under names that a
-    repeated task uses again.
+    Documents are range-partitioned by doc_id, rows with one doc_id (or none) by text and by where they were read, so
+    that many of them are spread as well; a task writes its documents as one or more files, under names that a
+    repeated task uses again. An empty table gives no file.
     """
     spark = docs.sparkSession
     spec = Path(tokenizer_path).read_bytes()
     folder = folder or scratch_path(spark, "tokens")
     base = documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    placed = base.repartitionByRange(fan_out(base), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("pid", F.spark_partition_id())
+    placed = in_order(base, fan_out(base))
     end = np.array([end_id], np.uint32).tobytes()
     least = -(1 << 63)  # a null doc_id in a file
 
@@ -276,8 +348,9 @@ def read_documents(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 with open_input(path) as stream:
-                    shard = WaveletMatrix(stream.read())
-                tokens = shard.tokens().astype("<u4", copy=False)
+                    shard = WaveletMatrix(stream)
+                    tokens = shard.tokens().astype("<u4", copy=False)
+                    shard.counts, shard.doc_ids  # read while the file is open
                 ends = np.cumsum(shard.counts)
                 starts = ends - shard.counts
                 crc = [zlib.crc32(tokens[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]

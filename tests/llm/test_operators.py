@@ -1,14 +1,17 @@
 """Each operator against a plain version, and its edge cases."""
 import base64
 import hashlib
+import io
 import random
 import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 
 from gridcast.llm import bitsliced, chunked_bpe, circulant, edit_embed, langmask, mixing, urlfilter, wavelet, zstd_quality
 from gridcast.llm.components import components
@@ -213,6 +216,71 @@ def test_wavelet_matrix(n, kinds):
         assert m.occurrence(int(x[i]), len(at) // 2) == at[len(at) // 2]
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.taken += len(out)
+        return out
+
+
+def test_token_file_reads_what_it_needs():
+    """400,000 ids: a look-up takes a block or two of each plane, from a file that is never read whole."""
+    x = np.random.default_rng(3).zipf(1.2, 400_000).clip(max=40_000).astype(np.uint32)
+    data = wavelet.to_bytes(x, np.arange(4), np.full(4, 100_000))
+    for look in (lambda m: m.access(300_001) == x[300_001], lambda m: m.count(7) == (x == 7).sum(), lambda m: m.occurrence(9, 50) == np.flatnonzero(x == 9)[50]):
+        file = Counted(data)
+        assert look(wavelet.WaveletMatrix(file)) and file.taken < len(data) / 2
+    m = wavelet.WaveletMatrix(data)
+    assert (m.tokens() == x).all()
+    for i in (0, 65_535, 65_536, 131_071, 131_072, 399_999):
+        at = np.flatnonzero(x == x[i])
+        k = int((at < i).sum())
+        assert m.access(i) == x[i] and m.count(int(x[i]), 0, i) == k and m.occurrence(int(x[i]), k) == i
+    with pytest.raises(ValueError):
+        wavelet.WaveletMatrix(b"WMTX1\nrest")
+
+
+def test_token_placement(spark):
+    """A third of the ids null, one text a thousand times: spread over the tasks, ids as the library's, in order."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    rows = [(i if i % 3 else None, f"word{i % 50} and {'more ' * (i % 7)}" if i % 5 else "the same text") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        files = wavelet.write_tokens(df, WORDS)
+        prints = edit_embed.with_edits(df)
+        assert prints.count() == 3000 and prints.where("doc_id IS NULL").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = [r.n for r in files.groupBy("pid").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / len(sizes) and len(sizes) == 16
+    got = wavelet.read_documents(files).orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes())
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == sorted((i or -1, crc(t)) for i, t in rows)
+
+
+@pytest.mark.parametrize("texts", ["table", "characters"])
+def test_words_equal_the_library(texts):
+    """All documents of the larger test table; all characters below U+0250, alone and inside words."""
+    from tokenizers import Tokenizer
+
+    spec = open(WORDS, "rb").read()
+    library, own = Tokenizer.from_str(spec.decode()), wavelet.Words(spec)
+    if texts == "table":
+        given = [t or "" for t in pq.read_table(f"{LARGER}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    else:
+        given = [f"{a}{chr(c)}{b}" for c in range(0x250) for a, b in (("", ""), ("a", "b"), ("1", "2"), ("é", "T's"), (" ", " x"))]
+    for t, e in zip(given, library.encode_batch(given, add_special_tokens=False)):
+        assert np.frombuffer(own.encode(t), np.uint32).tolist() == e.ids
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("sf", [SF, LARGER])
 def test_top_k(spark, sf):
