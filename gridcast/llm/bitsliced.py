@@ -13,10 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridcast.llm.common import stored
+from gridcast.llm.common import fan_out, stored
 
 BLOCK = 16384  # rows of an index block
-QUERIES = 128  # queries that meet a block at once
+QUERIES = 4096  # queries that meet a block at once: the index is copied to every group of so many
+FEWEST = 128  # queries of a group where smaller groups are needed to occupy all tasks
 
 
 def whole_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
@@ -173,7 +174,9 @@ def top_k(table: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> Da
     index = stored(index_blocks(vectors), "index")
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     # a cell is a group of queries and a slot of blocks; blocks go to every group, queries to every slot
-    groups, slots = max(1, -(-asked.count() // QUERIES)), max(1, index.count())
+    n, slots = asked.count(), max(1, index.count())
+    # four cells for each task of the exchange; from there on groups grow with the queries, not in number
+    groups = max(1, -(-n // QUERIES), min(-(-n // FEWEST), -(-4 * fan_out(vectors) // slots)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = index.withColumn("slot", part("block", slots)).withColumn("group", each(groups))
