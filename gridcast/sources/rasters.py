@@ -22,11 +22,23 @@ HEADER_SCHEMA = (
     "transform array<double>, error string"
 )
 
+SCANS_PER_TASK = 64  # Spark's scan partitions that one task reads at most, each of up to 32 files
+SCAN_BYTES = 32 << 20  # of rasters in one task
+
 
 def binary_files(spark: SparkSession, path: str | list[str], pattern: str = "*.tif") -> DataFrame:
     """(path, filename, sensor, content) below ``path``; ``path`` may hold globs. The sensor is the folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return with_names(raw.load(path))
+    return with_names(bundled(raw.load(path)))
+
+
+def bundled(raw: DataFrame) -> DataFrame:
+    """Small files in fewer tasks. Spark counts 4 MB for opening a file, so a scan task has some 32 files at most,
+    and a task with a Python worker costs more than reading them."""
+    size = int(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    scans = raw.select("length").rdd.getNumPartitions()
+    tasks = max(raw.sparkSession.sparkContext.defaultParallelism, -(-scans // SCANS_PER_TASK), -(-size // SCAN_BYTES))
+    return raw.coalesce(tasks) if tasks < scans else raw
 
 
 def with_names(raw: DataFrame) -> DataFrame:

@@ -135,3 +135,17 @@ def test_nothing_is_written_for_runs_that_do_not_fit(spark, tmp_path, fault):
     with pytest.raises(Exception, match={"gap": "same files", "damaged": "b.tif", "one run": "at least 2"}[fault]):
         ensemble.combine_runs(spark, runs, str(tmp_path / "out"), size=(2, 2))
     assert sorted(p.name for p in tmp_path.iterdir()) == sorted(grids)
+
+
+def small_files(folder, n):
+    folder.mkdir(parents=True)
+    raster = tiff.write_raster(np.ones((16, 2, 2), np.uint8))
+    for i in range(n):
+        (folder / f"f_{i}.tif").write_bytes(raster)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    small_files(tmp_path / "goes", 400)  # 13 scan partitions of 32 files
+    files = rasters.binary_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == 4
+    assert rasters.decode_frames(files, {"goes": (2, 2)}).where("error IS NULL").select("path").distinct().count() == 400
