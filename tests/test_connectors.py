@@ -9,6 +9,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
 from gridcast.operators import ensemble
 from gridcast.sources import archive_source, raster_writer, rasters, tiff
 from gridcast.sources.files import MemberReader
+from gridcast.streaming import ingest
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +150,12 @@ def test_small_files_share_tasks(spark, tmp_path):
     files = rasters.binary_files(spark, str(tmp_path))
     assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == 4
     assert rasters.decode_frames(files, {"goes": (2, 2)}).where("error IS NULL").select("path").distinct().count() == 400
+
+
+
+def test_a_batch_of_small_files_is_listed_and_decoded_by_few_tasks(spark, tmp_path):
+    small_files(tmp_path / "in" / "goes", 300)
+    ingest.start_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), {"goes": (2, 2)}, max_files=1000).awaitTermination()
+    assert int(spark.conf.get(ingest.LIST_TASKS)) <= 16
+    assert len(list((tmp_path / "out" / "sensor=goes").glob("*.parquet"))) <= 4
+    assert spark.read.parquet(str(tmp_path / "out")).where("error IS NULL").select("filename").distinct().count() == 300
