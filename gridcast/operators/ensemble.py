@@ -11,6 +11,7 @@ from gridcast.scratch import materialise
 from gridcast.sources import tiff
 from gridcast.sources.files import read_bytes
 from gridcast.sources.raster_writer import save_files
+from gridcast.sources.rasters import bundled
 
 TASK_BYTES = 128 << 20  # of rasters that one task combines
 
@@ -102,7 +103,7 @@ def run_files(spark: SparkSession, runs: dict[str, str], pattern: str = "*.tif")
     listed = None
     for run, folder in sorted(runs.items()):
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-        files = files.select(F.lit(run).alias("run"), path_filename(F.col("path")).alias("filename"), "path", "length")
+        files = bundled(files).select(F.lit(run).alias("run"), path_filename(F.col("path")).alias("filename"), "path", "length")
         listed = files if listed is None else listed.unionByName(files)
     return listed
 

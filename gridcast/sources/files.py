@@ -90,13 +90,21 @@ class MemberReader:
             self._open.popitem()[1].close()
 
 
+def _created(local: str):
+    """A new local file; its folder is made when the first file finds none."""
+    try:
+        return open(local, "wb")
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+
+
 def write_atomic(path: str, data: bytes) -> None:
     """Write beside the target, then rename: a retried task leaves a whole file."""
     local = _local(path)
     if local is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
         part = f"{local}.{uuid.uuid4().hex}.tmp"
-        with open(part, "wb") as stream:
+        with _created(part) as stream:
             stream.write(data)
         os.replace(part, local)
         return
@@ -132,13 +140,20 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return [(f"{prefix}{f.path}", f.size) for f in listed if f.type == fs.FileType.File]
 
 
+def is_local(path: str) -> bool:
+    return _local(path) is not None
+
+
 def move(source: str, target: str) -> None:
     """Rename within one file system, in place of a file that is there."""
     local = _local(source)
     if local is not None:
         goal = _local(target)
-        os.makedirs(os.path.dirname(goal), exist_ok=True)
-        os.replace(local, goal)
+        try:
+            os.replace(local, goal)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(goal), exist_ok=True)
+            os.replace(local, goal)
         return
     system, inner = _remote(source)
     goal = _remote(target)[1]

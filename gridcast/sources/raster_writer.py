@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from gridcast import dims
-from gridcast.sources.files import list_files, move, plain, remove_tree, write_atomic
+from gridcast.sources.files import is_local, list_files, move, plain, remove_tree, write_atomic
 from gridcast.sources.rasters import encode_column, prediction_faults
 
 MOVERS = 16
@@ -53,7 +53,8 @@ class FilesWriter(DataSourceArrowWriter):
             remove_tree(self.staging)
             raise ValueError(f"file names given twice: {sorted(twice)[:5]}")
         before = {p for p, _ in list_files(self.path)} if self.overwrite else set()
-        with ThreadPoolExecutor(MOVERS) as pool:
+        # one file system's renames wait for each other: threads help where each is a request to a server
+        with ThreadPoolExecutor(1 if is_local(self.path) else MOVERS) as pool:
             list(pool.map(lambda f: move(f[1], f"{self.path}/{f[0]}"), files))
             kept = {f"{self.path}/{n}" for n, _ in files}
             list(pool.map(remove_tree, [p for p in before if p not in kept]))

@@ -2,6 +2,7 @@
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
@@ -152,6 +153,24 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert rasters.decode_frames(files, {"goes": (2, 2)}).where("error IS NULL").select("path").distinct().count() == 400
 
 
+def test_files_of_runs_share_tasks(spark, tmp_path):
+    for run in ("a", "b"):
+        small_files(tmp_path / run, 200)
+    files = ensemble.run_files(spark, {r: str(tmp_path / r) for r in ("a", "b")})
+    assert files.rdd.getNumPartitions() == 8 and files.select("run", "filename").distinct().count() == 400
+
+
+def test_local_files_are_moved_one_by_one(tmp_path, monkeypatch):
+    workers = []
+    pool = raster_writer.ThreadPoolExecutor
+    monkeypatch.setattr(raster_writer, "ThreadPoolExecutor", lambda n: workers.append(n) or pool(n))
+    for path, text in ((str(tmp_path / "out"), b"1"), (f"file:{tmp_path}/out", b"2")):
+        writer = raster_writer.FilesWriter(path, False)
+        batch = pa.RecordBatch.from_pydict({"filename": ["d/a.tif", "b.tif"], "content": [text, text]})
+        writer.commit([writer.write(iter([batch]))])
+        assert tree(tmp_path) == {"out/d/a.tif": text, "out/b.tif": text}
+    assert workers == [1, 1]
+
 
 def test_a_batch_of_small_files_is_listed_and_decoded_by_few_tasks(spark, tmp_path):
     small_files(tmp_path / "in" / "goes", 300)
