@@ -335,7 +335,8 @@ def run_rows(spark, sf_dir):
 def ensemble_mean(spark, sf_dir):
     """A few line items share their position: of these the largest rate counts, as a run has one value per pixel."""
     weights = ensemble.run_weights(["a", "b", "c"], RUNS)
-    rows = run_rows(spark, sf_dir).groupBy(*POSITION, "run").agg(F.max("rate").alias("rate"))
+    # both groupings need a pixel's rows together: moved once, by pixel
+    rows = run_rows(spark, sf_dir).repartition(*POSITION).groupBy(*POSITION, "run").agg(F.max("rate").alias("rate"))
     return rounded(ensemble.combine_pixels(rows, POSITION, weights), "rate")
 
 

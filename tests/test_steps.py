@@ -64,3 +64,10 @@ def test_a_worker_makes_its_model_once(spark, tmp_path):
     assert len(out) == 500 and all(r.rate[0] == pytest.approx(np.expm1(r.id / 1000), abs=1e-5) for r in out)
     made = open(log).read().split()
     assert len(made) == len(set(made)) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_ensemble_mean_moves_pixels_once(spark):
+    from gridcast.plans.verification import ensemble_mean
+
+    plan = ensemble_mean(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
