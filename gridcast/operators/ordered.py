@@ -18,10 +18,12 @@ SLOT = "_slot"
 
 
 def ordered_blocks(
-    df: DataFrame, keys: list[str], order: list[str], n_blocks: int | None = None, fold=None, folded: str = ""
+    df: DataFrame, keys: list[str], order: list[str], n_blocks: int | None = None, fold=None, folded: str = "",
+    kept: list[str] | None = None, arrow: bool = False,
 ) -> DataFrame:
     """``df`` plus ``_block`` (BIGINT) and ``_slot`` (order inside the block). ``fold`` maps the sorted batches
-    of one block to batches with the extra columns declared in ``folded``, in the same pass.
+    of one block to batches with the extra columns declared in ``folded``, in the same pass; they are pandas frames, or
+    Arrow batches with ``arrow``. Of ``df`` only the columns ``kept`` go on after the sort, all if it is None.
 
     Rows equal in ``keys + order`` are interchangeable. They are split by input partition, so that copies of
     one row do not end in one block; rows of one input partition stay together, which keeps the placement the
@@ -32,10 +34,11 @@ def ordered_blocks(
     ranges = [*sort_keys, "_pid"]
     spread = tagged.repartitionByRange(n_blocks, *ranges) if n_blocks else tagged.repartitionByRange(*ranges)
     placed = spread.drop("_pid").sortWithinPartitions(*sort_keys)
-    columns = df.columns
+    columns = df.columns if kept is None else kept
+    placed = placed.select(*columns)
     if fold is not None:
         extra = StructType.fromDDL(folded)
-        placed = placed.mapInPandas(fold, StructType(placed.schema.fields + extra.fields))
+        placed = (placed.mapInArrow if arrow else placed.mapInPandas)(fold, StructType(placed.schema.fields + extra.fields))
         columns = placed.columns
     placed = placed.withColumn("_mid", F.monotonically_increasing_id())
     return materialise(placed, "blocks").select(

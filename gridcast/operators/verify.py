@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast import dims
@@ -184,8 +185,8 @@ def rank_correlation(pairs: DataFrame, by: list[str], position: list[str]) -> Da
     return by_both.groupBy(*by).agg(rho.alias("spearman"))
 
 
-def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str], n_blocks: int | None) -> DataFrame:
-    """``rows`` plus the 0-based rank of each in ``order`` among all rows, among those of its sensor and among those
+def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str], n_blocks: int | None, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``rows``, both ids among them, plus the 0-based rank of each in ``order`` among all rows, among those of its sensor and among those
     of its site, from one sort: a rank is the number of such rows earlier in the block, counted in the sorting pass,
     plus those of the blocks before."""
     groups = ("sensor_id", "site_id")
@@ -193,10 +194,10 @@ def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str],
 
     def fold(batches):
         seen = {g: {} for g in groups}
-        for pdf in batches:
-            extra = {}
+        for batch in batches:
+            extra = []
             for g in groups:
-                key = pdf[g].fillna(missing).to_numpy(dtype=np.int64)
+                key = batch[g].fill_null(missing).to_numpy(zero_copy_only=False)
                 by_key = np.argsort(key, kind="stable")
                 start = np.flatnonzero(np.r_[True, np.diff(key[by_key]) != 0][: len(key)])
                 size = np.diff(np.r_[start, len(key)])
@@ -204,11 +205,12 @@ def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str],
                 before_batch = np.array([seen[g].get(k, 0) for k in names], np.int64)
                 inside = np.empty(len(key), np.int64)
                 inside[by_key] = np.arange(len(key)) + np.repeat(before_batch - start, size)
-                extra[f"_in_{g}"] = inside
+                extra.append(pa.array(inside))
                 seen[g].update(zip(names, (before_batch + size).tolist()))
-            yield pdf.assign(**extra)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *[f"_in_{g}" for g in groups]])
 
-    blocks = ordered_blocks(rows, [], order, n_blocks, fold=fold, folded="_in_sensor_id bigint, _in_site_id bigint")
+    folded = "_in_sensor_id bigint, _in_site_id bigint"
+    blocks = ordered_blocks(rows, [], order, n_blocks, fold=fold, folded=folded, kept=kept, arrow=True)
     counts = materialise(blocks.groupBy(BLOCK, *groups).agg(F.count(F.lit(1)).alias("_n"), F.min(SLOT).alias("_first")), "summary")
     # earlier blocks of the same group; a block has a row for each pair of groups in it
     upto = lambda g: Window.partitionBy(g).orderBy(BLOCK).rangeBetween(Window.unboundedPreceding, -1)
@@ -219,7 +221,7 @@ def _scope_ranks(rows: DataFrame, order: list[str], names: tuple[str, str, str],
     # one join gives the rows all three
     out = join_summary(blocks, carry, list(groups))
     ranks = (F.col(SLOT) + F.col("_before"), *[F.col(f"_in_{g}") + F.col(f"_before_{g}") for g in groups])
-    return out.select(*rows.columns, *[r.alias(n) for r, n in zip(ranks, names)])
+    return out.select(*kept, *[r.alias(n) for r, n in zip(ranks, names)])
 
 
 def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
@@ -232,8 +234,10 @@ def rank_report(pairs: DataFrame, position: list[str]) -> DataFrame:
     rows = pairs.select(*dict.fromkeys([*position, "sensor_id", "site_id", "pred", "target"])).where(F.col("pred").isNotNull() & F.col("target").isNotNull())
     rows = rows.withColumns({c: F.col(c).cast("long") for c in ("sensor_id", "site_id")})
     n = blocks_for(pairs)
-    once = _scope_ranks(rows, ["pred", *position], ("_pa", "_ps", "_pt"), n).drop("pred")
-    both = _scope_ranks(once, ["target", *position], ("_ta", "_ts", "_tt"), n)
+    by_pred, ids = ("_pa", "_ps", "_pt"), ["sensor_id", "site_id"]
+    # what no later step needs is dropped right after the sort
+    once = _scope_ranks(rows, ["pred", *position], by_pred, n, list(dict.fromkeys([*position, *ids, "target"])))
+    both = _scope_ranks(once, ["target", *position], ("_ta", "_ts", "_tt"), n, [*ids, *by_pred])
     square = lambda p, t: F.sum((F.col(p) - F.col(t)).cast("double") * (F.col(p) - F.col(t)))
     cells = both.groupBy("sensor_id", "site_id").agg(
         F.count(F.lit(1)).alias("n"), square("_pa", "_ta").alias("all"), square("_ps", "_ts").alias("sensor"), square("_pt", "_tt").alias("site")

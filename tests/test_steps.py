@@ -71,3 +71,22 @@ def test_ensemble_mean_moves_pixels_once(spark):
 
     plan = ensemble_mean(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ranks_carry_no_column_that_is_not_needed(spark, monkeypatch):
+    from gridcast.operators import verify
+
+    blocks, made = verify.ordered_blocks, []
+    monkeypatch.setattr(verify, "ordered_blocks", lambda *a, **k: made.append(blocks(*a, **k)) or made[-1])
+    rows = [(i, 0 if i % 3 else None, i % 5, float(i % 7), float(i % 4)) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "uid long, sensor_id int, site_id long, pred double, target double")
+    got = {(r.scope, r.sensor_id, r.site_id): round(r.spearman, 9) for r in verify.rank_report(pairs, ["uid"]).collect()}
+    assert "pred" not in made[0].columns and not {"uid", "target"} & set(made[1].columns)
+
+    def rho(part):
+        rank = lambda c: {r[0]: i for i, r in enumerate(sorted(part, key=lambda r: (r[c], r[0])))}
+        p, t, n = rank(3), rank(4), len(part)
+        return round(1 - 6 * sum((p[u] - t[u]) ** 2 for u in p) / (n * (n * n - 1)), 9)
+
+    assert got[("all", None, None)] == rho(rows) and got[("sensor", None, None)] == rho([r for r in rows if r[1] is None])
+    assert all(got[("site", None, s)] == rho([r for r in rows if r[2] == s]) for s in range(5))
